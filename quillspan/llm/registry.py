@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "packing", "bpe", "secrets")
+MODULES = ("factorisation", "pivots", "packing", "warc", "secrets", "quality_rules", "bpe")
 
 
 def _collected(name: str) -> dict:
