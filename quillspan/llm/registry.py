@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("factorisation", "pivots", "packing", "line_dedup", "warc", "phrases", "secrets", "quality_rules", "bpe")
+MODULES = ("factorisation", "pivots", "packing", "order_minhash", "line_dedup", "warc", "phrases", "secrets", "quality_rules", "bpe")
 
 
 def _collected(name: str) -> dict:
