@@ -9,7 +9,7 @@ A line is the set of its words. A line goes if a line before it (by doc_id, then
    rarest |x| - ceil(t |x|) + 1 (prefix filter); sets meet by those words.
 3. Where they meet, sizes too far apart (length filter), words too late in both sets (positional filter) and bitmaps that differ
    in more bits than the sets may differ in words drop a pair. Each set keeps a few earlier partners a word; if none of them is
-   verified and there were more, it asks again for the next ones, until none is left. So no group emits all its pairs.
+   verified and there were more, it asks again for the next ones, eight times as many, until none is left. So no group emits all its pairs.
 4. The Jaccard similarity of what is left is verified on the whole sets.
 
 Words met by more than ``GROUP`` sets are dealt out as pairs of blocks.
@@ -102,8 +102,8 @@ def overlap_needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _MEET = "a long, b long, more boolean"
 
 
-def _meet(batches: Iterable[pa.RecordBatch], skip: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (word, i, j, block, doc, line, key, size, at, low, high, asks): for each set that asks, a few earlier ones of its word that pass the filters."""
+def _meet(batches: Iterable[pa.RecordBatch], skip: int, few: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (word, i, j, block, doc, line, key, size, at, low, high, asks): for each set that asks, the next ``few`` earlier ones of its word that pass the filters."""
     left: pa.Table | None = None
 
     def groups() -> Iterator[pa.Table]:
@@ -129,7 +129,7 @@ def _meet(batches: Iterable[pa.RecordBatch], skip: int) -> Iterator[pa.RecordBat
         found, times = ([], []), np.zeros(len(word), np.int64)
         who = np.flatnonzero((place > 0) & asks)
         for back in range(1, int(place.max(initial=0)) + 1):
-            who = who[(place[who] >= back) & (times[who] <= skip + FEW)]
+            who = who[(place[who] >= back) & (times[who] <= skip + few)]
             if not len(who):
                 break
             b = who - back
@@ -142,51 +142,56 @@ def _meet(batches: Iterable[pa.RecordBatch], skip: int) -> Iterator[pa.RecordBat
             ok = (most >= need) & (apart <= sa + sb - 2 * need)
             c, b = c[ok], b[ok]
             times[c] += 1
-            some = (times[c] > skip) & (times[c] <= skip + FEW)
+            some = (times[c] > skip) & (times[c] <= skip + few)
             found[0].append(c[some])
             found[1].append(b[some])
         if found[0]:
             c, b = (np.concatenate(x) for x in found)
-            yield pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(key[b]), pa.array(times[c] > skip + FEW)], ["a", "b", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(key[b]), pa.array(times[c] > skip + few)], ["a", "b", "more"])
 
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, removed): (doc, line, key) of every line with words; (key, kept_doc, kept_line) of every set, the place of which is null where the set goes wholly."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rank = np.argsort(np.argsort(word_counts(docs), kind="stable"), kind="stable").astype(np.int32)
+    counts = word_counts(docs)
+    rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32)
     sets = stored(docs.mapInArrow(lambda b: _sets(b, rank, True), "doc long, line int, key long, size int, words array<long>, low long, high long"))
     firsts = stored(sets.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first")))
-    long = F.col("size") >= 4  # smaller sets are similar to equal ones only
+    placed = firsts.select("key", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
+    # smaller sets are similar to equal ones only
     prefix = F.expr(f"slice(words, 1, size - int(ceil({NUM} * size / {DEN}.0D - 1e-9)) + 1)")
-    shown = sets.where(long & (F.size("words") > 0)).select("key", "size", "low", "high", prefix.alias("prefix"))
-    rows = shown.join(firsts, "key").select("key", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "size", "low", "high", F.posexplode("prefix").alias("at", "word"))
+    shown = sets.where((F.col("size") >= 4) & (F.size("words") > 0)).select("key", "size", "low", "high", prefix.alias("prefix"))
+    each = [*shown.columns[:-1], F.posexplode("prefix").alias("at", "word")]
+    # only words of often counted buckets can be in many sets; the table of those buckets is bounded as the counters are
+    often = spark.createDataFrame([(int(x),) for x in np.flatnonzero(counts > GROUP)], "bucket long")
+    many = shown.select(F.explode("prefix").alias("word")).join(F.broadcast(often), F.col("word").bitwiseAND(BUCKETS - 1) == F.col("bucket")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+    hot = stored(many.select("word", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks")))
+    some_hot = hot.count() > 0
     matched: DataFrame | None = None
     asking: DataFrame | None = None
-    skip = 0
-    hot = stored(rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("word", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks")))
-    some_hot = hot.count() > 0
+    skip, few = 0, FEW
     while True:
-        now = rows
         if asking is None:
-            now = now.withColumn("asks", F.lit(True))
+            now = shown.join(placed, "key").select("doc", "line", *each).withColumn("asks", F.lit(True))
         else:
             # only the words of sets that ask again, and those sets are marked
-            marked = now.join(asking.withColumn("asks", F.lit(True)), "key", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-            now = marked.join(marked.where("asks").select("word").distinct(), "word", "left_semi")
-        now = now.join(hot, "word", "left") if some_hot else now.withColumn("blocks", F.lit(1))
-        now = now.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod("key", "blocks").cast("int"))
+            words = stored(shown.join(asking, "key", "left_semi").select(F.explode("prefix").alias("word")).distinct())
+            n = words.count()
+            met = shown.select(*each).join(F.broadcast(words) if n <= BROADCAST_DOCS else words, "word", "left_semi")
+            now = met.join(placed, "key").join(asking.withColumn("asks", F.lit(True)), "key", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         if some_hot:
-            now = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            now = now.join(hot, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            now = now.withColumn("block", F.pmod("key", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         else:
-            now = now.withColumn("other", F.lit(0))
+            now = now.withColumns({"block": F.lit(0), "other": F.lit(0)})
         now = now.select("word", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "line", "key", "size", "at", "low", "high", "asks")
         now = now.repartition(partitions(spark), "word", "i", "j").sortWithinPartitions("word", "i", "j", "doc", "line", "key")
-        pairs = stored(now.mapInArrow(lambda b, s=skip: _meet(b, s), _MEET))
+        pairs = stored(now.mapInArrow(lambda b, s=skip, k=few: _meet(b, s, k), _MEET))
         wanted = pairs.select("a", "b").distinct()
         keys = wanted.select(F.col("a").alias("key")).union(wanted.select(F.col("b").alias("key"))).distinct()
         # the words of a set, as one of the tasks has shown them
-        words = sets.where(F.size("words") > 0).join(keys, "key", "left_semi").groupBy("key").agg(F.max("words").alias("words"))
+        words = sets.where(F.size("words") > 0).join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "words")
         words = stored(words)
         a, b = words.select(F.col("key").alias("a"), F.col("words").alias("wa")), words.select(F.col("key").alias("b"), F.col("words").alias("wb"))
         both = F.size(F.array_intersect("wa", "wb"))
@@ -198,7 +203,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         discard(pairs, words)
         if not asking.count():
             break
-        skip += FEW
+        skip, few = skip + few, few * 8
     gone = matched.select(F.col("a").alias("key"), F.lit(True).alias("gone")).distinct()
     kept = firsts.join(gone, "key", "left").select("key", F.when(F.col("gone").isNull(), F.col("first.doc")).alias("kept_doc"), F.when(F.col("gone").isNull(), F.col("first.line")).alias("kept_line"))
     return sets.select("doc", "line", "key"), kept

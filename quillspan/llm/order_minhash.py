@@ -113,11 +113,15 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.binary()), sketches], ["doc_id", "sha", "sketch"])
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """``rows(key, doc, ...)`` dealt out by key and pair of blocks, sorted by doc; keys of one document are left out."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+def _buckets(one: DataFrame) -> DataFrame:
+    """``one(doc, row, sketch)`` dealt out by sketch value (key) and pair of blocks; values of one document are left out.
+
+    Values meet as bare (key, doc) rows; the sketches join only those that have met.
+    """
+    keys = one.select(F.explode("sketch").alias("key"), "doc")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = keys.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc")
 
 
 def _in_order(dealt: DataFrame, columns: list[str]) -> DataFrame:
@@ -182,6 +186,26 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
+def _first_met(c: np.ndarray, b: np.ndarray, key: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Which pairs have met in the first value they agree in: each pair is looked at there only."""
+    return sketches[c, (sketches[c] == sketches[b]).argmax(1)] == key[c]
+
+
+def _open(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, i, j, block, doc) that candidates of another class meet there."""
+    for table in _groups(batches):
+        key, root = table.column("key").to_numpy(), table.column("root").to_numpy()
+        sketches = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(key), SKETCHES)
+        wanted = np.zeros(len(key), bool)
+        for c, b, _ in _meetings(table):
+            differ = root[c] != root[b]
+            c, b = c[differ], b[differ]
+            some = _first_met(c, b, key, sketches)
+            wanted[c[some]] = wanted[b[some]] = True
+        found = table.select(["key", "i", "j", "block", "doc"]).filter(pa.array(wanted))
+        yield from found.to_batches()
+
+
 def _rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between documents of different classes that meet in a bucket; a pair is verified where it first agrees, or not at all once it is connected."""
     for table in _groups(batches):
@@ -207,7 +231,7 @@ def _rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, b, _ in _meetings(table):
             differ = root[c] != root[b]
             c, b = c[differ], b[differ]
-            first = sketches[c, (sketches[c] == sketches[b]).argmax(1)] == key[c]
+            first = _first_met(c, b, key, sketches)
             for x, y in zip(c[first].tolist(), b[first].tolist()):
                 rx, ry = top(int(root[x])), top(int(root[y]))
                 if rx != ry and similar(kmers(x), kmers(y)):
@@ -232,10 +256,11 @@ def near_documents(docs: DataFrame) -> DataFrame:
     # one row of each text: rows of the same text have the same sketch
     one = scan.where(F.size("sketch") > 0).join(firsts, "sha").where("doc_id = doc").select("doc", "row", "sketch")
     one = one.groupBy("doc", "sketch").agg(F.min("row").alias("row"))
-    met = stored(_buckets(one.select(F.explode("sketch").alias("key"), "doc", "row", "sketch")))
-    best = _in_order(met, ["sketch"]).mapInArrow(_best, "b long, a long, agree long")
+    one = stored(one)
+    met = stored(_buckets(one))
+    best = _in_order(met.join(one, "doc"), ["sketch"]).mapInArrow(_best, "b long, a long, agree long")
     pairs = stored(best.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("best")).select("b", (-F.col("best.a")).alias("a")))
-    rows = stored(met.select("row", "doc").distinct())
+    rows = stored(one.join(met.select("doc").distinct(), "doc", "left_semi").select("row", "doc"))
     texts = docs.withColumnRenamed("doc_id", "_id").join(F.broadcast(rows) if rows.count() <= BROADCAST_DOCS else rows, "row").select("doc", "text")
     chosen = stored(texts)
     copies = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / SERVED).cast("int").alias("copies")))
@@ -247,7 +272,10 @@ def near_documents(docs: DataFrame) -> DataFrame:
     named = met.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     # buckets (of two blocks) where classes still differ
     open_ = named.groupBy("key", "i", "j").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key", "i", "j")
-    open_rows = named.join(open_, ["key", "i", "j"]).join(chosen, "doc")
+    sketched = named.join(open_, ["key", "i", "j"]).join(one.select("doc", "sketch"), "doc")
+    # texts follow only to where candidates of different classes meet
+    needed = stored(_in_order(sketched, ["root", "sketch"]).mapInArrow(_open, "key long, i int, j int, block int, doc long"))
+    open_rows = needed.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(one.select("doc", "sketch"), "doc").join(chosen, "doc")
     more = stored(_in_order(open_rows, ["root", "sketch", "text"]).mapInArrow(_rest, "a long, b long"))
     roots = components(links.union(more))
     classes = firsts.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("sha", F.coalesce("root", "doc").alias("class_id"))
