@@ -33,7 +33,9 @@ from quillspan.llm.flat import flat_words, mix
 
 #: The threshold as a fraction, so that all bounds are whole numbers.
 NUM, DEN = 4, 5
-BUCKETS, FEW, GROUP = 1 << 18, 4, 4096
+BUCKETS, SLICES, FEW, GROUP = 1 << 18, 64, 4, 4096
+#: Sets that a task remembers to have shown; one shown again costs work and changes nothing.
+SHOWN = 1_000_000
 #: Documents whose removed lines are broadcast to the texts at most; beyond it the texts are shuffled to them.
 BROADCAST_DOCS = 1_000_000
 NO_DOC = -(1 << 63)
@@ -44,54 +46,88 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for w in flat_words(batch.column(0)):
             total += np.bincount((w.hash & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+    parts = [x.tobytes() for x in total.reshape(SLICES, -1)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Words of all documents by bucket of their hash; the driver gets ``BUCKETS`` rows at most."""
-    rows = docs.select("text").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
+def _added(rows: pa.Table) -> pa.Table:
+    """The sum of the tasks' counters of one slice; its rows are as many as tasks, of a fixed size."""
+    total = np.zeros(BUCKETS // SLICES, np.int64)
+    for x in rows.column("counts"):
+        total += np.frombuffer(x.as_py(), np.int64)
+    return pa.table({"slice": rows.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _sets(batches: Iterable[pa.RecordBatch], rank: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, line, key, size, words, bits): lines with words, by their sets. With ``whole``, words and bits of a set that this task has shown before are null."""
-    shown: set[int] = set()
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """Words of all documents by bucket of their hash; the driver gets the ``BUCKETS`` counters."""
+    rows = docs.select("text").mapInArrow(_counts, "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary").collect()
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    for r in rows:
+        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
+
+
+class _Lines:
+    """The lines with words of a piece of texts: ``doc`` (number of the text), ``line``, ``size``, ``key`` of each, and their words ``h`` from rare to common, from ``first`` on."""
+
+    def __init__(self, w, rank: np.ndarray):
+        # a line begins where a text begins and behind each \n
+        begins = np.union1d(w.bounds[:-1], np.flatnonzero(w.bytes == 10) + 1)
+        line = np.searchsorted(begins, w.start, "right") - 1
+        order = np.lexsort((w.hash, rank[(w.hash & np.uint64(BUCKETS - 1)).astype(np.int64)], line))
+        h, line = w.hash[order], line[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
+        self.h, line = h[new], line[new]
+        self.first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        self.size = np.diff(np.concatenate([self.first, [len(line)]]))
+        self.key = mix(np.add.reduceat(mix(self.h), self.first)).view(np.int64)
+        # of empty texts at the same byte the last one owns it; they have no words
+        inside = np.searchsorted(w.bounds[:-1], begins[line[self.first]], "right") - 1
+        self.line = (line[self.first] - np.searchsorted(begins, w.bounds[inside])).astype(np.int32)
+        self.doc = inside + w.first
+
+
+def _slices(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """Of each list that begins at ``first``, ``size`` values."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    take = np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[take].view(np.int64)))
+
+
+def _sets(batches: Iterable[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, line, key, size, prefix, low, high) of lines with words; the prefix is empty for small sets and for those that this task has shown at an earlier place."""
+    shown: dict[int, tuple] = {}
     for batch in batches:
         docs = batch.column(0).fill_null(NO_DOC).to_numpy()
         for w in flat_words(batch.column(1)):
             if not len(w.hash):
                 continue
-            # a line begins where a text begins and behind each \n
-            begins = np.union1d(w.bounds[:-1], np.flatnonzero(w.bytes == 10) + 1)
-            line = np.searchsorted(begins, w.start, "right") - 1
-            order = np.lexsort((w.hash, rank[(w.hash & np.uint64(BUCKETS - 1)).astype(np.int64)], line))
-            h, line = w.hash[order], line[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
-            h, line = h[new], line[new]
-            first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            size = np.diff(np.concatenate([first, [len(h)]]))
-            key = mix(np.add.reduceat(mix(h), first)).view(np.int64)
-            at = begins[line[first]]
-            doc = np.searchsorted(w.bounds[:-1], at, "right") - 1
-            # of empty texts at the same byte, the last one owns it; they have no words
-            number = line[first] - np.searchsorted(begins, w.bounds[doc])
-            which = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            bit = (h >> np.uint64(20)) & np.uint64(127)
+            x = _Lines(w, rank)
+            bit = (x.h >> np.uint64(20)) & np.uint64(127)
             one = np.uint64(1) << (bit & np.uint64(63))
-            low = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), first).view(np.int64)
-            high = np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), first).view(np.int64)
-            if whole:
-                fresh = np.array([k not in shown and not shown.add(k) for k in key.tolist()], bool)
-                if len(shown) > 2_000_000:
-                    shown.clear()
-                keep = np.repeat(fresh, size)
-                ends = np.concatenate([[0], np.cumsum(np.where(fresh, size, 0))])
-                words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[keep].view(np.int64)))
-            columns = [pa.array(docs[doc + w.first]), pa.array(number.astype(np.int32)), pa.array(key), pa.array(size.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, words, pa.array(low), pa.array(high)], ["doc", "line", "key", "size", "words", "low", "high"])
+            low = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), x.first).view(np.int64)
+            high = np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), x.first).view(np.int64)
+            doc = docs[x.doc]
+            prefix = np.where(x.size >= 4, x.size + (-NUM * x.size) // DEN + 1, 0)
+            for k, place in enumerate(zip(x.key.tolist(), doc.tolist(), x.line.tolist())):
+                if (before := shown.get(place[0])) is not None and before <= place[1:]:
+                    prefix[k] = 0
+                else:
+                    shown[place[0]] = place[1:]
+            if len(shown) > SHOWN:
+                shown.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(x.line), pa.array(x.key), pa.array(x.size.astype(np.int32)), _slices(x.h, x.first, prefix), pa.array(low), pa.array(high)], ["doc", "line", "key", "size", "prefix", "low", "high"])
+
+
+def _wanted_words(batches: Iterable[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, words) of the lines whose keys are listed beside the text."""
+    for batch in batches:
+        keys = batch.column(1).flatten().to_numpy()
+        for w in flat_words(batch.column(0)):
+            if len(w.hash):
+                x = _Lines(w, rank)
+                some = np.flatnonzero(np.isin(x.key, keys))
+                yield pa.RecordBatch.from_arrays([pa.array(x.key[some]), _slices(x.h, x.first[some], x.size[some])], ["key", "words"])
 
 
 def overlap_needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,13 +192,11 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = word_counts(docs)
     rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32)
-    sets = stored(docs.mapInArrow(lambda b: _sets(b, rank, True), "doc long, line int, key long, size int, words array<long>, low long, high long"))
+    sets = stored(docs.mapInArrow(lambda b: _sets(b, rank), "doc long, line int, key long, size int, prefix array<long>, low long, high long"))
     firsts = stored(sets.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first")))
-    placed = firsts.select("key", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
-    # smaller sets are similar to equal ones only
-    prefix = F.expr(f"slice(words, 1, size - int(ceil({NUM} * size / {DEN}.0D - 1e-9)) + 1)")
-    shown = sets.where((F.col("size") >= 4) & (F.size("words") > 0)).select("key", "size", "low", "high", prefix.alias("prefix"))
-    each = [*shown.columns[:-1], F.posexplode("prefix").alias("at", "word")]
+    # a set may be shown at several places by several tasks; whether its first one is behind its partner's first is seen in the end
+    shown = sets.where(F.size("prefix") > 0)
+    each = ["doc", "line", "key", "size", "low", "high", F.posexplode("prefix").alias("at", "word")]
     # only words of often counted buckets can be in many sets; the table of those buckets is bounded as the counters are
     often = spark.createDataFrame([(int(x),) for x in np.flatnonzero(counts > GROUP)], "bucket long")
     many = shown.select(F.explode("prefix").alias("word")).join(F.broadcast(often), F.col("word").bitwiseAND(BUCKETS - 1) == F.col("bucket")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
@@ -173,13 +207,13 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     skip, few = 0, FEW
     while True:
         if asking is None:
-            now = shown.join(placed, "key").select("doc", "line", *each).withColumn("asks", F.lit(True))
+            now = shown.select(*each).withColumn("asks", F.lit(True))
         else:
             # only the words of sets that ask again, and those sets are marked
             words = stored(shown.join(asking, "key", "left_semi").select(F.explode("prefix").alias("word")).distinct())
             n = words.count()
             met = shown.select(*each).join(F.broadcast(words) if n <= BROADCAST_DOCS else words, "word", "left_semi")
-            now = met.join(placed, "key").join(asking.withColumn("asks", F.lit(True)), "key", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+            now = met.join(asking.withColumn("asks", F.lit(True)), "key", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         if some_hot:
             now = now.join(hot, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             now = now.withColumn("block", F.pmod("key", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -190,17 +224,21 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = stored(now.mapInArrow(lambda b, s=skip, k=few: _meet(b, s, k), _MEET))
         wanted = pairs.select("a", "b").distinct()
         keys = wanted.select(F.col("a").alias("key")).union(wanted.select(F.col("b").alias("key"))).distinct()
-        # the words of a set, as one of the tasks has shown them
-        words = sets.where(F.size("words") > 0).join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "words")
-        words = stored(words)
+        # the words of those sets are read once more, from one document that has each
+        places = stored(sets.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("key").alias("keys")))
+        n = places.count()
+        texts = docs.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), "text").join(F.broadcast(places) if n <= BROADCAST_DOCS else places, "doc").select("text", "keys")
+        words = texts.mapInArrow(lambda b: _wanted_words(b, rank), "key long, words array<long>")
+        words = stored(words.dropDuplicates(["key"]))
         a, b = words.select(F.col("key").alias("a"), F.col("words").alias("wa")), words.select(F.col("key").alias("b"), F.col("words").alias("wb"))
         both = F.size(F.array_intersect("wa", "wb"))
-        sure = wanted.join(a, "a").join(b, "b").where((NUM + DEN) * both >= NUM * (F.size("wa") + F.size("wb"))).select("a").distinct()
-        sure = stored(sure)
+        alike = wanted.join(a, "a").join(b, "b").where((NUM + DEN) * both >= NUM * (F.size("wa") + F.size("wb"))).select("a", "b")
+        at_a, at_b = firsts.select(F.col("key").alias("a"), F.col("first").alias("fa")), firsts.select(F.col("key").alias("b"), F.col("first").alias("fb"))
+        sure = stored(alike.join(at_a, "a").join(at_b, "b").where("fb < fa").select("a").distinct())
         matched = sure if matched is None else matched.union(sure)
         again = pairs.where("more").select(F.col("a").alias("key")).distinct().join(matched.select(F.col("a").alias("key")), "key", "left_anti")
         asking = stored(again)
-        discard(pairs, words)
+        discard(pairs, words, places)
         if not asking.count():
             break
         skip, few = skip + few, few * 8
