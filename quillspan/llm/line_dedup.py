@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import discard, partitions, read, stored
+from quillspan.llm.common import discard, partitions, read, release, stored
 from quillspan.llm.flat import flat_words, mix
 
 #: The threshold as a fraction, so that all bounds are whole numbers.
@@ -230,6 +230,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         texts = docs.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), "text").join(F.broadcast(places) if n <= BROADCAST_DOCS else places, "doc").select("text", "keys")
         words = texts.mapInArrow(lambda b: _wanted_words(b, rank), "key long, words array<long>")
         words = stored(words.dropDuplicates(["key"]))
+        release(spark)
         a, b = words.select(F.col("key").alias("a"), F.col("words").alias("wa")), words.select(F.col("key").alias("b"), F.col("words").alias("wb"))
         both = F.size(F.array_intersect("wa", "wb"))
         alike = wanted.join(a, "a").join(b, "b").where((NUM + DEN) * both >= NUM * (F.size("wa") + F.size("wb"))).select("a", "b")
@@ -239,6 +240,8 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         again = pairs.where("more").select(F.col("a").alias("key")).distinct().join(matched.select(F.col("a").alias("key")), "key", "left_anti")
         asking = stored(again)
         discard(pairs, words, places)
+        del now, wanted, keys, texts, alike, again, a, b, both, at_a, at_b, pairs, words, places
+        release(spark)
         if not asking.count():
             break
         skip, few = skip + few, few * 8
