@@ -31,6 +31,8 @@ from quillspan.llm.common import discard, read, shared_dir, stored
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD_ID = "urn:quillspan:page:"
+#: Rows of headers (or revisits) that are broadcast to the payloads at most; beyond it payloads are shuffled to them.
+BROADCAST_ROWS = 500_000
 
 
 def payload_digest(payload: str) -> Column:
@@ -48,10 +50,13 @@ def records(pages: DataFrame, least_revisit_bytes: int = 0) -> DataFrame:
     # the number makes repeated rows differ; the scan gives each row the same one whenever it is read
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("row", F.monotonically_increasing_id())
     pages = pages.withColumn("payload", F.col("html").cast("binary")).withColumn("digest", payload_digest("payload"))
-    first = pages.groupBy("digest").agg(F.max(F.struct(F.col("page_id"), F.col("row"))).alias("first"))
-    paired = pages.join(first, "digest")
+    rows = stored(pages.select("page_id", "row", "digest"))
+    first = rows.groupBy("digest").agg(F.max(F.struct(F.col("page_id"), F.col("row"))).alias("first"))
+    # payloads stay where they are: only the rows of revisits go to them
+    others = stored(rows.join(first, "digest").where(F.col("row") != F.col("first.row")).select("row", "first"))
+    paired = pages.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, "row", "left")
     size = F.octet_length("payload")
-    revisit = (F.col("row") != F.col("first.row")) & (size >= least_revisit_bytes)
+    revisit = F.col("first").isNotNull() & (size >= least_revisit_bytes)
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), "html"))
     url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     name = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -70,32 +75,36 @@ def records(pages: DataFrame, least_revisit_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str | None = None, least_revisit_bytes: int = 0) -> str:
     """Writes the pages' records as archives into ``path`` (a folder of its own in the shared one, if None) and returns it."""
     path = path or f"{shared_dir(pages.sparkSession).rstrip('/')}/quillspan-{pages.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    records(pages, least_revisit_bytes).write.option("lineSep", END).option("compression", "none").text(path)
+    records(pages, least_revisit_bytes).write.option("lineSep", END).option("compression", "gzip").text(path)
     return path
 
 
 _FIELD = re.compile(rb"(?im)^([A-Za-z-]+):[ \t]*([^\r\n]*)\r?$")
-PIECE = "path string, split long, at long, size long, skip long, length long, kind string, id string, refers string, digest string, raw binary"
+PIECE = "path string, split long, local long, size long, skip long, length long, kind string, id string, refers string, digest string"
 
 
-def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What stands between magics, in the order of each split: its place behind the first such piece of the split, and its header."""
+def _pieces(batches: Iterable[pa.RecordBatch], raw: bool) -> Iterator[pa.RecordBatch]:
+    """What stands between magics, in the order of each split: its place behind the first such piece of the split, and its header or (``raw``) its bytes."""
     key, at = None, 0
     for batch in batches:
-        out: list[list] = [[] for _ in range(11)]
+        rows = []
         for path, split, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if (path, split) != key:
                 key, at = (path, split), 0
-            head = value.find(b"\r\n\r\n")
-            fields = {k.lower(): v.strip() for k, v in _FIELD.findall(value[:head])} if head >= 0 else {}
-            known = fields.get(b"content-length", b"")
-            text = lambda k: fields[k].decode("utf-8", "replace") if k in fields else None
-            row = (path, split, at, len(value), head + 4, int(known) if known.isdigit() and len(known) < 19 else None, text(b"warc-type"), text(b"warc-record-id"), text(b"warc-refers-to"), text(b"warc-payload-digest"), value)
-            for column, x in zip(out, row):
-                column.append(x)
+            rows.append((path, split, at, value) if raw else (path, split, at, len(value), *_header(value)))
             at += len(value) + len(MAGIC)
-        kinds = [pa.string(), *[pa.int64()] * 5, *[pa.string()] * 4, pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [x.split()[0] for x in PIECE.split(", ")])
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()] if raw else [pa.string(), *[pa.int64()] * 5, *[pa.string()] * 4]
+        names = ["path", "split", "local", "raw"] if raw else [x.split()[0] for x in PIECE.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
+
+
+def _header(value: bytes) -> tuple:
+    """(bytes before the block, Content-Length, type, id, what it refers to, digest); the length is null where there is no header."""
+    head = value.find(b"\r\n\r\n")
+    fields = {k.lower(): v.strip() for k, v in _FIELD.findall(value[:head])} if head >= 0 else {}
+    known = fields.get(b"content-length", b"")
+    texts = (fields[k].decode("utf-8", "replace") if k in fields else None for k in (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest"))
+    return head + 4, int(known) if known.isdigit() and len(known) < 19 else None, *texts
 
 
 def reachable(jumps: DataFrame) -> DataFrame:
@@ -120,25 +129,28 @@ def reachable(jumps: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(path, at, kind, id, refers, digest, payload) of the records of the archives in ``path``; the payload is what follows the HTTP header."""
-    text = spark.read.option("lineSep", MAGIC).option("pathGlobFilter", "*.txt").text(path)
-    cut = stored(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("raw")).mapInArrow(_pieces, PIECE))
+    text = spark.read.option("lineSep", MAGIC).option("pathGlobFilter", "*.txt*").text(path)
+    text = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("raw"))
+    cut = stored(text.mapInArrow(lambda b: _pieces(b, False), PIECE))
     # a split's first piece starts where the pieces of the splits before it end
     sizes = cut.groupBy("path", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("n"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("path", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    placed = cut.join(starts, ["path", "split"]).withColumn("at", F.col("at") + F.col("start") - len(MAGIC)).where("at >= 0").drop("start", "split")
-    placed = stored(placed)
+    placed = stored(cut.join(starts, ["path", "split"]).withColumn("at", F.col("local") + F.col("start") - len(MAGIC)).where("at >= 0").drop("start"))
     jumps = placed.where("length is not null").select("path", "at", (F.col("at") + len(MAGIC) + F.col("skip") + F.col("length") + len(END)).alias("next"))
-    chain = reachable(jumps.where("next > at")).join(placed.select("path", "at"), ["path", "at"])  # the last jump ends at the end of the file
+    chain = reachable(jumps.where("next > at"))  # the last jump ends at the end of the file, where no record is
     marked = placed.join(chain.withColumn("real", F.lit(True)), ["path", "at"], "left")
-    real = marked.where("real")
     # a payload with the magic in it has come in several pieces: those that are not real follow the last real one
     own = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    parts = marked.select("path", "at", "size", "real").withColumn("owner", F.last(F.when(F.col("real"), F.col("at")), True).over(own))
-    false = parts.where("real is null and owner is not null").select("path", "at", "owner").join(placed.select("path", "at", "raw"), ["path", "at"])
-    rest = false.groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("rest")).withColumnRenamed("owner", "at")
-    glue = F.aggregate("rest", F.col("raw"), lambda s, x: F.concat(s, F.lit(MAGIC).cast("binary"), x["raw"]))
-    whole = real.join(rest, ["path", "at"], "left").withColumn("raw", F.when(F.col("rest").isNull(), F.col("raw")).otherwise(glue))
+    owned = marked.withColumn("owner", F.last(F.when(F.col("real"), F.col("at")), True).over(own)).where("owner is not null")
+    parts = stored(owned.withColumn("several", F.col("real").isNull() | (F.col("size") != F.col("skip") + F.col("length") + len(END))).drop("size"))
+    again = text.mapInArrow(lambda b: _pieces(b, True), "path string, split long, local long, raw binary")
+    pieces = again.join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, ["path", "split", "local"])
+    header = ["path", "at", "kind", "id", "refers", "digest", "skip", "length"]
+    broken = pieces.where("several").groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("rest"))
+    glued = F.aggregate(F.slice("rest", 2, 1 << 30), F.element_at("rest", 1)["raw"], lambda s, x: F.concat(s, F.lit(MAGIC).cast("binary"), x["raw"]))
+    joined = parts.where("several and real").select(*header).join(broken.select("path", F.col("owner").alias("at"), glued.alias("raw")), ["path", "at"])
+    whole = pieces.where("not several").select(*header, "raw").unionByName(joined)
     block = F.substring("raw", F.col("skip") + 1, F.col("length"))
 
     @F.arrow_udf("binary")
