@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import discard, read, shared_dir, stored
+from quillspan.llm.common import discard, read, shared_dir, small_batches, stored
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -75,7 +75,8 @@ def records(pages: DataFrame, least_revisit_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str | None = None, least_revisit_bytes: int = 0) -> str:
     """Writes the pages' records as archives into ``path`` (a folder of its own in the shared one, if None) and returns it."""
     path = path or f"{shared_dir(pages.sparkSession).rstrip('/')}/quillspan-{pages.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    records(pages, least_revisit_bytes).write.option("lineSep", END).option("compression", "gzip").text(path)
+    with small_batches(pages.sparkSession):
+        records(pages, least_revisit_bytes).write.option("lineSep", END).option("compression", "gzip").text(path)
     return path
 
 
