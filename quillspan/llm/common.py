@@ -33,18 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Within it, Arrow batches for Python have so many rows at most: of texts or pages the default of 10,000 is a hundred MB."""
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Arrow batches for Python have so many rows at most; of texts or pages the default of 10,000 is a hundred MB."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before))))
+    spark.conf.set(name, str(rows))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, batch_rows: int = 1000) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again.
 
     It cuts the lineage, so that a lost executor costs a reread and not a recomputation, and computes the plan once, where
@@ -52,7 +52,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillspan-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark, batch_rows):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

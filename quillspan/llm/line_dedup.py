@@ -8,8 +8,8 @@ A line is the set of its words. A line goes if a line before it (by doc_id, then
 2. Lines of equal sets are one, with its first place. Two different sets that are similar enough share a word among their
    rarest |x| - ceil(t |x|) + 1 (prefix filter); sets meet by those words.
 3. Where they meet, sizes too far apart (length filter), words too late in both sets (positional filter) and bitmaps that differ
-   in more bits than the sets may differ in words drop a pair. Each set keeps a few earlier partners a word; if none of them is
-   verified and there were more, it asks again for the next ones, eight times as many, until none is left. So no group emits all its pairs.
+   in more bits than the sets may differ in words drop a pair. Each set keeps an earlier partner a word; if none of them is
+   verified and there were more, it asks again for the next ones, eight times as many a round, until none is left. So no group emits all its pairs.
 4. The Jaccard similarity of what is left is verified on the whole sets.
 
 Words met by more than ``GROUP`` sets are dealt out as pairs of blocks.
@@ -33,7 +33,7 @@ from quillspan.llm.flat import flat_words, mix
 
 #: The threshold as a fraction, so that all bounds are whole numbers.
 NUM, DEN = 4, 5
-BUCKETS, SLICES, FEW, GROUP = 1 << 18, 64, 4, 4096
+BUCKETS, SLICES, FEW, GROUP = 1 << 18, 64, 1, 4096
 #: Sets that a task remembers to have shown; one shown again costs work and changes nothing.
 SHOWN = 1_000_000
 #: Documents whose removed lines are broadcast to the texts at most; beyond it the texts are shuffled to them.
@@ -221,8 +221,10 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             now = now.withColumns({"block": F.lit(0), "other": F.lit(0)})
         now = now.select("word", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "line", "key", "size", "at", "low", "high", "asks")
         now = now.repartition(partitions(spark), "word", "i", "j").sortWithinPartitions("word", "i", "j", "doc", "line", "key")
-        pairs = stored(now.mapInArrow(lambda b, s=skip, k=few: _meet(b, s, k), _MEET))
-        wanted = pairs.select("a", "b").distinct()
+        pairs = stored(now.mapInArrow(lambda b, s=skip, k=few: _meet(b, s, k), _MEET), batch_rows=50_000)
+        del now
+        release(spark)
+        wanted = stored(pairs.select("a", "b").distinct())
         keys = wanted.select(F.col("a").alias("key")).union(wanted.select(F.col("b").alias("key"))).distinct()
         # the words of those sets are read once more, from one document that has each
         places = stored(sets.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("key").alias("keys")))
@@ -239,8 +241,8 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         matched = sure if matched is None else matched.union(sure)
         again = pairs.where("more").select(F.col("a").alias("key")).distinct().join(matched.select(F.col("a").alias("key")), "key", "left_anti")
         asking = stored(again)
-        discard(pairs, words, places)
-        del now, wanted, keys, texts, alike, again, a, b, both, at_a, at_b, pairs, words, places
+        discard(pairs, words, places, wanted)
+        del wanted, keys, texts, alike, again, a, b, both, at_a, at_b, pairs, words, places
         release(spark)
         if not asking.count():
             break

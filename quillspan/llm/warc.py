@@ -75,7 +75,7 @@ def records(pages: DataFrame, least_revisit_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str | None = None, least_revisit_bytes: int = 0) -> str:
     """Writes the pages' records as archives into ``path`` (a folder of its own in the shared one, if None) and returns it."""
     path = path or f"{shared_dir(pages.sparkSession).rstrip('/')}/quillspan-{pages.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    with small_batches(pages.sparkSession):
+    with small_batches(pages.sparkSession, 1000):
         records(pages, least_revisit_bytes).write.option("lineSep", END).option("compression", "gzip").text(path)
     return path
 
