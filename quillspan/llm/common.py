@@ -19,6 +19,7 @@ WORD_GAP_CHARS = " \t\n\x0b\x0c\r"
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The table ``table`` of the dataset at ``sf_dir``, by Spark's own reader, so any Hadoop path works."""
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -44,6 +45,13 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batches for operators that send whole texts to Python in a plan they only return."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def stored(df: DataFrame, batch_rows: int = 1000) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again.
 

@@ -8,7 +8,7 @@ A line is the set of its words. A line goes if a line before it (by doc_id, then
 2. Lines of equal sets are one, with its first place. Two different sets that are similar enough share a word among their
    rarest |x| - ceil(t |x|) + 1 (prefix filter); sets meet by those words.
 3. Where they meet, sizes too far apart (length filter), words too late in both sets (positional filter) and bitmaps that differ
-   in more bits than the sets may differ in words drop a pair. Each set keeps an earlier partner a word; if none of them is
+   in more bits than the sets may differ in words (large sets: in sampled words) drop a pair. Each set keeps an earlier partner a word; if none of them is
    verified and there were more, it asks again for the next ones, eight times as many a round, until none is left. So no group emits all its pairs.
 4. The Jaccard similarity of what is left is verified on the whole sets.
 
@@ -105,6 +105,8 @@ def _sets(batches: Iterable[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.Re
             x = _Lines(w, rank)
             bit = (x.h >> np.uint64(20)) & np.uint64(127)
             one = np.uint64(1) << (bit & np.uint64(63))
+            rate = np.repeat((np.uint64(1) << halvings(x.size).astype(np.uint64)) - np.uint64(1), x.size)
+            one[((x.h >> np.uint64(40)) & rate) != 0] = 0
             low = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), x.first).view(np.int64)
             high = np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), x.first).view(np.int64)
             doc = docs[x.doc]
@@ -135,6 +137,20 @@ def overlap_needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
+def halvings(size: np.ndarray) -> np.ndarray:
+    """How often a set's words are halved, by their hashes, for its bitmap: sets of 128 words or more show 32 to 64 of them."""
+    return np.where(size < 128, 0, np.floor(np.log2(np.maximum(size, 1) / 32))).astype(np.int64)
+
+
+def bits_apart(size_a: np.ndarray, size_b: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps of similar sets may differ: as many as their words, or, where words are sampled, the mean of
+    that and 6.5 standard deviations more (a chance under one in 10^9 to drop a pair); sets that are sampled differently, any number."""
+    differ = (size_a + size_b - 2 * need).astype(float)
+    times, other = halvings(size_a), halvings(size_b)
+    mean = differ / 2.0**times
+    return np.where(times != other, 128, np.where(times == 0, differ, mean + 6.5 * np.sqrt(mean) + 2))
+
+
 _MEET = "a long, b long, more boolean"
 
 
@@ -175,7 +191,7 @@ def _meet(batches: Iterable[pa.RecordBatch], skip: int, few: int) -> Iterator[pa
             need = overlap_needed(sa, sb)
             most = np.minimum(at[c], at[b]) + 1 + np.minimum(sa - at[c] - 1, sb - at[b] - 1)
             apart = np.bitwise_count(low[c] ^ low[b]).astype(np.int64) + np.bitwise_count(high[c] ^ high[b])
-            ok = (most >= need) & (apart <= sa + sb - 2 * need)
+            ok = (most >= need) & (apart <= bits_apart(sa, sb, need))
             c, b = c[ok], b[ok]
             times[c] += 1
             some = (times[c] > skip) & (times[c] <= skip + few)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import read
+from quillspan.llm.common import read, text_batches
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
@@ -220,6 +220,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
     """The documents with every span (of all layers) replaced by its mark; overlapping spans become one, of the first kind. Other texts and null ones stay."""
+    text_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
