@@ -94,11 +94,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Mach
     rng = np.random.default_rng(seed)
     w, v = np.zeros(FEATURES, np.float32), rng.normal(0, 0.01, (FEATURES, FACTORS)).astype(np.float32)
     if not rows:
-        return Machine(0.0, w, v)
+        return Machine(0.0, w, np.zeros_like(v))
     share = min(0.95, max(0.05, float(np.mean([y for *_, y in rows]))))
     b = float(np.log(share / (1 - share)))
     if len({y for *_, y in rows}) < 2:
-        return Machine(b, w, v)
+        return Machine(b, w, np.zeros_like(v))
     params = np.concatenate([w[:, None], v], 1)
     m1, m2, t, b1, b2 = np.zeros_like(params), np.zeros_like(params), 0, 0.0, 0.0
     weight = {1: (0.5 / share) ** 0.5, 0: (0.5 / (1 - share)) ** 0.5}

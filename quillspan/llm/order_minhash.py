@@ -28,12 +28,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import components, partitions, read, stored
 from quillspan.llm.flat import mix
-from quillspan.llm.phrases import gram_hashes, word_hashes
+from quillspan.llm.phrases import gram_hashes, joined_words, word_hashes
 
 GRAM, SKETCHES, TAKEN, AGREE = 5, 24, 3, 4
 NUM, DEN = 4, 5
@@ -114,7 +114,7 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(one: DataFrame) -> DataFrame:
-    """``one(doc, row, sketch)`` dealt out by sketch value (key) and pair of blocks; values of one document are left out.
+    """``one(doc, sketch)`` dealt out by sketch value (key) and pair of blocks; values of one document are left out.
 
     Values meet as bare (key, doc) rows; the sketches join only those that have met.
     """
@@ -241,9 +241,10 @@ def _rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def near_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, row) of every row of ``docs``: class_id is the smallest doc_id reachable by links; row tells repeated rows apart."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+def near_documents(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc_id, class_id, row) of every row of ``docs``: class_id is the smallest doc_id reachable by links; row, a number of its own, tells repeated rows apart."""
+    row = F.monotonically_increasing_id() if row is None else row
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
     scan = docs.select("doc_id", "text", "row")
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,15 +255,17 @@ def near_documents(docs: DataFrame) -> DataFrame:
     scan = stored(scan.mapInArrow(of, "doc_id long, sha binary, sketch array<long>, row long"))
     firsts = stored(scan.where("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("doc")))
     # one row of each text: rows of the same text have the same sketch
-    one = scan.where(F.size("sketch") > 0).join(firsts, "sha").where("doc_id = doc").select("doc", "row", "sketch")
-    one = one.groupBy("doc", "sketch").agg(F.min("row").alias("row"))
-    one = stored(one)
+    one = scan.where(F.size("sketch") > 0).join(firsts, "sha").where("doc_id = doc").select("doc", "sha", "sketch")
+    one = stored(one.dropDuplicates(["doc", "sha"]))
     met = stored(_buckets(one))
-    best = _in_order(met.join(one, "doc"), ["sketch"]).mapInArrow(_best, "b long, a long, agree long")
+    best = _in_order(met.join(one.select("doc", "sketch"), "doc"), ["sketch"]).mapInArrow(_best, "b long, a long, agree long")
     pairs = stored(best.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("best")).select("b", (-F.col("best.a")).alias("a")))
-    rows = stored(one.join(met.select("doc").distinct(), "doc", "left_semi").select("row", "doc"))
-    texts = docs.withColumnRenamed("doc_id", "_id").join(F.broadcast(rows) if rows.count() <= BROADCAST_DOCS else rows, "row").select("doc", "text")
-    chosen = stored(texts)
+    rows = stored(one.join(met.select("doc").distinct(), "doc", "left_semi").select("doc", "sha"))
+    texts = docs.select(F.col("doc_id").alias("doc"), "text")
+    some = rows.select("doc").distinct()
+    texts = texts.join(F.broadcast(some) if rows.count() <= BROADCAST_DOCS else some, "doc", "left_semi")
+    # of rows with the doc_id, one with the text that was scanned
+    chosen = stored(texts.withColumn("sha", F.unhex(F.sha2(joined_words("text"), 256))).join(rows, ["doc", "sha"]).dropDuplicates(["doc", "sha"]).select("doc", "text"))
     copies = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / SERVED).cast("int").alias("copies")))
     later = chosen.withColumnRenamed("doc", "b").join(pairs, "b").join(copies, "a").select("a", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"), F.lit(1).alias("kind"), "b", "text")
     earlier = chosen.withColumnRenamed("doc", "a").join(copies, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
@@ -285,14 +288,14 @@ def near_documents(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The documents without those that are not the first of their class: one of each class stays, and of its repeated rows one."""
-    near = stored(near_documents(docs))
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    near = stored(near_documents(docs, F.col("_row")))
     real = near.where(F.col("class_id").isNotNull())
     stays = real.where("doc_id = class_id").groupBy("class_id").agg(F.min("row").alias("row"))
     # texts that were not linked at all, such as empty ones, keep the rows of their own class's first
     gone = stored(real.select("row").join(stays.select("row"), "row", "left_anti"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     gone_ = gone.withColumnRenamed("row", "_row")
-    return numbered.join(F.broadcast(gone_) if gone.count() <= BROADCAST_DOCS else gone_, "_row", "left_anti").drop("_row")
+    return docs.join(F.broadcast(gone_) if gone.count() <= BROADCAST_DOCS else gone_, "_row", "left_anti").drop("_row")
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,7 +229,7 @@ def dedup_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = where.count()
     texts = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi") if n else docs.limit(0)
     # the scan's row is found again by the same hash of its words
-    named = texts.withColumn("rid", F.xxhash64("doc_id", F.sha2(_joined("text"), 256))).dropDuplicates(["rid"])
+    named = texts.withColumn("rid", F.xxhash64("doc_id", F.sha2(joined_words("text"), 256))).dropDuplicates(["rid"])
     chosen = stored(named.join(where.drop("doc_id"), "rid").select("rid", "doc_id", "text", "lows", "highs"))
     discard(where)
     windows = chosen.mapInArrow(_windows, "x long, y long, doc_id long, rid long, start int")
@@ -262,7 +262,7 @@ def dedup_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scan.drop("anchors", "firsts").join(least, "sha", "left"), changed
 
 
-def _joined(text: str):
+def joined_words(text: str):
     """The words of a text with single spaces between them, as the scan joins them."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), r"^ | \z", "")
 

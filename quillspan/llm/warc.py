@@ -47,8 +47,8 @@ def payload_digest(payload: str) -> Column:
 
 def records(pages: DataFrame, least_revisit_bytes: int = 0) -> DataFrame:
     """(record) of each page: the whole text of its WARC record but for the end."""
-    # the number makes repeated rows differ; the scan gives each row the same one whenever it is read
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("row", F.monotonically_increasing_id())
+    # the number makes repeated rows differ; it is written down, as another evaluation might number other rows so
+    pages = stored(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("row", F.monotonically_increasing_id()))
     pages = pages.withColumn("payload", F.col("html").cast("binary")).withColumn("digest", payload_digest("payload"))
     rows = stored(pages.select("page_id", "row", "digest"))
     first = rows.groupBy("digest").agg(F.max(F.struct(F.col("page_id"), F.col("row"))).alias("first"))
