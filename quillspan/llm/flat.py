@@ -10,7 +10,7 @@ import pyarrow as pa
 from quillspan.llm.common import WORD_GAP_CHARS
 
 #: Bytes of text that are worked on together; a longer text is worked on by itself.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _GAP = np.zeros(256, bool)
 _GAP[[ord(c) for c in WORD_GAP_CHARS]] = True
