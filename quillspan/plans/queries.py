@@ -517,3 +517,6 @@ def _(s, d):
 @query("U6_busiest", "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY total DESC, 1 LIMIT 1")
 def _(s, d):
     return table(s, d, "orders").groupBy("o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("total")).orderBy(F.desc("total"), "o_orderpriority").limit(1)
+
+
+from quillspan.plans import extended  # noqa: E402, F401  registers its queries

@@ -2,8 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillspan.functions import codec
 from quillspan.functions import text as t
-from quillspan.operators import graph, incremental, rules, sessions
+from quillspan.operators import commands, graph, incremental, rules, sessions
 
 
 def test_subwords(spark):
@@ -55,3 +59,44 @@ def test_replace_chunks(spark):
     diff = spark.createDataFrame([("a", "changed")], "path string, change string")
     new = spark.createDataFrame([("a", "3")], "path string, content string")
     assert sorted(tuple(r) for r in incremental.replace_chunks(old, diff, new).collect()) == [("a", "3"), ("b", "2")]
+
+
+def _by_line(spark, cases, f):
+    rows = spark.createDataFrame([(k,) for k in cases], "c string").select("c", f(F.col("c")).alias("r")).collect()
+    assert {r.c: r.r for r in rows} == cases
+
+
+def test_wrappable(spark):
+    _by_line(spark, {"git log | head": True, "git push": False, "cargo test && ls": True, "find . | xargs rm": False, "": False, "/usr/bin/git status": True, "npm run x; pytest": True, "npm install": False}, commands.wrappable)
+
+
+def test_stateful(spark):
+    _by_line(spark, {"cd x && ls": True, "A=1 make": True, "f() { ls; }": True, "echo `id`": True, "ls | wc": False, "": False, "make A=1": False}, commands.stateful)
+
+
+def test_redirect(spark):
+    cases = {"curl http://a": "network", "curl http://a -o f": None, "curl -s u -o -": "network", "mvn package": "build", "python -c 'requests.get(u)'": "network", "ls": None, "node -e 'fetch(\"https://a\")'": "network"}
+    _by_line(spark, cases, commands.redirect)
+
+
+def test_external_tool(spark):
+    _by_line(spark, {"mcp__db__query": True, "mcp__own__run": False, "mcp____x": False, "Read": False, "mcp__db": True}, lambda c: commands.external_tool(c, "own"))
+
+
+def test_codec_forms():
+    assert codec.compact([{"a": 1, "b": "long text"}, {"a": 2, "b": "long text"}]) == {"_d": ["long text"], "_v": {"__toon__": {"keys": ["a", "b"], "rows": [[1, "$0"], [2, "$0"]]}}, "_t": True}
+    assert codec.compact([3, 3, 3, 1])["_v"] == {"_rle": [[3, 3], [1, 1]]}
+    assert codec.compact([{"x": [1]}, {"x": None}])["_v"] == [{"x": [1]}, {}]
+
+
+_values = st.recursive(
+    st.none() | st.booleans() | st.integers(-3, 3) | st.sampled_from(["$0", "$$", "$", "repeated", "", "ä"]),
+    lambda x: st.lists(x, max_size=4) | st.dictionaries(st.sampled_from(["a", "b", "_rle", "_tbl", "__toon__", "_d"]), x, max_size=3),
+    max_leaves=12,
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_values)
+def test_codec_round_trip(v):
+    assert codec.expand(codec.compact(v)) == codec.drop_nulls(v)
