@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,3 +97,42 @@ def find(nodes: DataFrame, words: list[str], name_tokens: Column) -> DataFrame:
     hits = sum((F.when(s > 0, 1).otherwise(0) for s in each), F.lit(0))
     score = sum(each, F.lit(0)) + 2 * F.greatest(hits - 1, F.lit(0))
     return nodes.withColumn("score", score.cast("int")).where("score > 0")
+
+
+def symbol(nodes: DataFrame, edges: DataFrame, name: str, recent: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) around the nodes whose name holds ``name``: those of recent files (file) first, then by rank, ``limit`` at most; with their neighbours."""
+    ranked = nodes.where(F.contains(F.lower("name"), F.lit(name.lower()))).join(page_rank(nodes, edges), "id")
+    touched = recent.select("file").distinct().withColumn("recent", F.lit(True))
+    best = ranked.join(touched, "file", "left").orderBy(F.coalesce("recent", F.lit(False)).desc(), F.desc("rank"), "id").limit(limit)
+    around = stored(within(edges, best.select("id"), 1).select("id").distinct())
+    return nodes.join(around, "id", "left_semi"), induced(around, edges)
+
+
+def overview(entries: DataFrame, budget: int, cells: int = 8_000_000) -> list[str]:
+    """Ids of the entries (id, rank, tokens, each of one token at least) of the greatest rank in sum that fit the budget, by rank.
+
+    All if they fit; by a 0/1 knapsack on the driver if its table has no more than ``cells``; else as many of the highest rank as fit.
+    The driver gets no more rows than the budget has tokens, or than the table has rows.
+    """
+    n, total = entries.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    ranked = entries.orderBy(F.desc("rank"), "id").select("id", "rank", "tokens")
+    if budget <= 0 or not n:
+        return []
+    if total <= budget or n * budget > cells:
+        rows = ranked.limit(budget).collect()
+        sums = np.cumsum([r["tokens"] for r in rows])
+        return [r["id"] for r, used in zip(rows, sums, strict=True) if used <= budget]
+    rows = ranked.collect()
+    best, took = np.zeros(budget + 1), np.zeros((len(rows), budget + 1), bool)
+    for i, r in enumerate(rows):
+        w = r["tokens"]
+        if w <= budget:
+            with_it = best[: budget + 1 - w] + r["rank"]
+            took[i, w:] = with_it > best[w:]
+            best[w:] = np.maximum(best[w:], with_it)
+    left, chosen = budget, []
+    for i in range(len(rows) - 1, -1, -1):
+        if took[i, left]:
+            chosen.append(rows[i]["id"])
+            left -= rows[i]["tokens"]
+    return chosen[::-1]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillspan.functions import codec
 from quillspan.functions import text as t
-from quillspan.operators import commands, graph as g, incremental
+from quillspan.operators import commands, extract, incremental
+from quillspan.operators import graph as g
 from quillspan.plans.queries import query
 from quillspan.sources.stored import shared_folder
 from quillspan.sources.tables import CHUNKS, GRAPH, OPS, chunks, graph, op_records, table
@@ -227,3 +230,58 @@ def _(s, d):
 @query("W4_keyed_counters", "SELECT user_id AS session_id, event_type AS tool, count(*) AS n FROM events GROUP BY 1, 2")
 def _(s, d):
     return counters.drained(counters.keyed_counters(counters.event_stream(s, d)))
+
+
+# code
+FILES = [
+    ("app/main.py", "from app.store import put\n\ndef main():\n    put(load(1))\n\ndef load(n):\n    return n\n"),
+    ("app/store.py", "class Store:\n    def put(self, x):\n        return load(x)\n\ndef put(x):\n    Store().put(x)\n"),
+    ("src/lib.rs", "use store::put;\nfn main() {\n  put(load(1));\n}\nfn load(n: i32) -> i32 { n }\n"),
+]
+
+
+def _files(s):
+    return s.createDataFrame(FILES, "path string, content string")
+
+
+@query("G1_extracted")
+def _(s, d):
+    return extract.extracted(_files(s))
+
+
+@query("G3_languages")
+def _(s, d):
+    return _files(s).select("path", extract.language(F.col("path")).alias("language"))
+
+
+@query("G9_resolved_calls")
+def _(s, d):
+    """Calls of functions, resolved in the file, then through its imports, then anywhere."""
+    rows = extract.extracted(_files(s), ["python"])
+    defs = rows.where("row = 'def'").select("name", F.concat_ws(":", "path", "name", "line").alias("id"), F.col("path").alias("file"))
+    calls = rows.where("row = 'call' and owner is not null").select(F.concat_ws(":", "path", "owner").alias("caller"), F.col("path").alias("file"), F.col("name").alias("callee_name"))
+    imports = rows.where("row = 'import'").select(F.col("path").alias("file"), "name").join(defs.select("name", F.col("file").alias("from_file")), "name").where("file <> from_file").select("file", "from_file", "name")
+    return g.resolve_calls(calls, defs, imports.distinct())
+
+
+@query("A2_skeletons")
+def _(s, d):
+    def cut(x: pd.Series) -> pd.Series:
+        return x.map(extract.skeleton)
+
+    skeleton = F.pandas_udf(cut, StringType())
+    return _files(s).where(extract.language(F.col("path")) == "python").select("path", skeleton("content").alias("skeleton"))
+
+
+@query("Q2_symbol")
+def _(s, d):
+    nodes, edges = graph(s, d)
+    recent = s.createDataFrame([("nation",)], "file string")
+    return g.symbol(nodes.withColumn("file", F.col("kind")), edges, "united", recent, 5)[0].select("id", "name", "kind")
+
+
+@query("Q15_overview")
+def _(s, d):
+    nodes, edges = graph(s, d)
+    entries = nodes.where("kind <> 'customer'").join(g.page_rank(nodes, edges), "id").select("id", "rank", F.greatest(F.ceil(F.length("name") / 4), F.lit(1)).alias("tokens"))
+    return s.createDataFrame([(x,) for x in g.overview(entries, 200)], "id string")

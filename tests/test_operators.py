@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from quillspan.functions import codec
 from quillspan.functions import text as t
-from quillspan.operators import commands, graph, incremental, rules, sessions
+from quillspan.operators import commands, extract, graph, incremental, rules, sessions
 
 
 def test_subwords(spark):
@@ -100,3 +100,33 @@ _values = st.recursive(
 @given(_values)
 def test_codec_round_trip(v):
     assert codec.expand(codec.compact(v)) == codec.drop_nulls(v)
+
+
+PYTHON = "import os.path\n\nclass A:\n    def f(self):\n        return g(1)\n\n\n\ndef g(x):\n    y = x.h()\n    return y\n\ng(2)\n"
+RUST = 'use a::b;\nfn f(x: i32) {\n  if (x > 0) { g(x); } // h(1)\n}\nstruct S {}\nfn g(x: i32) { println!("k(2)"); }\n'
+
+
+def test_extraction(spark):
+    files = spark.createDataFrame([("a.py", PYTHON), ("b.rs", RUST), ("c.txt", "def f"), ("d.py", "def ("), ("e.py", None)], "path string, content string")
+    got = {(r.path, r.row, r.name, r.owner, r.line) for r in extract.extracted(files).collect()}
+    assert got == {
+        ("a.py", "import", "path", None, 1), ("a.py", "def", "A", None, 3), ("a.py", "def", "f", None, 4), ("a.py", "call", "g", "f", 5), ("a.py", "def", "g", None, 9),
+        ("a.py", "call", "h", "g", 10), ("a.py", "call", "g", None, 13), ("b.rs", "import", "b", None, 1), ("b.rs", "def", "f", None, 2), ("b.rs", "call", "g", "f", 3),
+        ("b.rs", "def", "S", None, 5), ("b.rs", "def", "g", None, 6), ("b.rs", "call", "println", "g", 6),
+    }
+    assert {r.path for r in extract.extracted(files, ["Rust"]).collect()} == {"b.rs"}
+
+
+def test_skeleton():
+    assert extract.skeleton(PYTHON) == "import os.path\n\nclass A:\n    def f(self):\n        …\n\ndef g(x):\n    …\n\ng(2)\n"
+
+
+def test_symbol_and_overview(spark):
+    nodes = spark.createDataFrame([("a", "run", "f1"), ("b", "runner", "f2"), ("c", "stop", "f1"), ("d", "idle", "f3")], "id string, name string, file string")
+    edges = spark.createDataFrame([("c", "b", "calls"), ("d", "c", "calls")], "src string, dst string, kind string")
+    around, links = graph.symbol(nodes, edges, "RUN", spark.createDataFrame([("f2",)], "file string"), limit=1)
+    assert {r.id for r in around.collect()} == {"b", "c"} and [tuple(r) for r in links.collect()] == [("c", "b", "calls")]
+    entries = spark.createDataFrame([("hub", 5.0, 9), ("x", 3.0, 4), ("y", 3.0, 4), ("z", 0.1, 1)], "id string, rank double, tokens long")
+    assert graph.overview(entries, 9) == ["x", "y", "z"]
+    assert graph.overview(entries, 18) == ["hub", "x", "y", "z"]
+    assert graph.overview(entries, 0) == []
