@@ -1,9 +1,13 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors. Every vector is described by its ``prefix`` nearest pivots; the inverted list of a
-pivot holds the vectors that have it among theirs. Two vectors are candidates if they share at least ``min_shared`` pivots, and
-links if their cosine, in double precision, is at least ``threshold``. A pair is looked at in the list of its first shared
-pivot only. Lists longer than ``BLOCK`` are dealt out as pairs of blocks, so a task holds two blocks, however hot a pivot is.
+Pivots are a bounded sample of the vectors, spread out: one as close to an earlier pivot as ``SPREAD`` is passed over, so a dense
+group cannot supply the pivots that its members are told apart by. A vector within ``OWNED`` of its nearest pivot belongs to
+it and is compared with all vectors that its links can be among, those of the pivot's ball (by the triangle inequality of
+angles), so no link of it is lost. Any other vector is described by its ``prefix`` nearest pivots; the inverted list of a
+pivot holds the vectors that have it among theirs. Two of them are candidates if they share at least ``min_shared`` pivots.
+Candidates are links if their cosine, in double precision, is at least ``threshold``. A pair is looked at in the ball of its
+first owner or, with none, in the list of its first shared pivot only. Balls and lists longer than ``BLOCK`` are dealt out as
+pairs of blocks, so a task holds two blocks, however hot a pivot is.
 Of the links a task returns sums per vector and a spanning forest, never the pairs, so groups of n copies cost O(n) rows.
 
 Equal vectors are one representative with a count. Null, zero, or non-finite vectors, and vectors of another dimension than
@@ -24,6 +28,8 @@ from quillspan.llm.common import components, read, stored
 THRESHOLD, PREFIX, MIN_SHARED, BLOCK = 0.95, 12, 2, 1024
 #: Pivots: one for so many vectors, within these bounds.
 VECTORS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 64, 64, 4096
+#: Cosines that pivots stay under, the next where the one before leaves too few; candidates for one pivot; the cosine to its pivot of an owned vector.
+SPREAD, CANDIDATES, OWNED = (0.6, 0.7, 0.8), 4, 0.9
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -31,6 +37,28 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _spread(x: np.ndarray, most: int) -> np.ndarray:
+    """``most`` of the unit vectors at most, in order, none as close to another as SPREAD."""
+    chosen: list[int] = []
+    nearest = np.full(len(x), -1.0)
+    for limit in SPREAD:
+        for i in range(len(x)):
+            if len(chosen) < most and nearest[i] < limit:
+                chosen.append(i)
+                nearest = np.maximum(nearest, x @ x[i])
+    return x[chosen]
+
+
+def _owned_links(a: pd.DataFrame, b: pd.DataFrame, pivot: int, same: bool, threshold: float) -> np.ndarray:
+    """Which of a's vectors link with which of b's, of the pairs whose first owner is ``pivot``."""
+    found = np.minimum(a.owner.to_numpy()[:, None], b.owner.to_numpy()[None, :]) == pivot
+    if same:
+        found &= np.triu(np.ones(found.shape, bool), 1)
+    if found.any():
+        found &= _unit(a.v.tolist()) @ _unit(b.v.tolist()).T >= threshold
+    return found
+
+
 def _links_between(a: pd.DataFrame, b: pd.DataFrame, pivot: int, same: bool, threshold: float, min_shared: int) -> np.ndarray:
     """Which of a's vectors link with which of b's, of the pairs whose first shared pivot is ``pivot``."""
     pa_, pb = np.stack(a.pivots.to_numpy()), np.stack(b.pivots.to_numpy())
@@ -58,10 +86,16 @@ def _links_between(a: pd.DataFrame, b: pd.DataFrame, pivot: int, same: bool, thr
     return found
 
 
-def _block_pair(key: tuple, rows: pd.DataFrame, threshold: float, min_shared: int) -> pd.DataFrame:
+def _block_pair(key: tuple, rows: pd.DataFrame, threshold: float, min_shared: int, n_pivots: int) -> pd.DataFrame:
+    """Lists are numbered as their pivots, balls by ``n_pivots`` more."""
     pivot, i, j = (int(x) for x in key)
     a, b = rows[rows.block == i], rows[rows.block == j]
-    found = _links_between(a, b, pivot, i == j, threshold, min_shared) if len(a) and len(b) else np.zeros((0, 0), bool)
+    if not len(a) or not len(b):
+        found = np.zeros((0, 0), bool)
+    elif pivot >= n_pivots:
+        found = _owned_links(a, b, pivot - n_pivots, i == j, threshold)
+    else:
+        found = _links_between(a, b, pivot, i == j, threshold, min_shared)
     if not found.any():
         return pd.DataFrame({"id": [], "n": [], "to": []}, dtype="int64")
     ids = np.concatenate([a.id.to_numpy(), b.id.to_numpy()])
@@ -93,34 +127,42 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
     reps = stored(groups.select(F.xxhash64("embedding", "least").alias("id"), "embedding", "least", "count"))
     total = reps.count()
     n_pivots = n_pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, total // VECTORS_A_PIVOT))
-    sample = [r.embedding for r in reps.orderBy("id").limit(n_pivots).select("embedding").collect()]
+    sample = [r.embedding for r in reps.orderBy("id").limit(CANDIDATES * n_pivots).select("embedding").collect()]
     widths = [len(r) for r in sample]
     width = max(set(widths), key=widths.count) if widths else 0
-    pivots = _unit([r for r in sample if len(r) == width]).T if width else np.zeros((0, 0))
-    near = min(prefix, pivots.shape[1])
+    pivots = _spread(_unit([r for r in sample if len(r) == width]), n_pivots).T if width else np.zeros((0, 0))
+    count = pivots.shape[1]
+    near = min(prefix, count)
+    min_shared = min(min_shared, near)
+    ball = np.cos(min(np.pi, np.arccos(OWNED) + np.arccos(threshold))) - 1e-9
     if not near:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<pivots: array<int>, keys: array<int>, owner: int>")
     def nearest(embedding: pa.Array) -> pa.Array:
+        """The nearest pivots, the numbers of the lists and balls, and the owner or a number beyond all pivots."""
         x = _unit(embedding.to_pylist())
         close = x @ pivots
         top = np.argpartition(-close, near - 1, 1)[:, :near]
         order = np.take_along_axis(top, np.argsort(-np.take_along_axis(close, top, 1), 1, kind="stable"), 1)
-        return pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))
-
-    indexed = reps.where(F.size("embedding") == width).select("id", "count", F.col("embedding").alias("v"), nearest("embedding").alias("pivots"))
-    lists = stored(indexed.select("id", "count", "v", "pivots", F.explode("pivots").alias("pivot")))
-    sizes = {r.pivot: r.n for r in lists.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # a row per pivot
-    blocks = np.ones(pivots.shape[1], np.int64)
+        owner = np.where(np.take_along_axis(close, order[:, :1], 1)[:, 0] >= OWNED, order[:, 0], count)
+        described = [[] if o < count else row for o, row in zip(owner, order.tolist())]
+        keys = [row + (np.flatnonzero(c >= ball) + count).tolist() for row, c in zip(described, close)]
+        ints = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays([pa.array(described, ints), pa.array(keys, ints), pa.array(owner.astype(np.int32))], ["pivots", "keys", "owner"])
+
+    indexed = reps.where(F.size("embedding") == width).select("id", "count", F.col("embedding").alias("v"), nearest("embedding").alias("at"))
+    lists = stored(indexed.select("id", "count", "v", "at.pivots", "at.owner", F.explode("at.keys").alias("pivot")))
+    sizes = {r.pivot: r.n for r in lists.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # two rows per pivot
+    blocks = np.ones(2 * count, np.int64)
     for p, n in sizes.items():
         blocks[p] = -(-n // block)
     many = F.element_at(F.array(*(F.lit(int(x)) for x in blocks)), F.col("pivot") + 1) if len(set(blocks)) > 1 else F.lit(int(blocks[0]))
     dealt = lists.withColumn("blocks", many).withColumn("block", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
     # block b meets every block once: as the first of the pair or as the second
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    dealt = dealt.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "count", "v", "pivots")
-    found = stored(dealt.groupBy("pivot", "i", "j").applyInPandas(lambda key, rows: _block_pair(key, rows, threshold, min_shared), "id long, n long, to long"))
+    dealt = dealt.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "count", "v", "pivots", "owner")
+    found = stored(dealt.groupBy("pivot", "i", "j").applyInPandas(lambda key, rows: _block_pair(key, rows, threshold, min_shared, count), "id long, n long, to long"))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     # components are of representatives, whose numbers are hashes; the least vec_id of each is looked up

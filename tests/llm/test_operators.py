@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -292,3 +294,20 @@ def test_pivots(spark):
     assert all(got[k].n_links <= n for k, n in links.items())
     assert got[904].component_id == 5 and not got[904].kept and got[900].kept and got[901].n_links == 0
     assert pivots.near_vectors(df.limit(0)).count() == 0
+
+
+def test_pivots_in_a_large_group(spark, tmp_path):
+    """A third of the vectors are near copies: around one centre, the pairs close to the threshold."""
+    r = np.random.default_rng(5)
+    n, group = 24000, 8000
+    x = r.normal(size=(n, 64))
+    x[:group] = x[0] / np.linalg.norm(x[0]) + np.sqrt((1 / 0.955 - 1) / 64) * r.normal(size=(group, 64))
+    x = x.astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), f"{tmp_path}/v.parquet")
+    got = {g.vec_id: g for g in pivots.near_vectors(spark.read.parquet(f"{tmp_path}/v.parquet")).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = np.concatenate([(y[i : i + 2000] @ y.T >= 0.95).sum(1) - 1 for i in range(0, n, 2000)])
+    links = np.array([got[k].n_links for k in range(n)])
+    assert (links <= want).all() and links.sum() >= 0.999 * want.sum() > 1e7
+    root = min(np.flatnonzero(want[:group]))
+    assert all(got[k].component_id == root for k in range(group) if want[k] > 1)
