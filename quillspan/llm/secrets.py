@@ -39,7 +39,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The parts of a run that mixes the plain and the URL-safe alphabet.
+_PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
 _MAGIC = ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15))
 
 
@@ -83,6 +85,16 @@ def _opened(raw: bytes) -> bytes | None:
     return None
 
 
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the base64 runs, and of the parts in one alphabet of those that mix both."""
+    for m in _BASE64.finditer(text):
+        yield m.span()
+        run = m.group()
+        if ("+" in run or "/" in run) and ("-" in run or "_" in run):
+            for part in _PARTS:
+                yield from (x.span() for x in part.finditer(text, *m.span()))
+
+
 def _from_base64(run: str) -> str | None:
     """The text inside a base64 run, opened as often as it is compressed."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
@@ -175,9 +187,9 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         for sign, pattern, spell in (("%", _PERCENT, _percent), ("\\", _UNICODE, _unicode), ("&#", _UNICODE, _unicode)):
             if sign in layer and (out := _escapes(layer, pattern, spell)):
                 inner.append((out[0], *_origins(len(out[0]), out[1], starts, ends)))
-        for m in _BASE64.finditer(layer):
-            if (out := _from_base64(m.group())) and out != m.group():
-                s, e = (m.start(), m.end()) if starts is None else (int(starts[m.start()]), int(ends[m.end() - 1]))
+        for start, end in _runs(layer):
+            if out := _from_base64(layer[start:end]):
+                s, e = (start, end) if starts is None else (int(starts[start]), int(ends[end - 1]))
                 inner.append((out, np.full(len(out), s), np.full(len(out), e)))
         for x in inner:
             key = hashlib.blake2b(x[0].encode("utf-8", "surrogatepass"), digest_size=16, salt=b"" if len(x[1]) == 0 else int(x[1][0]).to_bytes(8, "little")).digest()

@@ -152,6 +152,20 @@ def test_secrets(docs, none):
     assert "hunter22" not in secrets.redact(docs.sparkSession.createDataFrame([("a password=hunter22",)], "text string")).first().text
 
 
+def test_secrets_in_url_safe_runs():
+    r = random.Random(1)
+    key = "AKIA" + "ABCD1234" * 2
+    for _ in range(100):
+        text = "".join(r.choice("ÿþ¿ñ>?abcdefgh ") for _ in range(200)) + f" password=hunter2222 {key}"
+        for raw, kinds in ((text.encode(), {0, 1}), (zlib.compress(text.encode()), {0, 1})):
+            run = base64.urlsafe_b64encode(raw).decode()
+            assert {k for _, k, _ in secrets.scan_text(f"see {run} end")[1]} == kinds
+            assert (4, 1, 4 + len(run)) in secrets.scan_text(f"see {run} end")[1]
+    mixed = base64.b64encode(f"<<<???>>> {key}".encode()).decode()
+    assert "/" in mixed or "+" in mixed
+    assert {k for _, k, _ in secrets.scan_text(f"a_{mixed}")[1]} == {1}
+
+
 def test_phrases(docs, none, spark, tmp_path):
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = both(tuple(r) for r in phrases.op7_phrases(spark, str(tmp_path)).collect())
