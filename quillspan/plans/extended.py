@@ -15,7 +15,7 @@ from quillspan.operators import commands, extract, incremental
 from quillspan.operators import graph as g
 from quillspan.plans.queries import query
 from quillspan.sources.stored import shared_folder
-from quillspan.sources.tables import CHUNKS, GRAPH, OPS, chunks, graph, op_records, table
+from quillspan.sources.tables import CHUNKS, GRAPH, OPS, chunks, graph, op_records, table, whole_graph
 from quillspan.streaming import counters
 
 #: Sample command lines.
@@ -275,13 +275,13 @@ def _(s, d):
 
 @query("Q2_symbol")
 def _(s, d):
-    nodes, edges = graph(s, d)
+    nodes, edges = whole_graph(s, d)
     recent = s.createDataFrame([("nation",)], "file string")
     return g.symbol(nodes.withColumn("file", F.col("kind")), edges, "united", recent, 5)[0].select("id", "name", "kind")
 
 
 @query("Q15_overview")
 def _(s, d):
-    nodes, edges = graph(s, d)
+    nodes, edges = whole_graph(s, d)
     entries = nodes.where("kind <> 'customer'").join(g.page_rank(nodes, edges), "id").select("id", "rank", F.greatest(F.ceil(F.length("name") / 4), F.lit(1)).alias("tokens"))
     return s.createDataFrame([(x,) for x in g.overview(entries, 200)], "id string")

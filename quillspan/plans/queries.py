@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as t
 from quillspan.operators import graph as g
 from quillspan.operators import incremental, oplog, rules, search, sessions
-from quillspan.sources.tables import CHUNKS, GRAPH, OPS, PROMPTS, chunks, graph, op_records, prompts, table
+from quillspan.sources.tables import CHUNKS, GRAPH, OPS, PROMPTS, chunks, graph, op_records, prompts, table, whole_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -424,13 +424,13 @@ def _(s, d):
 
 @query("Q6_ranked_nodes")
 def _(s, d):
-    nodes, edges = graph(s, d)
+    nodes, edges = whole_graph(s, d)
     return g.page_rank(nodes, edges).orderBy(F.desc("rank"), "id").limit(20)
 
 
 @query("Q7_personalized")
 def _(s, d):
-    nodes, edges = graph(s, d)
+    nodes, edges = whole_graph(s, d)
     return g.page_rank(nodes, edges, seed=s.createDataFrame([("region:1", 1.0)], "id string, share double")).orderBy(F.desc("rank"), "id").limit(20)
 
 

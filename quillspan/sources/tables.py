@@ -47,7 +47,10 @@ words AS (SELECT chunk_id, list_filter(string_split_regex(lower(content), '[^\\p
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the star schema: regions contain nations, nations customers and suppliers; suppliers import parts."""
+    """(nodes, edges) of the star schema as the SQL of GRAPH has them: regions contain nations, nations customers and suppliers; suppliers import the parts of their first line items.
+
+    ``whole_graph`` has the further imports and the calls.
+    """
     t = lambda n: table(spark, sf_dir, n)
     ref = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     nodes = None
@@ -60,6 +63,18 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.unionByName(edge(t("lineitem").where("l_linenumber = 1"), "supplier", "l_suppkey", "part", "l_partkey", "imports").distinct())
 
 
+def whole_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of ``graph`` with the orders as nodes: suppliers import the parts of all line items, orders call their customers."""
+    nodes, edges = graph(spark, sf_dir)
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    ref = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    order = ref("order", "o_orderkey")
+    imports = items.select(ref("supplier", "l_suppkey").alias("src"), ref("part", "l_partkey").alias("dst"), F.lit("imports").alias("kind")).distinct()
+    calls = orders.select(order.alias("src"), ref("customer", "o_custkey").alias("dst"), F.lit("calls").alias("kind")).distinct()
+    nodes = nodes.unionByName(orders.select(order.alias("id"), order.alias("name"), F.lit("order").alias("kind")))
+    return nodes, edges.where("kind = 'contains'").unionByName(imports).unionByName(calls)
+
+
 GRAPH = """nodes AS (SELECT 'region:' || r_regionkey AS id, r_name AS name, 'region' AS kind FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'nation' FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, c_name, 'customer' FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT 'part:' || p_partkey, p_name, 'part' FROM part),
 edges AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst, 'contains' AS kind FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'contains' FROM customer

@@ -1,5 +1,7 @@
 """Operator contracts that SQL does not cover."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from hypothesis import given, settings
@@ -8,6 +10,9 @@ from hypothesis import strategies as st
 from quillspan.functions import codec
 from quillspan.functions import text as t
 from quillspan.operators import commands, extract, graph, incremental, rules, sessions
+from quillspan.plans.queries import QUERIES
+from quillspan.sources import tables
+from tests.conftest import SMALL
 
 
 def test_subwords(spark):
@@ -130,3 +135,24 @@ def test_symbol_and_overview(spark):
     assert graph.overview(entries, 9) == ["x", "y", "z"]
     assert graph.overview(entries, 18) == ["hub", "x", "y", "z"]
     assert graph.overview(entries, 0) == []
+
+
+def test_whole_graph_and_its_ranks(spark):
+    nodes, edges = tables.whole_graph(spark, SMALL)
+    t = {n: pd.read_parquet(f"{SMALL}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    pairs = lambda n, a, ka, b, kb, kind: {(f"{a}:{x}", f"{b}:{y}", kind) for x, y in zip(t[n][ka], t[n][kb], strict=True)}
+    want = pairs("nation", "region", "n_regionkey", "nation", "n_nationkey", "contains") | pairs("customer", "nation", "c_nationkey", "customer", "c_custkey", "contains")
+    want |= pairs("supplier", "nation", "s_nationkey", "supplier", "s_suppkey", "contains") | pairs("lineitem", "supplier", "l_suppkey", "part", "l_partkey", "imports")
+    want |= pairs("orders", "order", "o_orderkey", "customer", "o_custkey", "calls")
+    got = [tuple(r) for r in edges.collect()]
+    assert len(got) == len(want) and set(got) == want
+    ids = [r.id for r in nodes.collect()]
+    assert len(ids) == len(set(ids)) == sum(len(t[n]) for n in t if n != "lineitem")
+    at = {x: i for i, x in enumerate(ids)}
+    src, dst = (np.array([at[e[k]] for e in want]) for k in (0, 1))
+    out, rank = np.bincount(src, minlength=len(ids)), np.full(len(ids), 1 / len(ids))
+    for _ in range(graph.ROUNDS):
+        rank = 0.15 / len(ids) + 0.85 * (np.bincount(dst, (rank / np.maximum(out, 1))[src], len(ids)) + rank[out == 0].sum() / len(ids))
+    ranks = {r.id: r["rank"] for r in QUERIES["Q6_ranked_nodes"](spark, SMALL).collect()}
+    assert len(ranks) == 20 and all(abs(rank[at[k]] - v) < 1e-9 for k, v in ranks.items())
+    assert abs(min(ranks.values()) - np.sort(rank)[-20]) < 1e-9
