@@ -3,7 +3,9 @@
 A text is the first layer of a worklist. Each layer is scanned; its encoded runs (percent escapes, Unicode escapes, base64 of
 text or of zlib, gzip, bzip2 or xz data) are unwrapped into further layers, until nothing new comes out. A layer seen before
 in the same text, by its digest, is not worked on again, so cycles end. Every layer knows where each of its characters
-comes from in the text: one by one where escapes are replaced, as a whole run where base64 or compressed data is opened. A
+comes from in the text: one by one where escapes are replaced, as a whole run where base64 or compressed data is opened. The
+lines of wrapped base64 are one run. A run that is not readable as it stands (glued to a path or a word, say) is decoded at all
+four alignments, and compressed data is looked for at any place in it. A
 finding of an inner layer becomes the span of the text that it came from.
 
 Spans count code points, end exclusive. Null text counts as empty. Compressed data is opened up to ``MAX_LAYER`` bytes a layer,
@@ -39,9 +41,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: The parts of a run that mixes the plain and the URL-safe alphabet.
-_PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+_RUN = re.compile(r"[A-Za-z0-9+/_-]++={0,2}")
+#: A run with the lines that follow it; they hold nothing else but for what may close a block.
+_BASE64 = re.compile(r"""[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++(?==|[ \t]*+(?:\r?\n|\Z)|["'`<>)\],;}\\]))*+(?:(?:[ \t]*+\r?\n[ \t]*+)?=){0,2}""")
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 _MAGIC = ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15))
 
 
@@ -85,14 +88,15 @@ def _opened(raw: bytes) -> bytes | None:
     return None
 
 
-def _runs(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the base64 runs, and of the parts in one alphabet of those that mix both."""
-    for m in _BASE64.finditer(text):
-        yield m.span()
-        run = m.group()
-        if ("+" in run or "/" in run) and ("-" in run or "_" in run):
-            for part in _PARTS:
-                yield from (x.span() for x in part.finditer(text, *m.span()))
+def _unpacked(raw: bytes) -> bytes | None:
+    """Compressed bytes, opened as often as they are compressed; None if they are not."""
+    out = None
+    for _ in range(MAX_LAYERS_DEEP):
+        inner = _opened(raw if out is None else out)
+        if inner is None:
+            break
+        out = inner
+    return out
 
 
 def _from_base64(run: str) -> str | None:
@@ -104,12 +108,41 @@ def _from_base64(run: str) -> str | None:
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    for _ in range(MAX_LAYERS_DEEP):
-        inner = _opened(raw)
-        if inner is None:
-            break
-        raw = inner
-    return _readable(raw)
+    inner = _unpacked(raw)
+    return _readable(raw if inner is None else inner)
+
+
+def _alignments(run: str) -> Iterator[str]:
+    """The texts in a run that starts or ends with other characters: its four alignments, and the compressed data anywhere in them."""
+    body = run.replace("=", "").replace("-", "+").replace("_", "/")
+    for k in range(4):
+        part = body[k : len(body) - ((len(body) - k) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        yield raw.decode("utf-8", "replace")
+        for m in _STREAM.finditer(raw):
+            inner = _unpacked(raw[m.start() :])
+            if inner is not None and (out := _readable(inner)):
+                yield out
+
+
+def _decoded(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text inside) of the base64 of a layer."""
+    for m in _BASE64.finditer(text):
+        lines = list(_RUN.finditer(text, *m.span()))
+        run = "".join(x.group() for x in lines)
+        if out := _from_base64(run):
+            yield (*m.span(), out)
+            continue
+        for x in lines:
+            if len(lines) > 1 and len(x.group()) >= 16 and (out := _from_base64(x.group())):
+                yield (*x.span(), out)
+        for out in _alignments(run):
+            yield (*m.span(), out)
+
+
+def _empty(text: str) -> bool:
+    """Whether a layer has neither findings nor anything encoded."""
+    return not (base_spans(text) or _BASE64.search(text) or _PERCENT.search(text) or _UNICODE.search(text))
 
 
 def _escapes(text: str, pattern: re.Pattern, spell) -> tuple[str, list[tuple[int, int, int]]] | None:
@@ -160,8 +193,13 @@ def _unicode(run: str, start: int) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def _origins(n: int, marks: list[tuple[int, int, int]], starts: np.ndarray | None, ends: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of n characters of the inner layer starts and ends in the whole text."""
+Origin = np.ndarray | int | None
+
+
+def _origins(n: int, marks: list[tuple[int, int, int]], starts: Origin, ends: Origin) -> tuple[Origin, Origin]:
+    """Where each of n characters of the inner layer starts and ends in the whole text; one number where it is the same for all."""
+    if isinstance(starts, int):
+        return starts, ends
     step = np.ones(n, np.int64)
     at = np.array([m[0] for m in marks])
     width = np.array([m[2] - m[1] for m in marks])
@@ -171,6 +209,13 @@ def _origins(n: int, marks: list[tuple[int, int, int]], starts: np.ndarray | Non
     return (s, e) if starts is None else (starts[s], ends[e - 1])
 
 
+def _span(start: int, end: int, starts: Origin, ends: Origin) -> tuple[int, int]:
+    """Where a span of a layer is in the whole text."""
+    if starts is None:
+        return start, end
+    return (starts, ends) if isinstance(starts, int) else (int(starts[start]), int(ends[end - 1]))
+
+
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base findings, all findings), each (start, number of the kind, end) in order."""
     base = base_spans(text)
@@ -178,21 +223,23 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     if not encoded and not _BASE64.search(text):
         return base, base
     found, seen = set(base), {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
+    work: list[tuple[str, Origin, Origin]] = [(text, None, None)]
     while work:
         layer, starts, ends = work.pop()
         if starts is not None:
-            found.update((int(starts[s]), k, int(ends[e - 1])) for s, k, e in base_spans(layer))
+            for s, k, e in base_spans(layer):
+                at = _span(s, e, starts, ends)
+                found.add((at[0], k, at[1]))
         inner = []
         for sign, pattern, spell in (("%", _PERCENT, _percent), ("\\", _UNICODE, _unicode), ("&#", _UNICODE, _unicode)):
             if sign in layer and (out := _escapes(layer, pattern, spell)):
                 inner.append((out[0], *_origins(len(out[0]), out[1], starts, ends)))
-        for start, end in _runs(layer):
-            if out := _from_base64(layer[start:end]):
-                s, e = (start, end) if starts is None else (int(starts[start]), int(ends[end - 1]))
-                inner.append((out, np.full(len(out), s), np.full(len(out), e)))
+        for start, end, out in _decoded(layer):
+            if not _empty(out):
+                inner.append((out, *_span(start, end, starts, ends)))
         for x in inner:
-            key = hashlib.blake2b(x[0].encode("utf-8", "surrogatepass"), digest_size=16, salt=b"" if len(x[1]) == 0 else int(x[1][0]).to_bytes(8, "little")).digest()
+            first = x[1] if isinstance(x[1], int) else int(x[1][0])
+            key = hashlib.blake2b(x[0].encode("utf-8", "surrogatepass"), digest_size=16, salt=first.to_bytes(8, "little")).digest()
             if key not in seen:
                 seen.add(key)
                 work.append(x)

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import base64
+import bz2
 import collections
 import hashlib
 import random
@@ -166,6 +167,24 @@ def test_secrets_in_url_safe_runs():
     assert {k for _, k, _ in secrets.scan_text(f"a_{mixed}")[1]} == {1}
 
 
+def test_secrets_in_wrapped_and_glued_runs():
+    r = random.Random(3)
+    key = "AKIA" + "ABCD1234" * 2
+    text = "".join(r.choice("abcdé über ") for _ in range(333)) + f" secret=hunter2222 {key} " + "".join(r.choice("xyzß ") for _ in range(200))
+    for raw in (text.encode(), zlib.compress(text.encode()), bz2.compress(text.encode())):
+        run = base64.b64encode(raw).decode()
+        for width, gap in ((76, "\n"), (64, "\r\n"), (61, "\n  ")):
+            block = gap.join(run[i : i + width] for i in range(0, len(run), width))
+            for head, tail in (("", ""), ("see ", " end"), ("-----BEGIN CERTIFICATE-----\n", "\n-----END CERTIFICATE-----")):
+                found = secrets.scan_text(head + block + tail)[1]
+                assert {k for _, k, _ in found} == {0, 1}, (width, head)
+                if head != "-----BEGIN CERTIFICATE-----\n":
+                    assert {(s, e) for s, _, e in found} == {(len(head), len(head) + len(block))}
+        for head in ("/data/", "/d/", "word", "a/b/c/some_directory/", "x-"):
+            assert {k for _, k, _ in secrets.scan_text(f"{head}{run} end")[1]} == {0, 1}, head
+    assert secrets.scan_text("internationalization\nand understanding\n" * 9)[1] == []
+
+
 def test_phrases(docs, none, spark, tmp_path):
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = both(tuple(r) for r in phrases.op7_phrases(spark, str(tmp_path)).collect())
