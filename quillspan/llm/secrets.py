@@ -8,19 +8,23 @@ lines of wrapped base64 are one run. A run that is not readable as it stands (gl
 four alignments, and compressed data is looked for at any place in it. A
 finding of an inner layer becomes the span of the text that it came from.
 
-Spans count code points, end exclusive. Null text counts as empty. Compressed data is opened up to ``MAX_LAYER`` bytes a layer,
-a guard against decompression bombs; the text itself is always scanned whole. Repeated rows are scanned each; other columns
+Spans count code points, end exclusive. Null text counts as empty. Compressed data is opened to its end, member after member and
+as often as it is compressed, in pieces that overlap, so memory stays bounded and time grows with what a bomb inflates to; broken
+data is read up to where it breaks. Two bounds are left: an encoded run inside compressed data is decoded in parts beyond
+``MAX_RUN`` characters, and an xz stream that needs more than ``XZ_MEMORY`` is not opened. Repeated rows are scanned each; other columns
 pass through ``scan`` except those with the names of its results, which are replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
+import string
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,8 +36,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import read, text_batches
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 64 << 20
-MAX_LAYERS_DEEP = 64
+PIECE, OVERLAP, MAX_RUN, XZ_MEMORY = 4 << 20, 1 << 16, 64 << 20, 1 << 30
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -44,6 +47,7 @@ _ONE_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#([0-9]
 _RUN = re.compile(r"[A-Za-z0-9+/_-]++={0,2}")
 #: A run with the lines that follow it; they hold nothing else but for what may close a block.
 _BASE64 = re.compile(r"""[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++(?==|[ \t]*+(?:\r?\n|\Z)|["'`<>)\],;}\\]))*+(?:(?:[ \t]*+\r?\n[ \t]*+)?=){0,2}""")
+_RUN_CHARS = string.ascii_letters + string.digits + "+/_-=%\\{}&#;\r\n\t"
 _STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 _MAGIC = ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15))
 
@@ -73,69 +77,154 @@ def _readable(raw: bytes) -> str | None:
     return text if not any(c < 32 and c not in (9, 10, 11, 12, 13) or c == 127 for c in raw) else None
 
 
-def _opened(raw: bytes) -> bytes | None:
-    """What compressed bytes hold, or None if they are not compressed or broken."""
-    try:
-        for magic, bits in _MAGIC:
-            if raw.startswith(magic):
-                return zlib.decompressobj(bits).decompress(raw, MAX_LAYER)
-        if raw.startswith(b"BZh"):
-            return bz2.BZ2Decompressor().decompress(raw, MAX_LAYER)
-        if raw.startswith(b"\xfd7zXZ\x00"):
-            return lzma.LZMADecompressor(memlimit=MAX_LAYER).decompress(raw, MAX_LAYER)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        pass
-    return None
-
-
-def _unpacked(raw: bytes) -> bytes | None:
-    """Compressed bytes, opened as often as they are compressed; None if they are not."""
-    out = None
-    for _ in range(MAX_LAYERS_DEEP):
-        inner = _opened(raw if out is None else out)
-        if inner is None:
+def _opener(raw: bytes):
+    """What decompresses a stream that starts like this, or None."""
+    for magic, bits in _MAGIC:
+        if raw.startswith(magic):
+            return zlib.decompressobj(bits)
+    if raw.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(memlimit=XZ_MEMORY) if raw.startswith(b"\xfd7zXZ\x00") else None
+
+
+class _Inflated:
+    """The pieces of what the compressed streams at the start of ``source`` hold, how many of its bytes they took, and whether the last of them was whole."""
+
+    def __init__(self, source: Iterator[bytes]):
+        self.source, self.used, self.whole = source, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        head, taken = b"", 0
+        while True:
+            while len(head) < 6 and (more := next(self.source, None)) is not None:
+                head, taken = head + more, taken + len(more)
+                if self.used:
+                    head = head.lstrip(b"\0")  # padding between streams
+            if (d := _opener(head)) is None:
+                return
+            self.whole = False
+            while not d.eof:
+                given = getattr(d, "needs_input", True)
+                try:
+                    piece = d.decompress(head if given else b"", PIECE)
+                except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, MemoryError):
+                    return
+                if given:
+                    head = getattr(d, "unconsumed_tail", b"")
+                if d.eof:
+                    head = d.unused_data
+                elif not piece and not head and getattr(d, "needs_input", True):
+                    if (head := next(self.source, b"")) == b"":
+                        return
+                    taken += len(head)
+                if piece:
+                    yield piece
+            self.used, self.whole = taken - len(head), True
+            head = head.lstrip(b"\0")
+
+
+def _gathered(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """Pieces of PIECE bytes at least, but for the last."""
+    parts, size = [], 0
+    for x in pieces:
+        parts.append(x)
+        size += len(x)
+        if size >= PIECE:
+            yield b"".join(parts)
+            parts, size = [], 0
+    if parts:
+        yield b"".join(parts)
+
+
+def _tail(text: str) -> str:
+    """The end of a piece that a finding or an encoded run may go on from."""
+    keep = len(text[: max(0, len(text) - OVERLAP)].rstrip(" "))
+    return text[max(0, min(keep, len(text.rstrip(_RUN_CHARS))) - 64, len(text) - MAX_RUN) :]
+
+
+def _opened(inflated: _Inflated) -> Iterator[str]:
+    """The text of compressed data, opened as often as it is compressed, in pieces that overlap; data that holds itself ends."""
+    pieces, seen, nested = _gathered(inflated), set(), []
+    while True:
+        if (first := next(pieces, None)) is None:
+            return
+        second = next(pieces, None)
+        if second is None:
+            key = hashlib.blake2b(first, digest_size=16).digest()
+            if key in seen:
+                return
+            seen.add(key)
+        pieces = iter((first,)) if second is None else itertools.chain((first, second), pieces)
+        if _opener(first) is None or next(iter(_Inflated(iter((first,)))), None) is None:
             break
-        out = inner
-    return out
+        nested.append((_Inflated(pieces), first))
+        pieces = _gathered(nested[-1][0])
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    tail = new = ""
+    for piece in pieces:
+        new += decode(piece)
+        if len(new) >= len(tail):
+            text = tail + new
+            yield text
+            tail, new = _tail(text), ""
+    if new := new + decode(b"", True):
+        yield tail + new
+    for streams, first in nested:  # what stands behind them
+        if streams.used < len(first):
+            yield first[streams.used :].decode("utf-8", "replace")
+
+
+def _from_base64(run: str) -> bytes | None:
+    body = run.replace("=", "").replace("-", "+").replace("_", "/")
+    return None if len(body) % 4 == 1 else base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _from_base64(run: str) -> str | None:
-    """The text inside a base64 run, opened as often as it is compressed."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    inner = _unpacked(raw)
-    return _readable(raw if inner is None else inner)
+def _streams(raw: bytes) -> Iterator[str]:
+    """The texts of the compressed data anywhere in the bytes."""
+    at = 0
+    while m := _STREAM.search(raw, at):
+        inflated = _Inflated(raw[i : i + OVERLAP] for i in range(m.start(), len(raw), OVERLAP))
+        yield from _opened(inflated)
+        at = max(m.start() + 1, m.start() + inflated.used)
+
+
+def _clean(run: str, whole: list) -> Iterator[str]:
+    """The texts of a run that holds text or compressed data from its first to its last character; ``whole`` gets an entry if it does."""
+    raw = _from_base64(run)
+    if raw is None:
+        return
+    if _opener(raw) is not None:
+        inflated = _Inflated(raw[i : i + OVERLAP] for i in range(0, len(raw), OVERLAP))
+        yield from _opened(inflated)
+        if inflated.whole and inflated.used == len(raw):
+            whole.append(run)
+    elif out := _readable(raw):
+        whole.append(run)
+        yield out
 
 
 def _alignments(run: str) -> Iterator[str]:
     """The texts in a run that starts or ends with other characters: its four alignments, and the compressed data anywhere in them."""
-    body = run.replace("=", "").replace("-", "+").replace("_", "/")
     for k in range(4):
-        part = body[k : len(body) - ((len(body) - k) % 4 == 1)]
-        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        part = run.replace("=", "")[k:]
+        raw = _from_base64(part[: len(part) - (len(part) % 4 == 1)])
         yield raw.decode("utf-8", "replace")
-        for m in _STREAM.finditer(raw):
-            inner = _unpacked(raw[m.start() :])
-            if inner is not None and (out := _readable(inner)):
-                yield out
+        yield from _streams(raw)
 
 
 def _decoded(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, text inside) of the base64 of a layer."""
     for m in _BASE64.finditer(text):
         lines = list(_RUN.finditer(text, *m.span()))
-        run = "".join(x.group() for x in lines)
-        if out := _from_base64(run):
+        run, whole = "".join(x.group() for x in lines), []
+        for out in _clean(run, whole):
             yield (*m.span(), out)
+        if whole:
             continue
         for x in lines:
-            if len(lines) > 1 and len(x.group()) >= 16 and (out := _from_base64(x.group())):
-                yield (*x.span(), out)
+            if len(lines) > 1 and len(x.group()) >= 16:
+                for out in _clean(x.group(), []):
+                    yield (*x.span(), out)
         for out in _alignments(run):
             yield (*m.span(), out)
 
@@ -216,6 +305,16 @@ def _span(start: int, end: int, starts: Origin, ends: Origin) -> tuple[int, int]
     return (starts, ends) if isinstance(starts, int) else (int(starts[start]), int(ends[end - 1]))
 
 
+def _inner(layer: str, starts: Origin, ends: Origin) -> Iterator[tuple[str, Origin, Origin]]:
+    """The layers inside one, each when it is asked for."""
+    for sign, pattern, spell in (("%", _PERCENT, _percent), ("\\", _UNICODE, _unicode), ("&#", _UNICODE, _unicode)):
+        if sign in layer and (out := _escapes(layer, pattern, spell)):
+            yield (out[0], *_origins(len(out[0]), out[1], starts, ends))
+    for start, end, out in _decoded(layer):
+        if not _empty(out):
+            yield (out, *_span(start, end, starts, ends))
+
+
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base findings, all findings), each (start, number of the kind, end) in order."""
     base = base_spans(text)
@@ -223,26 +322,22 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     if not encoded and not _BASE64.search(text):
         return base, base
     found, seen = set(base), {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work: list[tuple[str, Origin, Origin]] = [(text, None, None)]
+    work: list[Iterator[tuple[str, Origin, Origin]]] = [iter([(text, None, None)])]
     while work:
-        layer, starts, ends = work.pop()
+        if (x := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, starts, ends = x
         if starts is not None:
+            first = starts if isinstance(starts, int) else int(starts[0])
+            key = hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16, salt=first.to_bytes(8, "little")).digest()
+            if key in seen:
+                continue
+            seen.add(key)
             for s, k, e in base_spans(layer):
                 at = _span(s, e, starts, ends)
                 found.add((at[0], k, at[1]))
-        inner = []
-        for sign, pattern, spell in (("%", _PERCENT, _percent), ("\\", _UNICODE, _unicode), ("&#", _UNICODE, _unicode)):
-            if sign in layer and (out := _escapes(layer, pattern, spell)):
-                inner.append((out[0], *_origins(len(out[0]), out[1], starts, ends)))
-        for start, end, out in _decoded(layer):
-            if not _empty(out):
-                inner.append((out, *_span(start, end, starts, ends)))
-        for x in inner:
-            first = x[1] if isinstance(x[1], int) else int(x[1][0])
-            key = hashlib.blake2b(x[0].encode("utf-8", "surrogatepass"), digest_size=16, salt=first.to_bytes(8, "little")).digest()
-            if key not in seen:
-                seen.add(key)
-                work.append(x)
+        work.append(_inner(layer, starts, ends))
     return base, sorted(found)
 
 

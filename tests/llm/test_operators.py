@@ -3,7 +3,9 @@
 import base64
 import bz2
 import collections
+import gzip
 import hashlib
+import lzma
 import random
 import zlib
 
@@ -185,6 +187,31 @@ def test_secrets_in_wrapped_and_glued_runs():
     assert secrets.scan_text("internationalization\nand understanding\n" * 9)[1] == []
 
 
+def test_secrets_in_whole_compressed_layers(monkeypatch):
+    key = "AKIA" + "ABCD1234" * 2
+    b64 = lambda x: base64.b64encode(x).decode()
+    kinds = lambda x: {k for _, k, _ in secrets.scan_text(f"see {b64(x)} end")[1]}
+    filler = ("é" * 31 + " ").encode()
+    late = b"x" + filler * ((65 << 20) // len(filler)) + key.encode()
+    assert kinds(zlib.compress(late)) == kinds(bz2.compress(late)) == {1}
+    assert kinds(lzma.compress(key.encode(), preset=9)) == {1}
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        assert kinds(pack(b"nothing ") + pack(f"{key[:9]}".encode()) + pack(f"{key[9:]} ".encode()) + pack(b"token=abcdef")) == {0, 1}
+    deep = key.encode()
+    for _ in range(100):
+        deep = zlib.compress(deep, 0)
+    assert kinds(deep) == {1}
+    assert kinds(zlib.compress(gzip.compress(b"token=abcdef ") + f" and {key}".encode())) == {0, 1}
+    monkeypatch.setattr(secrets, "PIECE", 100)
+    monkeypatch.setattr(secrets, "OVERLAP", 30)
+    r = random.Random(4)
+    for n in range(120):
+        head = " ".join(words(20, n)) + "é" * r.randrange(9) + " "
+        assert kinds(zlib.compress(f"{head} {key} {head}".encode())) == {1}
+        assert kinds(bz2.compress(f"{head} token{' ' * n}= abcdef {head}".encode())) == {0}
+        assert kinds(gzip.compress(f"{head} {b64(zlib.compress((head + key).encode()))} {head}".encode())) == {1}
+
+
 def test_phrases(docs, none, spark, tmp_path):
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = both(tuple(r) for r in phrases.op7_phrases(spark, str(tmp_path)).collect())
