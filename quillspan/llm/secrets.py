@@ -5,7 +5,8 @@ text or of zlib, gzip, bzip2 or xz data) are unwrapped into further layers, unti
 in the same text, by its digest, is not worked on again, so cycles end. Every layer knows where each of its characters
 comes from in the text: one by one where escapes are replaced, as a whole run where base64 or compressed data is opened. The
 lines of wrapped base64 are one run. A run that is not readable as it stands (glued to a path or a word, say) is decoded at all
-four alignments, and compressed data is looked for at any place in it. A
+four alignments, and compressed data is looked for at any place in it. Bytes and escapes that are no UTF-8 are replaced one by
+one, and UTF-16 is read with its zero bytes left out, so that what stands beside them is scanned. A
 finding of an inner layer becomes the span of the text that it came from.
 
 Spans count code points, end exclusive. Null text counts as empty. Compressed data is opened to its end, member after member and
@@ -26,7 +27,7 @@ import lzma
 import re
 import string
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,13 @@ def _readable(raw: bytes) -> str | None:
     return text if not any(c < 32 and c not in (9, 10, 11, 12, 13) or c == 127 for c in raw) else None
 
 
+def _read(raw: bytes) -> Iterator[str]:
+    """The texts of bytes: as UTF-8, and as UTF-16 where they hold zeros."""
+    yield raw.decode("utf-8", "replace")
+    if b"\0" in raw:
+        yield raw.replace(b"\0", b"").decode("utf-8", "replace")
+
+
 def _opener(raw: bytes):
     """What decompresses a stream that starts like this, or None."""
     for magic, bits in _MAGIC:
@@ -142,6 +150,22 @@ def _tail(text: str) -> str:
     return text[max(0, min(keep, len(text.rstrip(_RUN_CHARS))) - 64, len(text) - MAX_RUN) :]
 
 
+def _pieces() -> Generator[str | None, bytes | None, None]:
+    """Is sent the pieces of a text and, at their end, None; gives overlapping texts, or None where it waits for more."""
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    tail = new = ""
+    piece = yield None
+    while piece is not None:
+        new += decode(piece)
+        text = None
+        if len(new) >= len(tail):
+            text = tail + new
+            tail, new = _tail(text), ""
+        piece = yield text
+    new += decode(b"", True)
+    yield tail + new if new else None
+
+
 def _opened(inflated: _Inflated) -> Iterator[str]:
     """The text of compressed data, opened as often as it is compressed, in pieces that overlap; data that holds itself ends."""
     pieces, seen, nested = _gathered(inflated), set(), []
@@ -159,19 +183,19 @@ def _opened(inflated: _Inflated) -> Iterator[str]:
             break
         nested.append((_Inflated(pieces), first))
         pieces = _gathered(nested[-1][0])
-    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
-    tail = new = ""
-    for piece in pieces:
-        new += decode(piece)
-        if len(new) >= len(tail):
-            text = tail + new
+    plain, dense = _pieces(), _pieces()
+    next(plain), next(dense)
+    zeros = False
+    for piece in itertools.chain(pieces, (None,)):
+        if (text := plain.send(piece)) is not None:
+            yield text
+        zeros = zeros or piece is not None and b"\0" in piece
+        text = dense.send(piece and piece.replace(b"\0", b""))
+        if zeros and text is not None:
             yield text
-            tail, new = _tail(text), ""
-    if new := new + decode(b"", True):
-        yield tail + new
     for streams, first in nested:  # what stands behind them
         if streams.used < len(first):
-            yield first[streams.used :].decode("utf-8", "replace")
+            yield from _read(first[streams.used :])
 
 
 def _from_base64(run: str) -> bytes | None:
@@ -208,7 +232,7 @@ def _alignments(run: str) -> Iterator[str]:
     for k in range(4):
         part = run.replace("=", "")[k:]
         raw = _from_base64(part[: len(part) - (len(part) % 4 == 1)])
-        yield raw.decode("utf-8", "replace")
+        yield from _read(raw)
         yield from _streams(raw)
 
 
@@ -239,8 +263,6 @@ def _escapes(text: str, pattern: re.Pattern, spell) -> tuple[str, list[tuple[int
     out, marks, at, size = [], [], 0, 0
     for m in pattern.finditer(text):
         chars = spell(m.group(), m.start())
-        if chars is None:
-            continue
         out.append(text[at : m.start()])
         size += m.start() - at
         for c, start, end in chars:
@@ -254,21 +276,22 @@ def _escapes(text: str, pattern: re.Pattern, spell) -> tuple[str, list[tuple[int
     return "".join(out), marks
 
 
-def _percent(run: str, start: int) -> list[tuple[str, int, int]] | None:
+def _percent(run: str, start: int) -> list[tuple[str, int, int]]:
     raw = bytes.fromhex(run.replace("%", ""))
-    try:
-        chars = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    out, at = [], start
-    for c in chars:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
-        at += n
+    out, at, i = [], start, 0
+    while i < len(raw):
+        n = 1 if raw[i] < 0xC2 else 2 if raw[i] < 0xE0 else 3 if raw[i] < 0xF0 else 4
+        try:
+            c = raw[i : i + n].decode("utf-8")
+        except UnicodeDecodeError:
+            c, n = "\ufffd", 1
+        out.append((c, at, at + 3 * n))
+        at += 3 * n
+        i += n
     return out
 
 
-def _unicode(run: str, start: int) -> list[tuple[str, int, int]] | None:
+def _unicode(run: str, start: int) -> list[tuple[str, int, int]]:
     units = [(int(a or b or d, 16) if (a or b or d) else int(c), m.start() + start, m.end() + start) for m in _ONE_UNICODE.finditer(run) for a, b, c, d in [m.groups()]]
     out, i = [], 0
     while i < len(units):
@@ -276,7 +299,7 @@ def _unicode(run: str, start: int) -> list[tuple[str, int, int]] | None:
         if 0xD800 <= code < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1][0] < 0xE000:
             code, e, i = 0x10000 + ((code - 0xD800) << 10) + units[i + 1][0] - 0xDC00, units[i + 1][2], i + 1
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            return None
+            code = 0xFFFD
         out.append((chr(code), s, e))
         i += 1
     return out

@@ -212,6 +212,22 @@ def test_secrets_in_whole_compressed_layers(monkeypatch):
         assert kinds(gzip.compress(f"{head} {b64(zlib.compress((head + key).encode()))} {head}".encode())) == {1}
 
 
+def test_secrets_beside_bad_bytes():
+    key = "AKIA" + "ABCD1234" * 2
+    b64 = lambda x: base64.b64encode(x).decode()
+    quoted = "".join(f"%{c:02x}" for c in key.encode())
+    for bad in ("%FF", "%C3", "%ED%A0%80", "%E2%82", "%F5%80"):
+        assert (len(bad), 1, len(bad) + 60) in secrets.scan_text(f"{bad}{quoted}{bad}")[1]
+    escaped = "".join(f"\\u{ord(c):04x}" for c in key)
+    for bad in ("\\ud800", "\\udc00", "&#x110000;"):
+        assert (len(bad), 1, len(bad) + 120) in secrets.scan_text(f"{bad}{escaped}{bad}")[1]
+    assert secrets.scan_text("".join(f"%{c:02X}" for c in "pässword é€𝔘 token=abcdé".encode()))[1] == []
+    text = f"name=\u00fcber\0token=abcdef\0{key}\0"
+    for raw in (text.encode(), text.encode("latin-1"), text.encode("utf-16"), text.encode("utf-16-be")):
+        for pack in (bytes, zlib.compress, bz2.compress):
+            assert {k for _, k, _ in secrets.scan_text(f"see {b64(pack(raw))} end")[1]} == {0, 1}, (raw, pack)
+
+
 def test_phrases(docs, none, spark, tmp_path):
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = both(tuple(r) for r in phrases.op7_phrases(spark, str(tmp_path)).collect())
