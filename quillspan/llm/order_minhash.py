@@ -4,7 +4,9 @@ A document is the sequence of its ``GRAM``-word k-mers, each labelled with its o
 ``SKETCHES`` hash functions the ``TAKEN`` labelled k-mers of least hash are sampled and put back into their text order; the hash of
 that row is one sketch value. Two documents agree in a value if they share those k-mers and have them in the same order, so
 agreement falls with insertions, deletions and moves. Documents that agree in ``AGREE`` values at least are candidates. At
-similarity 0.8 a value agrees with a chance of 0.51, and fewer than ``AGREE`` of the 24 do with a chance under 2 in 10,000.
+similarity 0.8 a value agrees with a chance of 0.51 in long texts, and fewer than ``AGREE`` of the 24 do with a chance under 2 in
+10,000. The k-mers are drawn without replacement, so in short texts a value agrees less often: with 0.4 where 4 of 5 k-mers are
+shared (8 against 9 words), the worst case, and such a pair is missed with a chance of 0.0035; with 0.467 for 8 of 10 (0.00045).
 
 Candidates are verified by banded alignment: L, the longest common subsequence of the labelled k-mers, over the cells that at
 most (n + m) / 9 insertions and deletions can reach, and the pair links if L / (n + m - L) is at least ``NUM / DEN``. As labelled k-mers

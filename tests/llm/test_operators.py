@@ -6,6 +6,7 @@ import collections
 import gzip
 import hashlib
 import lzma
+import math
 import random
 import zlib
 
@@ -306,6 +307,24 @@ def test_sketch_recall():
     assert met == n
 
 
+def test_sketch_recall_of_short_texts():
+    """The stated chances of a miss, 0.0035 for 4 of 5 k-mers and 0.00045 for 8 of 10, and what is missed of 8,000 pairs each."""
+    r = random.Random(6)
+    for shared, union, stated in ((4, 5, 0.0035), (8, 10, 0.00045)):
+        p = math.comb(shared, order_minhash.TAKEN) / math.comb(union, order_minhash.TAKEN)
+        chance = sum(math.comb(order_minhash.SKETCHES, k) * p**k * (1 - p) ** (order_minhash.SKETCHES - k) for k in range(order_minhash.AGREE))
+        assert abs(chance - stated) < 0.05 * stated
+        missed = 0
+        for _ in range(8000):
+            a = [str(r.random()).encode() for _ in range(union + order_minhash.GRAM - 1)]
+            x, y = order_minhash.labelled(a), order_minhash.labelled(a[: shared - union])
+            assert (len(x), len(y)) == (union, shared) and order_minhash.similar(x, y)
+            missed += (order_minhash.sketch(x) == order_minhash.sketch(y)).sum() < order_minhash.AGREE
+        assert missed <= 8000 * stated + 4 * (8000 * stated) ** 0.5 + 1
+    p = lambda n, k: math.comb(k, order_minhash.TAKEN) / math.comb(n, order_minhash.TAKEN)
+    assert min(p(n, -(-4 * n // 5)) for n in range(5, 2000)) == p(5, 4)
+
+
 def test_warc(spark, tmp_path):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\nabcdefghij\r\n\r\n"
     rows = [(1, "http://a", "x"), (2, None, "x"), (3, "u\r\nv", None), (4, "u", ""), (5, "u", fake), (6, "u", fake + fake + "z"), (7, "u", "é€ WARC/1.1\r\n"), (8, "u", "WARC/1.1\r\n"), (9, "q", fake), (9, "q", fake)]
