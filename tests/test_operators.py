@@ -156,3 +156,17 @@ def test_whole_graph_and_its_ranks(spark):
     ranks = {r.id: r["rank"] for r in QUERIES["Q6_ranked_nodes"](spark, SMALL).collect()}
     assert len(ranks) == 20 and all(abs(rank[at[k]] - v) < 1e-9 for k, v in ranks.items())
     assert abs(min(ranks.values()) - np.sort(rank)[-20]) < 1e-9
+
+
+def test_overview_ranks_all_kinds(spark):
+    nodes, edges = tables.whole_graph(spark, SMALL)
+    rows = nodes.join(graph.page_rank(nodes, edges), "id").collect()
+    cost = {r.id: max(-(-len(r.name) // 4), 1) for r in rows}
+    rank = {r.id: r["rank"] for r in rows}
+    chosen = [r.id for r in QUERIES["Q15_overview"](spark, SMALL).collect()]
+    best = np.zeros(201)
+    for k, w in cost.items():
+        if w <= 200:
+            best[w:] = np.maximum(best[w:], best[: 201 - w] + rank[k])
+    assert sum(cost[k] for k in chosen) <= 200 and abs(sum(rank[k] for k in chosen) - best[200]) < 1e-9
+    assert any(k.startswith("customer:") for k in chosen)
