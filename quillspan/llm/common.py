@@ -8,7 +8,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,31 +23,51 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spare(columns: Iterable[str], stem: str) -> str:
+    """A column name that none of ``columns`` has, in upper or lower case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a folder of our own, dropped at exit."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and all is one machine (tests, local mode) a folder of our own, dropped at exit."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillspan-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_ARROW = "spark.sql.execution.arrow."
+#: Bytes of an Arrow batch for Python, beyond which it ends with the row it is at.
+BATCH_BYTES = 16 << 20
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, Arrow batches for Python have so many rows at most; of texts or pages the default of 10,000 is a hundred MB."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Within it, Arrow batches for Python have so many rows and ``BATCH_BYTES`` (and a row) at most; by default 10,000 texts are one."""
+    new = {f"{_ARROW}maxRecordsPerBatch": str(rows), f"{_ARROW}maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's Arrow batches for operators that send whole texts to Python in a plan they only return."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Lowers the session's Arrow batches, for operators that send whole texts to Python in a plan they only return: it runs when the caller runs it.
+
+    A batch ends at Spark's own bound of bytes as well, 64 MB unless the session says otherwise, so long texts are few in a batch.
+    """
+    name = f"{_ARROW}maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
 
@@ -106,5 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(now)
         now = after
         if mark == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._stored_at = now._stored_at
+            return out
         before = mark
