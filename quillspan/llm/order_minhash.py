@@ -13,7 +13,7 @@ most (n + m) / 9 insertions and deletions can reach, and the pair links if L / (
 are unique, the alignment is a longest increasing run of matched places, in O(n log n).
 
 1. Texts of equal words are one, the smallest doc_id, with any number of copies.
-2. Each document names the earlier one that agrees with it most; those pairs are verified first and join most of a group.
+2. Each document names the earlier one (by doc_id) that agrees with it most; those pairs are verified first and join most of a group.
 3. Where documents of different classes still meet in a sketch value, all their candidate pairs are verified in place, in blocks,
    and only the links leave the task. No link between candidates of different classes is left out.
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import components, partitions, read, stored
+from quillspan.llm.common import components, discard, partitions, read, spare, stored, tidied
 from quillspan.llm.flat import mix
 from quillspan.llm.phrases import gram_hashes, joined_words, word_hashes
 
@@ -43,6 +43,7 @@ NUM, DEN = 4, 5
 BLOCK, SERVED = 1024, 500
 BROADCAST_DOCS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
+_LAST = (1 << 63) - 1
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(_BASE))
 
 
@@ -102,6 +103,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return len(tails) >= need
 
 
+@tidied
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = np.zeros(0, np.int64)
     for batch in batches:
@@ -120,14 +122,14 @@ def _buckets(one: DataFrame) -> DataFrame:
 
     Values meet as bare (key, doc) rows; the sketches join only those that have met.
     """
-    keys = one.select(F.explode("sketch").alias("key"), "doc")
+    keys = one.select(F.explode("sketch").alias("key"), "doc", "first")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = keys.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc")
+    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "first")
 
 
 def _in_order(dealt: DataFrame, columns: list[str]) -> DataFrame:
-    return dealt.select("key", "i", "j", "block", "doc", *columns).repartition(partitions(dealt.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
+    return dealt.select("key", "i", "j", "block", "doc", "first", *columns).repartition(partitions(dealt.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "first", "doc")
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -161,6 +163,7 @@ def _meetings(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield c[some], c[some] - back, agree[some]
 
 
+@tidied
 def _best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the documents met in a bucket, the earlier one that agrees most."""
     for table in _groups(batches):
@@ -173,6 +176,7 @@ def _best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(best[found]), pa.array(most[found])], ["b", "a", "agree"])
 
 
+@tidied
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (a, copy, kind, b, text): an earlier document's text, then the later ones to verify against it."""
     mine, kmers = None, None
@@ -193,8 +197,9 @@ def _first_met(c: np.ndarray, b: np.ndarray, key: np.ndarray, sketches: np.ndarr
     return sketches[c, (sketches[c] == sketches[b]).argmax(1)] == key[c]
 
 
+@tidied
 def _open(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (key, i, j, block, doc) that candidates of another class meet there."""
+    """The rows (key, i, j, block, doc, first) that candidates of another class meet there."""
     for table in _groups(batches):
         key, root = table.column("key").to_numpy(), table.column("root").to_numpy()
         sketches = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(key), SKETCHES)
@@ -204,10 +209,11 @@ def _open(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, b = c[differ], b[differ]
             some = _first_met(c, b, key, sketches)
             wanted[c[some]] = wanted[b[some]] = True
-        found = table.select(["key", "i", "j", "block", "doc"]).filter(pa.array(wanted))
+        found = table.select(["key", "i", "j", "block", "doc", "first"]).filter(pa.array(wanted))
         yield from found.to_batches()
 
 
+@tidied
 def _rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between documents of different classes that meet in a bucket; a pair is verified where it first agrees, or not at all once it is connected."""
     for table in _groups(batches):
@@ -244,60 +250,80 @@ def _rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_documents(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """(doc_id, class_id, row) of every row of ``docs``: class_id is the smallest doc_id reachable by links; row, a number of its own, tells repeated rows apart."""
+    """(doc_id, class_id, row, class) of every row of ``docs``.
+
+    class_id is the smallest doc_id reachable by links; row, a number of its own, tells repeated rows apart; class is a
+    number of the class itself, null without words, for where doc_ids are not unique and one doc_id is in several classes.
+    """
     row = F.monotonically_increasing_id() if row is None else row
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
-    scan = docs.select("doc_id", "text", "row")
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for out in _scan([batch]):
                 yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2)], ["doc_id", "sha", "sketch", "row"])
 
-    scan = stored(scan.mapInArrow(of, "doc_id long, sha binary, sketch array<long>, row long"))
-    firsts = stored(scan.where("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("doc")))
+    scan = stored(docs.mapInArrow(of, "doc_id long, sha binary, sketch array<long>, row long"))
+    # texts are told apart by a number of their words' own (doc), in the order of their least doc_id (first)
+    doc = F.xxhash64("sha").alias("doc")
+    firsts = stored(scan.where("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("first")).select("sha", "first", doc))
+    least = F.coalesce("first", F.lit(_LAST))
     # one row of each text: rows of the same text have the same sketch
-    one = scan.where(F.size("sketch") > 0).join(firsts, "sha").where("doc_id = doc").select("doc", "sha", "sketch")
-    one = stored(one.dropDuplicates(["doc", "sha"]))
+    one = scan.where(F.size("sketch") > 0).join(firsts, "sha").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("doc", least.alias("first"), "sha", "sketch")
+    one = stored(one.dropDuplicates(["doc"]))
     met = stored(_buckets(one))
-    best = _in_order(met.join(one.select("doc", "sketch"), "doc"), ["sketch"]).mapInArrow(_best, "b long, a long, agree long")
-    pairs = stored(best.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("best")).select("b", (-F.col("best.a")).alias("a")))
-    rows = stored(one.join(met.select("doc").distinct(), "doc", "left_semi").select("doc", "sha"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    some = rows.select("doc").distinct()
-    texts = texts.join(F.broadcast(some) if rows.count() <= BROADCAST_DOCS else some, "doc", "left_semi")
+    sketches = one.select("doc", "sketch")
+    best = _in_order(met.join(sketches, "doc"), ["sketch"]).mapInArrow(_best, "b long, a long, agree long")
+    pairs = stored(best.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")))
+    rows = stored(one.join(met.select("doc").distinct(), "doc", "left_semi").select("doc", "first", "sha"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("first"), "text")
+    some = rows.select("first").distinct()
+    texts = texts.join(F.broadcast(some) if rows.count() <= BROADCAST_DOCS else some, "first", "left_semi")
     # of rows with the doc_id, one with the text that was scanned
-    chosen = stored(texts.withColumn("sha", F.unhex(F.sha2(joined_words("text"), 256))).join(rows, ["doc", "sha"]).dropDuplicates(["doc", "sha"]).select("doc", "text"))
+    chosen = stored(texts.withColumn("sha", F.unhex(F.sha2(joined_words("text"), 256))).join(rows, ["first", "sha"]).dropDuplicates(["doc"]).select("doc", "text"))
     copies = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / SERVED).cast("int").alias("copies")))
     later = chosen.withColumnRenamed("doc", "b").join(pairs, "b").join(copies, "a").select("a", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"), F.lit(1).alias("kind"), "b", "text")
     earlier = chosen.withColumnRenamed("doc", "a").join(copies, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
     together = earlier.unionByName(later).repartition(partitions(docs.sparkSession), "a", "copy").sortWithinPartitions("a", "copy", "kind")
     links = stored(together.mapInArrow(_verify, "a long, b long"))
+    discard(pairs, rows, copies)
     roots = components(links)
     named = met.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     # buckets (of two blocks) where classes still differ
     open_ = named.groupBy("key", "i", "j").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key", "i", "j")
-    sketched = named.join(open_, ["key", "i", "j"]).join(one.select("doc", "sketch"), "doc")
+    sketched = named.join(open_, ["key", "i", "j"]).join(sketches, "doc")
     # texts follow only to where candidates of different classes meet
-    needed = stored(_in_order(sketched, ["root", "sketch"]).mapInArrow(_open, "key long, i int, j int, block int, doc long"))
-    open_rows = needed.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(one.select("doc", "sketch"), "doc").join(chosen, "doc")
+    needed = stored(_in_order(sketched, ["root", "sketch"]).mapInArrow(_open, "key long, i int, j int, block int, doc long, first long"))
+    discard(met)
+    open_rows = needed.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(sketches, "doc").join(chosen, "doc")
     more = stored(_in_order(open_rows, ["root", "sketch", "text"]).mapInArrow(_rest, "a long, b long"))
+    discard(one, chosen, needed, roots)
     roots = components(links.union(more))
-    classes = firsts.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("sha", F.coalesce("root", "doc").alias("class_id"))
+    discard(links, more)
+    # the class's own number is that of its least text by number; its class_id is the least doc_id of its texts
+    members = roots.select(F.col("node").alias("doc"), "root").union(roots.select(F.col("root").alias("doc"), "root").distinct())
+    named = firsts.join(members, "doc").select("sha", "root", "first")
+    linked = named.join(named.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("sha", "root", "class_id")
+    classes = firsts.join(linked, "sha", "left").select("sha", F.coalesce("root", "doc").alias("class"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"))
     # texts without words are in a class of their own
-    return scan.select("doc_id", "sha", "row").join(classes, "sha", "left").select("doc_id", F.when(F.col("sha").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "row")
+    return scan.select("doc_id", "sha", "row").join(classes, "sha", "left").select("doc_id", F.when(F.col("sha").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "row", "class")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The documents without those that are not the first of their class: one of each class stays, and of its repeated rows one."""
-    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    near = stored(near_documents(docs, F.col("_row")))
-    real = near.where(F.col("class_id").isNotNull())
-    stays = real.where("doc_id = class_id").groupBy("class_id").agg(F.min("row").alias("row"))
-    # texts that were not linked at all, such as empty ones, keep the rows of their own class's first
-    gone = stored(real.select("row").join(stays.select("row"), "row", "left_anti"))
-    gone_ = gone.withColumnRenamed("row", "_row")
-    return docs.join(F.broadcast(gone_) if gone.count() <= BROADCAST_DOCS else gone_, "_row", "left_anti").drop("_row")
+    """The documents, of each class one: the row of the smallest doc_id, of repeated rows one.
+
+    Rows without words are of one class if they have the same doc_id; those of a null doc_id all stay.
+    """
+    row = spare(docs.columns, "row")
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    near = stored(near_documents(docs, F.col(row)))
+    group = ["class", F.when(F.col("class").isNull(), F.col("doc_id")).alias("own")]
+    real = near.where(F.col("class").isNotNull() | F.col("doc_id").isNotNull()).select("row", F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), *group)
+    stays = real.groupBy("class", "own").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("least.row")
+    gone = stored(real.select("row").join(stays, "row", "left_anti"))
+    discard(near)
+    gone_ = gone.withColumnRenamed("row", row)
+    return docs.join(F.broadcast(gone_) if gone.count() <= BROADCAST_DOCS else gone_, row, "left_anti").drop(row)
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
