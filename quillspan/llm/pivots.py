@@ -10,8 +10,8 @@ first owner or, with none, in the list of its first shared pivot only. Balls and
 pairs of blocks, so a task holds two blocks, however hot a pivot is.
 Of the links a task returns sums per vector and a spanning forest, never the pairs, so groups of n copies cost O(n) rows.
 
-Equal vectors are one representative with a count. Null, zero, or non-finite vectors, and vectors of another dimension than
-most, link with nothing. A null vec_id is counted by its neighbours and is not kept; repeated rows count as further vectors.
+Vectors of different dimensions are in one index, the shorter ones as if zeros followed, and only pairs of the same dimension
+are looked at. Equal vectors are one representative with a count. Null, zero, or non-finite vectors link with nothing. A null vec_id is counted by its neighbours and is not kept; repeated rows count as further vectors.
 Extra columns are ignored; an empty table gives an empty result. Measured recall is in the tests and the README.
 """
 
@@ -37,6 +37,30 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _by_width(rows: list) -> dict[int, np.ndarray]:
+    """Which of the vectors are of each dimension."""
+    widths = np.array([len(r) for r in rows], np.int64)
+    return {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+
+
+def _padded(rows: list) -> np.ndarray:
+    """Unit vectors of the longest's dimension, the shorter ones followed by zeros."""
+    x = np.zeros((len(rows), max(map(len, rows), default=0)))
+    for width, own in _by_width(rows).items():
+        x[own, :width] = _unit([rows[k] for k in own])
+    return x
+
+
+def _close(found: np.ndarray, a: list, b: list, threshold: float) -> np.ndarray:
+    """Of the pairs found, those of the same dimension with a cosine of at least the threshold."""
+    out = np.zeros_like(found)
+    in_b = _by_width(b)
+    for width, i in _by_width(a).items():
+        if (j := in_b.get(width)) is not None and (some := found[np.ix_(i, j)]).any():
+            out[np.ix_(i, j)] = some & (_unit([a[k] for k in i]) @ _unit([b[k] for k in j]).T >= threshold)
+    return out
+
+
 def _spread(x: np.ndarray, most: int) -> np.ndarray:
     """``most`` of the unit vectors at most, in order, none as close to another as SPREAD."""
     chosen: list[int] = []
@@ -55,7 +79,7 @@ def _owned_links(a: pd.DataFrame, b: pd.DataFrame, pivot: int, same: bool, thres
     if same:
         found &= np.triu(np.ones(found.shape, bool), 1)
     if found.any():
-        found &= _unit(a.v.tolist()) @ _unit(b.v.tolist()).T >= threshold
+        found = _close(found, a.v.tolist(), b.v.tolist(), threshold)
     return found
 
 
@@ -82,7 +106,7 @@ def _links_between(a: pd.DataFrame, b: pd.DataFrame, pivot: int, same: bool, thr
     if same:
         found &= np.triu(np.ones(found.shape, bool), 1)
     if found.any():
-        found &= _unit(a.v.tolist()) @ _unit(b.v.tolist()).T >= threshold
+        found = _close(found, a.v.tolist(), b.v.tolist(), threshold)
     return found
 
 
@@ -128,9 +152,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
     total = reps.count()
     n_pivots = n_pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, total // VECTORS_A_PIVOT))
     sample = [r.embedding for r in reps.orderBy("id").limit(CANDIDATES * n_pivots).select("embedding").collect()]
-    widths = [len(r) for r in sample]
-    width = max(set(widths), key=widths.count) if widths else 0
-    pivots = _spread(_unit([r for r in sample if len(r) == width]), n_pivots).T if width else np.zeros((0, 0))
+    pivots = _spread(_padded(sample), n_pivots).T
     count = pivots.shape[1]
     near = min(prefix, count)
     min_shared = min(min_shared, near)
@@ -141,8 +163,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
     @F.arrow_udf("struct<pivots: array<int>, keys: array<int>, owner: int>")
     def nearest(embedding: pa.Array) -> pa.Array:
         """The nearest pivots, the numbers of the lists and balls, and the owner or a number beyond all pivots."""
-        x = _unit(embedding.to_pylist())
-        close = x @ pivots
+        rows = embedding.to_pylist()
+        close = np.empty((len(rows), count))
+        for width, own in _by_width(rows).items():
+            most = min(width, len(pivots))
+            close[own] = _unit([rows[k] for k in own])[:, :most] @ pivots[:most]
         top = np.argpartition(-close, near - 1, 1)[:, :near]
         order = np.take_along_axis(top, np.argsort(-np.take_along_axis(close, top, 1), 1, kind="stable"), 1)
         owner = np.where(np.take_along_axis(close, order[:, :1], 1)[:, 0] >= OWNED, order[:, 0], count)
@@ -151,7 +176,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
         ints = pa.list_(pa.int32())
         return pa.StructArray.from_arrays([pa.array(described, ints), pa.array(keys, ints), pa.array(owner.astype(np.int32))], ["pivots", "keys", "owner"])
 
-    indexed = reps.where(F.size("embedding") == width).select("id", "count", F.col("embedding").alias("v"), nearest("embedding").alias("at"))
+    indexed = reps.select("id", "count", F.col("embedding").alias("v"), nearest("embedding").alias("at"))
     lists = stored(indexed.select("id", "count", "v", "at.pivots", "at.owner", F.explode("at.keys").alias("pivot")))
     sizes = {r.pivot: r.n for r in lists.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # two rows per pivot
     blocks = np.ones(2 * count, np.int64)
