@@ -2,13 +2,14 @@
 
 Writing. Each page is a record; pages of equal payload (its SHA-1) are one response, the page with the largest id, and
 revisits of it. Spark's text writer lays the records into archives in the shared folder, with the blank lines that end a record
-as its line separator.
+as its line separator. Archives are gzip files of ``FILE_RECORDS`` records at most, as such a file can be read by one task only;
+a large collection is many of them.
 
-Reading. Spark's text reader cuts the archives at the magic that begins a record, wherever a split of a file starts, so long
-archives are read by many tasks. Each piece is a candidate: its own offset and, from its header, the offset of its successor.
+Reading. Spark's text reader cuts the archives at the magic that begins a record, and where an archive is not compressed, in
+every split of it. Each piece is a candidate: its own offset and, from its header, the offset of its successor.
 The magic may stand inside a payload; such a candidate is on no chain from the start of its file. Pointer jumping finds the chain:
 in each round the reached offsets are joined with jumps, which then double. Pieces that are not reached belong to the payload of
-the last record before them.
+the last record before them. Most pieces are whole records and are read back as they are; only those that are not are listed and joined.
 
 Null html is an empty payload; null urls are left out; a null page_id has an empty record id and reads back as null. Among
 repeated page_ids of the same payload, one row is the response. Extra columns are ignored; an empty table has no archives.
@@ -31,8 +32,9 @@ from quillspan.llm.common import discard, read, shared_dir, small_batches, store
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD_ID = "urn:quillspan:page:"
-#: Rows of headers (or revisits) that are broadcast to the payloads at most; beyond it payloads are shuffled to them.
+#: Rows (of four or five numbers) that are broadcast to the payloads at most; beyond it payloads are shuffled to them.
 BROADCAST_ROWS = 500_000
+FILE_RECORDS = 20_000
 
 
 def payload_digest(payload: str) -> Column:
@@ -53,7 +55,8 @@ def records(pages: DataFrame, least_revisit_bytes: int = 0) -> DataFrame:
     rows = stored(pages.select("page_id", "row", "digest"))
     first = rows.groupBy("digest").agg(F.max(F.struct(F.col("page_id"), F.col("row"))).alias("first"))
     # payloads stay where they are: only the rows of revisits go to them
-    others = stored(rows.join(first, "digest").where(F.col("row") != F.col("first.row")).select("row", "first"))
+    others = stored(rows.join(first, "digest").where(F.col("row") != F.col("first.row")).select("row", F.struct("first.page_id").alias("first")))
+    discard(rows)
     paired = pages.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, "row", "left")
     size = F.octet_length("payload")
     revisit = F.col("first").isNotNull() & (size >= least_revisit_bytes)
@@ -76,27 +79,27 @@ def write_archives(pages: DataFrame, path: str | None = None, least_revisit_byte
     """Writes the pages' records as archives into ``path`` (a folder of its own in the shared one, if None) and returns it."""
     path = path or f"{shared_dir(pages.sparkSession).rstrip('/')}/quillspan-{pages.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     with small_batches(pages.sparkSession, 1000):
-        records(pages, least_revisit_bytes).write.option("lineSep", END).option("compression", "gzip").text(path)
+        records(pages, least_revisit_bytes).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
     return path
 
 
 _FIELD = re.compile(rb"(?im)^([A-Za-z-]+):[ \t]*([^\r\n]*)\r?$")
+_ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 PIECE = "path string, split long, local long, size long, skip long, length long, kind string, id string, refers string, digest string"
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], raw: bool) -> Iterator[pa.RecordBatch]:
-    """What stands between magics, in the order of each split: its place behind the first such piece of the split, and its header or (``raw``) its bytes."""
+    """What stands between magics, in the order of each split: its place behind the first such piece of the split, and its header and, if ``raw``, its bytes."""
     key, at = None, 0
     for batch in batches:
         rows = []
         for path, split, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if (path, split) != key:
                 key, at = (path, split), 0
-            rows.append((path, split, at, value) if raw else (path, split, at, len(value), *_header(value)))
+            rows.append((path, split, at, len(value), *_header(value), *[value] * raw))
             at += len(value) + len(MAGIC)
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()] if raw else [pa.string(), *[pa.int64()] * 5, *[pa.string()] * 4]
-        names = ["path", "split", "local", "raw"] if raw else [x.split()[0] for x in PIECE.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
+        schema = PIECE + ", raw binary" * raw
+        yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[x.split()[1]]) for c, x in zip(zip(*rows) if rows else [()] * 11, schema.split(", "))], [x.split()[0] for x in schema.split(", ")])
 
 
 def _header(value: bytes) -> tuple:
@@ -128,30 +131,38 @@ def reachable(jumps: DataFrame) -> DataFrame:
     return reached
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(path, at, kind, id, refers, digest, payload) of the records of the archives in ``path``; the payload is what follows the HTTP header."""
     text = spark.read.option("lineSep", MAGIC).option("pathGlobFilter", "*.txt*").text(path)
     text = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("raw"))
-    cut = stored(text.mapInArrow(lambda b: _pieces(b, False), PIECE))
+    cut = stored(text.mapInArrow(lambda b: _pieces(b, False), PIECE).select("path", "split", "local", "size", "skip", "length"))
     # a split's first piece starts where the pieces of the splits before it end
     sizes = cut.groupBy("path", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("n"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("path", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = stored(sizes.select("path", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
     placed = stored(cut.join(starts, ["path", "split"]).withColumn("at", F.col("local") + F.col("start") - len(MAGIC)).where("at >= 0").drop("start"))
     jumps = placed.where("length is not null").select("path", "at", (F.col("at") + len(MAGIC) + F.col("skip") + F.col("length") + len(END)).alias("next"))
     chain = reachable(jumps.where("next > at"))  # the last jump ends at the end of the file, where no record is
+    discard(cut)
     marked = placed.join(chain.withColumn("real", F.lit(True)), ["path", "at"], "left")
     # a payload with the magic in it has come in several pieces: those that are not real follow the last real one
     own = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    owned = marked.withColumn("owner", F.last(F.when(F.col("real"), F.col("at")), True).over(own)).where("owner is not null")
-    parts = stored(owned.withColumn("several", F.col("real").isNull() | (F.col("size") != F.col("skip") + F.col("length") + len(END))).drop("size"))
-    again = text.mapInArrow(lambda b: _pieces(b, True), "path string, split long, local long, raw binary")
-    pieces = again.join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, ["path", "split", "local"])
-    header = ["path", "at", "kind", "id", "refers", "digest", "skip", "length"]
-    broken = pieces.where("several").groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("rest"))
+    owned = marked.withColumn("owner", F.last(F.when(F.col("real"), F.col("at")), True).over(own))
+    real = F.col("real").isNotNull()
+    whole = real & (F.col("size") == F.col("skip") + F.col("length") + len(END))
+    # what is listed: pieces of a record that has several, and what stands before the first record of a file
+    odd = stored(owned.select("path", "split", "local", F.col("owner").alias("at"), F.lit(True).alias("listed"), whole.alias("whole")).where("not whole").drop("whole"))
+    again = text.mapInArrow(lambda b: _pieces(b, True), PIECE + ", raw binary").join(_few(starts), ["path", "split"]).withColumn("own", F.col("local") + F.col("start") - len(MAGIC)).where("own >= 0")
+    pieces = again.join(_few(odd), ["path", "split", "local"], "left")
+    several = pieces.where("at is not null").groupBy("path", "at").agg(F.min_by(F.struct("kind", "id", "refers", "digest", "skip", "length"), "own").alias("head"), F.array_sort(F.collect_list(F.struct("own", "raw"))).alias("rest"))
     glued = F.aggregate(F.slice("rest", 2, 1 << 30), F.element_at("rest", 1)["raw"], lambda s, x: F.concat(s, F.lit(MAGIC).cast("binary"), x["raw"]))
-    joined = parts.where("several and real").select(*header).join(broken.select("path", F.col("owner").alias("at"), glued.alias("raw")), ["path", "at"])
-    whole = pieces.where("not several").select(*header, "raw").unionByName(joined)
+    header = ["kind", "id", "refers", "digest", "skip", "length"]
+    joined = several.select("path", "at", *(F.col(f"head.{c}").alias(c) for c in header), glued.alias("raw"))
+    whole = pieces.where("listed is null").select("path", F.col("own").alias("at"), *header, "raw").unionByName(joined)
     block = F.substring("raw", F.col("skip") + 1, F.col("length"))
 
     @F.arrow_udf("binary")
