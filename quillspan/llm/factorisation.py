@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import read
+from quillspan.llm.common import read, spare
 
 BUCKETS, FACTORS = 1 << 15, 8
 MAX_FIT, EPOCHS, BATCH, RATE, DECAY = 12_000, 5, 64, 0.02, 1e-4
 #: Ranges of the statistics: shares by tenths of a logarithm, sizes by powers of two.
 _SHARES = np.array([0.0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
 _SIZES = 2.0 ** np.arange(0, 20)
-_KINDS = (*["share"] * 10, *["size"] * 4)
+_KINDS = (*["share"] * 10, *["size"] * 5)
 _WIDTH = 24
 FEATURES = BUCKETS + _WIDTH * len(_KINDS)
 _SYMBOL_BYTES = np.frombuffer(b"#*$%&|<>@^~=+_{}[]\\/", np.uint8)
@@ -58,6 +58,7 @@ def statistics(raw: bytes, words: list[bytes], n_chars: int) -> list[float]:
         n,
         m / n,
         n / lines,
+        lines,
     ]
 
 
@@ -160,7 +161,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
             found = np.array([machine.score(t.as_py() or "") for t in batch.column(len(keep))], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(of, schema)
+    return docs.select(*keep, F.col("text").alias(spare(keep, "text"))).mapInArrow(of, schema)
 
 
 def op1_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ and a host whose shrunk rate of any rule is over ``worst_rate`` takes its docume
 
 Words are runs of characters other than space and \\x09-\\x0D. Null text has no words and fails; empty text too. A null host
 is no host: its documents are judged alone. Repeated rows are measured and counted each. Columns of the input that have the
-name of a measure are replaced by it. An empty table gives an empty result.
+name of a measure or verdict are replaced by it in ``judge``; ``keep_documents`` returns the input's columns as they are. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import WORD_GAP_CHARS, read, stored
+from quillspan.llm.common import WORD_GAP_CHARS, read, spare, stored, tidied
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A host goes if it fails a rule in more than this part of its documents, after shrinking.
 WORST_RATE = 0.75
+_RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept")
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -58,20 +60,23 @@ def measure_text(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeat
 
 
-def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of the documents, then their measures; a pass over the texts, without a shuffle."""
+def measure(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` of the documents, then their measures; a pass over the texts, without a shuffle. A text that is kept is sent to Python once."""
     keep = [c for c in keep if c not in {x.split()[0] for x in MEASURES.split(", ")}]
     kept = docs.select(*keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), MEASURES])
     names = [*keep, *(x.split()[0] for x in MEASURES.split(", "))]
 
+    at = keep.index(text_col) if text_col in keep else len(keep)
+
+    @tidied
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure_text(t.as_py() or "") for t in batch.column(len(keep))]
+            found = [measure_text(t.as_py() or "") for t in batch.column(at)]
             columns = zip(*found) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(list(c), pa.int64()) for c in columns)], names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(of, schema)
+    return (kept if text_col in keep else docs.select(*keep, F.col(text_col).alias(spare(keep, "text")))).mapInArrow(of, schema)
 
 
 def rules() -> dict[str, Column]:
@@ -112,19 +117,28 @@ def host_verdicts(measured: DataFrame, host_col: str, worst_rate: float = WORST_
     return shrunk.withColumn("host_failed", F.greatest(*(F.col(f"rate_{k}") for k in names)) > worst_rate)
 
 
-def judge(docs: DataFrame, keep: list[str], host_col: str = "source", worst_rate: float = WORST_RATE) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], host_col: str = "source", worst_rate: float = WORST_RATE, text_col: str = "text") -> DataFrame:
     """The columns ``keep``, the measures, base_failed, host_failed and kept, for each document.
 
     The measures are written once and used for the hosts and for the documents; texts are read once and never shuffled.
     """
-    measured = stored(measure(docs.withColumn("_host", F.col(host_col)), [*keep, "_host"]))
+    host = spare([*docs.columns, *_RESULTS], "host")
+    measured = stored(measure(docs.withColumn(host, F.col(host_col)), [*(c for c in keep if c not in _RESULTS), host], text_col))
     failed = rules()
     base = F.lit(False)
     for k in OWN_RULES:
         base = base | failed[k]
-    bad = host_verdicts(measured, "_host", worst_rate).where("host_failed").select(F.col("host").alias("_host"), F.lit(True).alias("host_failed"))
-    judged = measured.withColumn("base_failed", base).join(bad, "_host", "left").withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("_host")
+    bad = host_verdicts(measured, host, worst_rate).where("host_failed").select(F.col("host").alias(host), F.lit(True).alias("host_failed"))
+    judged = measured.withColumn("base_failed", base).join(bad, host, "left").withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop(host)
+
+
+def keep_documents(docs: DataFrame, host_col: str = "source", worst_rate: float = WORST_RATE) -> DataFrame:
+    """The documents that neither their own rules nor their host's reject, with all their columns, whatever their names."""
+    plain = [f"column_{i}" for i in range(len(docs.columns))]
+    inner = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, plain)))
+    kept = judge(inner, plain, plain[docs.columns.index(host_col)], worst_rate, plain[docs.columns.index("text")]).where("kept")
+    return kept.select(*(F.col(p).alias(c) for c, p in zip(docs.columns, plain)))
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import read, text_batches
+from quillspan.llm.common import read, spare, text_batches
 
 KINDS = ("assign", "access", "hex")
 PIECE, OVERLAP, MAX_RUN, XZ_MEMORY = 4 << 20, 1 << 16, 64 << 20, 1 << 30
@@ -392,7 +392,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_scan_column(batch.column(len(keep)))], [*keep, *results])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(of, schema)
+    return docs.select(*keep, F.col("text").alias(spare(keep, "text"))).mapInArrow(of, schema)
 
 
 def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
