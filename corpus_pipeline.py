@@ -13,13 +13,13 @@ from quillspan.llm.common import read, stored
 from quillspan.llm.line_dedup import dedup_lines
 from quillspan.llm.order_minhash import dedup_documents
 from quillspan.llm.packing import pack
-from quillspan.llm.quality_rules import judge
+from quillspan.llm.quality_rules import keep_documents
 from quillspan.llm.secrets import redact
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that their own rules or their host's reject go; the text is measured and passed on in the same row."""
-    return judge(docs, docs.columns).where("kept").select(*docs.columns)
+    return keep_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
