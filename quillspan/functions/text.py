@@ -91,8 +91,16 @@ def truncated(text: Column, n: int) -> Column:
 
 
 def preview(text: Column, limit: int = 8192, side: int = 2048) -> Column:
-    """Head and tail of a text over ``limit`` bytes, with what is left out between; sides are counted in characters."""
-    return F.when(F.octet_length(text) > limit, F.concat(F.substring(text, 1, side), F.lit("\n… "), (F.length(text) - 2 * side).cast("string"), F.lit(" characters omitted …\n"), F.right(text, F.lit(side)))).otherwise(text)
+    """Head and tail of a text over ``limit`` bytes, ``side`` bytes each at most and cut between characters, with the number of bytes left out."""
+    raw, n = text.cast("binary"), F.octet_length(text)
+    inside = lambda at: F.hex(F.substring(raw, at, F.lit(1))).rlike("^[89AB]")  # noqa: E731  a byte that continues a character
+    head, tail = F.lit(side - 3), n - side + 4
+    for k in (2, 1, 0):
+        head = F.when(~inside(F.lit(side - k + 1)), side - k).otherwise(head)
+        tail = F.when(~inside(n - side + 1 + k), n - side + 1 + k).otherwise(tail)
+    part = lambda start, length: F.substring(raw, start, length).cast("string")
+    note = F.concat(F.lit("\n... ["), (tail - 1 - head).cast("string"), F.lit(" bytes omitted] ...\n"))
+    return F.when(n > limit, F.concat(part(F.lit(1), head), note, part(tail, n - tail + 1))).otherwise(text)
 
 
 def snippet(text: Column, terms: Column, width: int = 24, before: int = 4) -> Column:
@@ -106,17 +114,54 @@ def snippet(text: Column, terms: Column, width: int = 24, before: int = 4) -> Co
 
 
 def human_bytes(n: Column) -> Column:
-    return F.when(n >= 1 << 20, F.format_string("%.1fMB", n / float(1 << 20))).when(n >= 1024, F.format_string("%.1fKB", n / 1024.0)).otherwise(F.concat(n.cast("string"), F.lit("B")))
+    out = F.format_string("%.1f TB", n / float(1 << 40))
+    for unit, size in (("GB", 30), ("MB", 20), ("KB", 10)):
+        out = F.when(n < 1 << size + 10, F.format_string(f"%.1f {unit}", n / float(1 << size))).otherwise(out)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 
 def human_count(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+
+
+def human_money(dollars: Column) -> Column:
+    """Two places from a dollar on, three from a cent on, else four."""
+    return F.when(dollars >= 1, F.format_string("$%.2f", dollars)).when(dollars >= 0.01, F.format_string("$%.3f", dollars)).otherwise(F.format_string("$%.4f", dollars))
+
+
+def human_time(seconds: Column) -> Column:
+    return F.when(seconds < 90, F.format_string("~%.0fs", seconds)).when(seconds < 5400, F.format_string("~%.1f min", seconds / 60)).otherwise(F.format_string("~%.1f h", seconds / 3600))
+
+
+def human_duration(seconds: Column) -> Column:
+    """Whole days or hours, else minutes, one at least."""
+    of = lambda size, unit: F.concat(F.floor(seconds / size).cast("string"), F.lit(unit))
+    minutes = F.concat(F.floor(F.greatest(seconds, F.lit(60)) / 60).cast("string"), F.lit("m"))
+    return F.when((seconds >= 86400) & (seconds % 86400 == 0), of(86400, "d")).when((seconds >= 3600) & (seconds % 3600 == 0), of(3600, "h")).otherwise(minutes)
+
+
+def duration_seconds(spec: Column) -> Column:
+    """Seconds of a duration such as 45s, 15m, 3h or 2d; null for anything else."""
+    size = F.when(spec.endswith("s"), 1).when(spec.endswith("m"), 60).when(spec.endswith("h"), 3600).otherwise(86400)
+    return F.when(spec.rlike("^[0-9]{1,15}[smhd]$"), F.regexp_extract(spec, "^[0-9]+", 0).cast("long") * size)
+
+
+def window_start(spec: Column, now: Column, offset: Column | None = None) -> Column:
+    """Where the window ``all`` (null), ``today`` (local midnight; ``offset`` is the zone's seconds) or a duration before ``now`` begins, in seconds."""
+    local = now + (F.lit(0) if offset is None else offset)
+    word = F.trim(spec)
+    return F.when(word == "today", now - F.pmod(local, F.lit(86400))).when(word != "all", now - duration_seconds(word))
 
 
 def iso_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def parsed_time(text: Column) -> Column:
+    """The time that an ISO-8601 text with milliseconds and Z spells; null for other texts."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
 def micros(ts: str | Column) -> Column:
     """Microseconds since 1970 of a timestamp, with or without a time zone, as it reads in the session's zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz"))
@@ -141,3 +186,49 @@ def flattened(payload: Column) -> Column:
     """``key: value`` pairs of a JSON object of scalars, joined by bars, by key."""
     pairs = F.array_sort(F.map_entries(F.from_json(payload, "map<string,string>")))
     return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), " | ")
+
+
+#: Words of an import statement that name nothing.
+IMPORT_WORDS = ("use", "pub", "import", "from", "as", "crate", "self", "super", "mod", "require")
+
+
+def import_targets(statement: Column) -> Column:
+    """The names that an import statement brings: the last name of each member of a group in braces, else the last of all."""
+    last = lambda part: F.try_element_at(F.filter(F.split(part, r"[^\p{L}\p{N}_]+"), lambda x: (x != "") & ~x.isin(*IMPORT_WORDS)), F.lit(-1))
+    group = F.array_compact(F.transform(F.split(F.regexp_extract(statement, r"(?s)\{(.*)\}", 1), ","), last))
+    return F.when(statement.rlike(r"(?s)\{.*\}") & (F.size(group) > 0), group).otherwise(F.array_compact(F.array(last(statement))))
+
+
+def percent_decoded(text: Column) -> Column:
+    """%XX escapes as UTF-8; a plus stays a plus. Null where an escape is not whole."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def query_parameter(url: Column, name: str) -> Column:
+    """The decoded value of the first parameter of that name; null if there is none."""
+    value = F.regexp_extract(F.regexp_extract(url, r"\?([^#]*)", 1), rf"(?:^|&){name}=([^&]*)", 1)
+    return F.when(F.regexp_extract(url, r"\?([^#]*)", 1).rlike(rf"(?:^|&){name}="), percent_decoded(value))
+
+
+def shell_unescaped(path: Column) -> Column:
+    """Blanks that a backslash protects, without it."""
+    return F.replace(path, F.lit("\\ "), F.lit(" "))
+
+
+def as_predicate(answer: Column) -> Column:
+    """True or false of a yes/no word, else null."""
+    word = F.lower(F.trim(answer))
+    return F.when(word.isin("yes", "true", "y"), True).when(word.isin("no", "false", "n"), False)
+
+
+def answer_matches(answer: Column, truth: Column, check: str, tolerance: float = 0.0) -> Column:
+    """Whether an answer agrees with the truth: ``exact`` (numbers as numbers, yes/no words alike, else the words in any case), ``contains`` or ``numeric``. Null answers do not."""
+    number = lambda x: F.trim(x).try_cast("double")
+    both = as_predicate(answer) == as_predicate(truth)
+    if check == "numeric":
+        agrees = F.abs(number(answer) - number(truth)) <= tolerance
+    elif check == "contains":
+        agrees = F.coalesce(both, F.contains(F.lower(answer), F.lower(truth)))
+    else:
+        agrees = F.when(number(truth).isNotNull(), F.abs(number(answer) - number(truth)) < 2.220446049250313e-16).otherwise(F.coalesce(both, F.lower(F.trim(answer)) == F.lower(F.trim(truth))))
+    return F.coalesce(agrees, F.lit(False))

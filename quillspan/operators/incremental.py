@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +33,50 @@ def recall(blobs: DataFrame, prefix: str) -> DataFrame:
     if not prefix:
         return blobs.limit(0)
     return blobs.where((F.col("hash") >= prefix) & (F.col("hash") < prefix + "g")).orderBy("hash").limit(1)
+
+
+def index_records(chunks: DataFrame, records: DataFrame) -> DataFrame:
+    """The chunks, with records ``(path, chunk_id, content)`` in the place of those of the same chunk_id; records without content are skipped, and define no symbols."""
+    real = records.where(F.col("content").rlike(r"\S")).select("path", "chunk_id", "content", F.lit("").alias("symbols"))
+    return chunks.join(real, "chunk_id", "left_anti").select("path", "chunk_id", "content", "symbols").unionByName(real)
+
+
+def refreshed(cache: DataFrame, files: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``extract`` gives for all ``files(path, content)``, with ``reused``: rows of the cache whose path has the same hash are taken from it, others are worked out, those of deleted files go.
+
+    ``extract`` returns a row per (path, hash, content) it gets, with path and hash kept.
+    """
+    now = files.withColumn("hash", F.sha2("content", 256))
+    fresh = extract(now.join(cache.select("path", "hash"), ["path", "hash"], "left_anti")).withColumn("reused", F.lit(False))
+    return cache.join(now.select("path", "hash"), ["path", "hash"], "left_semi").withColumn("reused", F.lit(True)).unionByName(fresh)
+
+
+def may_replace(before: Column, after: Column, partial: Column) -> Column:
+    """Whether a new graph may replace the stored one: never one of no nodes, and one of a part of the files only if it does not shrink."""
+    return (after > 0) & ~(partial & (after < before))
+
+
+def debounced(requests: DataFrame, by: str, at: str, ttl: int) -> DataFrame:
+    """(by, at) of the requests that walk anew: the first of each key, and each that comes ``ttl`` or more after the last walk; with 0 all do.
+
+    The rows of a key stream by in order, so a task holds the last walk of one key only.
+    """
+    rows = requests.select(F.col(by).alias("by"), F.col(at).cast("long").alias("at")).where("by is not null and at is not null")
+    kind = rows.schema["by"].dataType.simpleString()
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            walks = np.zeros(len(batch), bool)
+            for i, (k, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if k != key or x - last >= ttl:
+                    key, last, walks[i] = k, x, True
+            yield batch.filter(pa.array(walks))
+
+    ordered = rows.repartition("by").sortWithinPartitions("by", "at")
+    return ordered.mapInArrow(of, f"by {kind}, at long").withColumnsRenamed({"by": by, "at": at})
+
+
+def durable(events: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """(project, category, text): what of inserted events goes into a project's memory, each once."""
+    return events.where(F.col("category").isin(*categories) & F.col("text").isNotNull()).select("project", "category", "text").distinct()

@@ -1,39 +1,129 @@
-"""Retrieval over chunks ``(path, chunk_id, content, symbols)``: BM25 with a boosted field, proximity, literal search, metrics.
+"""Retrieval over chunks ``(path, chunk_id, content, symbols)``: a stored index, BM25 with a boosted field, proximity, literal search, metrics.
 
 Queries are a DataFrame ``(query_id, query)``; any number of them is answered in one plan.
+
+The index is a folder of Parquet tables. ``postings`` has a row for each field, word and chunk with the word's places, in folders by
+field and by a hash of the word's stem, so a search reads the folders of its words only. ``sizes`` has each chunk's number of words, a
+row a field. Each table is a series of segments: an update adds one, and names the paths whose rows in older segments no longer count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import is_doc_path, occurrences, tokens
+from quillspan.functions.stem import stems
+from quillspan.functions.text import is_doc_path, occurrences, tokens, trigrams
+from quillspan.sources import files
 
 K1, B, SYMBOL_BOOST, DOC_PENALTY, PROXIMITY = 1.2, 0.75, 5.0, 0.7, 4.0
+FIELDS = {"content": 1.0, "symbols": SYMBOL_BOOST}
+#: Folders of postings; rows that a broadcast may hold.
+FOLDERS, BROADCAST_ROWS = 64, 500_000
+
+
+def _folder(stem: Column) -> Column:
+    return F.pmod(F.xxhash64(stem), F.lit(FOLDERS)).cast("int")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+@dataclass
+class Index:
+    """A stored index at a path."""
+
+    spark: SparkSession
+    path: str
+
+    def _live(self, table: str) -> DataFrame:
+        """The rows of a table that no later segment has replaced."""
+        rows = self.spark.read.parquet(f"{self.path}/{table}")
+        if not files.exists(self.spark, f"{self.path}/replaced"):
+            return rows
+        gone = self.spark.read.parquet(f"{self.path}/replaced").groupBy("path").agg(F.max("segment").alias("since"))
+        return rows.join(_few(gone), "path", "left").where(F.col("since").isNull() | (F.col("segment") >= F.col("since"))).drop("since")
+
+    def postings(self) -> DataFrame:
+        return self._live("postings")
+
+    def chunks(self) -> DataFrame:
+        return self._live("chunks").select("path", "chunk_id", "content", "symbols")
+
+    def sizes(self) -> DataFrame:
+        """(field, n, avg_len), a row a field."""
+        return self._live("sizes").groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+
+    def trigrams(self) -> DataFrame:
+        """(trigram, chunk_id, path) of every chunk's content, in folders by a hash of the trigram; made when first asked for."""
+        at = f"{self.path}/trigrams"
+        if not files.exists(self.spark, f"{at}/_SUCCESS"):
+            each = self.chunks().select("path", "chunk_id", F.explode(F.array_distinct(trigrams(F.col("content")))).alias("trigram"))
+            each.withColumn("folder", _folder(F.col("trigram"))).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(at)
+        return self.spark.read.parquet(at)
+
+    def add(self, chunks: DataFrame, replaces: DataFrame | None = None) -> None:
+        """Another segment with the chunks; earlier rows of the paths in ``replaces(path)`` no longer count."""
+        first = not files.exists(self.spark, f"{self.path}/chunks")
+        segment = 0 if first else self.spark.read.parquet(f"{self.path}/sizes").agg(F.max("segment")).first()[0] + 1
+        rows = chunks.select("path", "chunk_id", "content", "symbols").withColumn("segment", F.lit(segment))
+        if replaces is not None and not first:
+            replaces.select("path", F.lit(segment).alias("segment")).distinct().write.mode("append").parquet(f"{self.path}/replaced")
+        rows.write.mode("append").parquet(f"{self.path}/chunks")
+        each = rows.select("path", "chunk_id", "segment", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("w")) for f in FIELDS))).alias("x")).select("path", "chunk_id", "segment", "x.*")
+        each.select("path", "segment", "field", F.size("w").alias("len")).write.mode("append").parquet(f"{self.path}/sizes")
+        places = each.select("path", "chunk_id", "segment", "field", F.size("w").alias("len"), F.posexplode("w").alias("pos", "term"))
+        # a chunk is bounded, so are a word's places in it
+        posted = places.groupBy("field", "term", "path", "chunk_id", "segment").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("places"))
+        words = posted.select("term").distinct().withColumn("stem", stems(F.col("term")))
+        stemmed = posted.join(words, "term").withColumn("folder", _folder(F.col("stem")))
+        stemmed.repartition("field", "folder").sortWithinPartitions("field", "folder", "stem", "term").write.mode("append").partitionBy("field", "folder").parquet(f"{self.path}/postings")
+        files.remove(self.spark, f"{self.path}/trigrams")
+
+
+def index_of(chunks: DataFrame, path: str) -> Index:
+    """The index at the path, made of the chunks if there is none."""
+    index = Index(chunks.sparkSession, path)
+    done = f"{path}/done"
+    if not files.exists(index.spark, done):
+        files.remove(index.spark, path)
+        index.add(chunks)
+        index.spark.range(1).write.parquet(done)
+    return index
 
 
-def postings(chunks: DataFrame, field: str) -> DataFrame:
-    """(chunk_id, term, tf, len) of a field."""
-    words = chunks.select("chunk_id", tokens(F.col(field)).alias("w"))
-    return words.select("chunk_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, stem, place), each term of a query once."""
+    each = queries.select("query_id", F.posexplode(F.array_distinct(tokens(F.col("query")))).alias("place", "term"))
+    return each.withColumn("stem", stems(F.col("term")))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+def _posted(index: Index, terms: DataFrame) -> DataFrame:
+    """Postings in the folders of the queries' stems; the queries are few, and their folders' numbers prune the scan."""
+    folders = [r[0] for r in terms.select(_folder(F.col("stem"))).distinct().collect()]
+    return index.postings().where(F.col("folder").isin(*folders) if folders else F.lit(False))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, field: str = "content", boost: float = 1.0) -> DataFrame:
-    """(query_id, chunk_id, score). Only postings of the queries' terms are kept, before they are counted."""
+def bm25(index: Index, queries: DataFrame, fields: tuple[str, ...] = ("content",), stemmed: bool = False) -> DataFrame:
+    """(query_id, chunk_id, path, score): the fields' scores, each with its boost, added up; words of the same stem are one if ``stemmed``."""
     terms = query_terms(queries)
-    size = chunks.select(F.size(tokens(F.col(field))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))  # one row
-    wanted = chunks.select("chunk_id", tokens(F.col(field)).alias("w")).select("chunk_id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    posted = wanted.join(terms.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    word = "stem" if stemmed else "term"
+    wanted = terms.select("query_id", word).distinct()
+    found = _posted(index, terms).where(F.col("field").isin(*fields)).join(_few(wanted.select(word).distinct()), word)
+    if stemmed:
+        found = found.groupBy("field", "stem", "chunk_id", "path").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
+    df = found.groupBy("field", word).agg(F.count("*").alias("df"))
+    boost = F.lit(1.0)
+    for field in fields:
+        boost = F.when(F.col("field") == field, FIELDS[field]).otherwise(boost)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighted = posted.join(df, "term").join(F.broadcast(size)).select("chunk_id", "term", (part * boost).alias("part"))
-    return weighted.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    # a word is a row of df, a field one of sizes
+    scored = found.join(F.broadcast(index.sizes()), "field").join(_few(df), ["field", word]).withColumn("part", part * boost)
+    return scored.join(_few(wanted), word).groupBy("query_id", "chunk_id", "path").agg(F.sum("part").alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -42,42 +132,73 @@ def top(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def spans(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, span): the least distance between places that cover all (two or more) terms of the query.
+def spans(index: Index, queries: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, span): the least distance between places that cover all (two or more) terms of the query; of the pairs in ``pool(query_id, chunk_id)`` only, if given.
 
-    At each place that ends a cover, the last places of the terms so far are known; the span is the distance to the earliest of them.
+    At each place the last place of every term so far is at hand; the span is the distance to the earliest of them, so the work is linear in the places.
     """
     terms = query_terms(queries)
     many = terms.groupBy("query_id").agg(F.count("*").alias("k")).where("k > 1")
-    places = chunks.select("chunk_id", F.posexplode(tokens(F.col("content"))).alias("pos", "term")).join(terms.join(many, "query_id"), "term")
+    own = terms.join(many, "query_id").select("query_id", "term", "place", "k")
+    found = _posted(index, terms).where("field = 'content'").join(_few(own), "term")
+    if pool is not None:
+        found = found.join(_few(pool.select("query_id", "chunk_id")), ["query_id", "chunk_id"], "left_semi")
+    places = found.select("query_id", "chunk_id", "place", "k", F.explode("places").alias("pos"))
+    most = many.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
     so_far = Window.partitionBy("query_id", "chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = places.withColumn("last", F.collect_list(F.struct("term", "pos")).over(so_far))
-    latest = F.transform(F.array_distinct(F.transform("last", lambda x: x["term"])), lambda t: F.array_max(F.transform(F.filter("last", lambda x: x["term"] == t), lambda x: x["pos"])))
-    covered = seen.withColumn("latest", latest).where(F.size("latest") == F.col("k"))
-    return covered.groupBy("query_id", "chunk_id").agg(F.min(F.col("pos") - F.array_min("latest")).alias("span"))
+    last = [f"last_{i}" for i in range(most)]
+    seen = places.withColumns({c: F.when(F.col("k") > i, F.last(F.when(F.col("place") == i, F.col("pos")), True).over(so_far)).otherwise(F.col("pos")) for i, c in enumerate(last)})
+    if not last:
+        return seen.select("query_id", "chunk_id", F.col("pos").alias("span")).limit(0)
+    covered = seen.where(" and ".join(f"{c} is not null" for c in last))
+    return covered.groupBy("query_id", "chunk_id").agg(F.min(F.col("pos") - F.least(*last, "pos")).alias("span"))
 
 
-def ranked(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Both fields' BM25, the penalty of documentation paths, the proximity boost; best k of each query."""
-    both = bm25(chunks, queries).unionByName(bm25(chunks, queries, "symbols", SYMBOL_BOOST)).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("base"))
-    pool = top(both.join(chunks.select("chunk_id", "path"), "chunk_id").withColumnRenamed("base", "score"), min(k * 8, 200)).drop("rank")
-    near = pool.join(spans(chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi"), queries), ["query_id", "chunk_id"], "left")
-    score = F.when(is_doc_path(F.col("path")), F.col("score") * DOC_PENALTY).otherwise(F.col("score")) + F.coalesce(PROXIMITY / F.greatest("span", F.lit(1)), F.lit(0.0))
-    return top(near.withColumn("score", score), k)
+def ranked(index: Index, queries: DataFrame, k: int = 5, fields: tuple[str, ...] = tuple(FIELDS), stemmed: bool = True) -> DataFrame:
+    """BM25 of the fields, the penalty of documentation paths, the proximity boost; best k of each query, out of eight times as many (200 at most)."""
+    base = bm25(index, queries, fields, stemmed)
+    base = base.withColumn("score", F.when(is_doc_path(F.col("path")), F.col("score") * DOC_PENALTY).otherwise(F.col("score")))
+    pool = top(base, min(k * 8, 200)).drop("rank")
+    near = pool.join(spans(index, queries, pool), ["query_id", "chunk_id"], "left")
+    return top(near.withColumn("score", F.col("score") + F.coalesce(PROXIMITY / F.greatest("span", F.lit(1)), F.lit(0.0))), k)
 
 
 def literal(chunks: DataFrame, needle: str, k: int = 5) -> DataFrame:
-    """Chunks that contain the needle in any case, most occurrences first."""
+    """Chunks that contain the needle in any case, most occurrences first: a scan, for needles of any length."""
     hits = chunks.where(F.contains(F.lower("content"), F.lit(needle.lower()))).withColumn("score", occurrences(F.col("content"), needle))
     return hits.orderBy(F.desc("score"), "path", "chunk_id").limit(k)
 
 
+def literal_indexed(index: Index, needle: str, k: int = 5) -> DataFrame:
+    """As ``literal``, for a needle of three characters or more: chunks that have all its trigrams are candidates, and only their contents are searched."""
+    low = needle.lower()
+    parts = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    if not parts:
+        return literal(index.chunks(), needle, k)
+    folders = [r[0] for r in index.spark.createDataFrame([(x,) for x in parts], "x string").select(_folder(F.col("x"))).distinct().collect()]
+    hits = index.trigrams().where(F.col("folder").isin(*folders) & F.col("trigram").isin(*parts)).groupBy("chunk_id", "path").agg(F.count("*").alias("n")).where(F.col("n") == len(parts))
+    return literal(index.chunks().join(_few(hits.select("chunk_id", "path")), ["chunk_id", "path"], "left_semi"), needle, k)
+
+
 def grep(chunks: DataFrame, needle: str) -> DataFrame:
     ls = chunks.select("path", F.posexplode(F.split("content", "\n", -1)).alias("line", "text"))
     return ls.where(F.contains("text", F.lit(needle))).select("path", (F.col("line") + 1).alias("line"), "text")
 
 
 def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """One row: mrr, precision_at_k, hit_rate of ``results(query_id, chunk_id, rank)`` against ``relevant(query_id, chunk_id)``."""
-    joined = results.join(relevant.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.count_if((F.col("hit") == 1) & (F.col("rank") <= k)).alias("hits"))
-    return joined.agg(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.col("hits") / k), 6).alias("precision_at_k"), F.round(F.avg((F.col("hits") > 0).cast("int")), 6).alias("hit_rate"))
+    """One row: mrr, precision_at_k, hit_rate, precision and recall of ``results(query_id, chunk_id, rank)`` against ``relevant(query_id, chunk_id)``, of the queries that have results."""
+    truth = relevant.select("query_id", "chunk_id").distinct()
+    hit = F.col("hit").isNotNull()
+    by_query = results.join(truth.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(
+        F.min(F.when(hit, F.col("rank"))).alias("first"), F.count_if(hit & (F.col("rank") <= k)).alias("hits"), F.count_if(hit).alias("found"), F.count("*").alias("given")
+    )
+    all_ = truth.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    one = by_query.join(all_, "query_id", "left")
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return one.agg(
+        mean(F.coalesce(1 / F.col("first"), F.lit(0.0)), "mrr"),
+        mean(F.col("hits") / k, "precision_at_k"),
+        mean((F.col("found") > 0).cast("int"), "hit_rate"),
+        mean(F.col("found") / F.col("given"), "precision"),
+        mean(F.coalesce(F.col("found") / F.col("relevant"), F.lit(0.0)), "recall"),
+    )

@@ -23,6 +23,8 @@ INTENTS = {
 #: Signs of a failed command, and git operations in the order they are looked for.
 FAILURES = ("error", "traceback", "exception", "command not found", "no such file", "failed", "panicked", "fatal:", "cannot find")
 GIT_OPERATIONS = ("commit", "checkout", "merge", "rebase", "push", "pull", "status", "branch", "stash")
+#: What a message of the system begins with.
+SYSTEM_PREFIXES = ("<task-notification>", "<system-reminder>", "<context_guidance>", "<tool-result>", "<local-command", "<command-")
 PRIORITIES = {"user-prompt": 1, "decision": 2, "blocker": 2, "constraint": 2, "role": 3, "intent": 4}
 
 
@@ -59,6 +61,14 @@ def git_operation(command: Column) -> Column:
     return out
 
 
+def is_system_message(prompt: Column) -> Column:
+    shown = F.regexp_replace(prompt, r"^\s+", "")
+    out = F.lit(False)
+    for prefix in SYSTEM_PREFIXES:
+        out = out | shown.startswith(prefix)
+    return out
+
+
 def references(prompt: Column, n: int = 5) -> Column:
     """URLs and #numbers of a prompt, the first n."""
     words = F.transform(F.split(prompt, r"\s+"), lambda w: F.regexp_replace(w, r"[.,;:)\]}>]+$", ""))

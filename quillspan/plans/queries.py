@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as t
 from quillspan.operators import graph as g
 from quillspan.operators import incremental, oplog, rules, search, sessions
-from quillspan.sources.tables import CHUNKS, GRAPH, OPS, PROMPTS, chunks, graph, op_records, prompts, table, whole_graph
+from quillspan.sources.tables import CHUNKS, GRAPH, OPS, PROMPTS, chunks, graph, op_records, prompts, search_index, table, whole_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -203,9 +203,15 @@ def _(s, d):
     return table(s, d, "documents").where(sessions.looks_failed(F.col("text"))).select("doc_id")
 
 
-@query("E8_system_messages", "SELECT conv_id, turn FROM conversations WHERE NOT (starts_with(text, '<') OR starts_with(text, '[')) ")
+_MARKED = "CASE turn % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(sessions.SYSTEM_PREFIXES)) + " ELSE '' END"
+
+
+@query("E8_system_messages", f"SELECT conv_id, turn FROM (SELECT conv_id, turn, '  ' || {_MARKED} || text AS text FROM conversations) WHERE NOT (" + " OR ".join(f"starts_with(ltrim(text), '{x}')" for x in sessions.SYSTEM_PREFIXES) + ")")
 def _(s, d):
-    return table(s, d, "conversations").where(~(F.startswith("text", F.lit("<")) | F.startswith("text", F.lit("[")))).select("conv_id", "turn")
+    """Messages of which six of seven begin as a system message does, behind blanks."""
+    prefix = F.coalesce(F.get(F.array(*map(F.lit, sessions.SYSTEM_PREFIXES)), F.col("turn").cast("int") % 7), F.lit(""))
+    marked = table(s, d, "conversations").withColumn("text", F.concat(F.lit("  "), prefix, "text"))
+    return marked.where(~sessions.is_system_message(F.col("text"))).select("conv_id", "turn")
 
 
 @query("E10_latest_wins", f"WITH {OPS} SELECT k, tool, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, seq DESC) AS n FROM ops) WHERE n = 1")
@@ -328,7 +334,12 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", t.first_line_with(F.col("text"), "the").alias("line"))
 
 
-@query("T15_preview", "SELECT doc_id, CASE WHEN strlen(text) > 8192 THEN left(text, 2048) || chr(10) || '… ' || (length(text) - 4096) || ' characters omitted …' || chr(10) || right(text, 2048) ELSE text END AS shown FROM documents")
+_HEAD = "CASE " + " ".join(f"WHEN substr(h, {2 * (2048 - k) + 1}, 1) NOT IN ('8', '9', 'A', 'B') THEN {2048 - k}" for k in range(3)) + " ELSE 2045 END"
+_TAIL = "CASE " + " ".join(f"WHEN substr(h, 2 * (n - 2048 + {k}) + 1, 1) NOT IN ('8', '9', 'A', 'B') THEN n - 2048 + {k}" for k in range(3)) + " ELSE n - 2045 END"
+
+
+@query("T15_preview", f"""WITH x AS (SELECT doc_id, text, hex(encode(text)) AS h, strlen(text) AS n FROM documents), y AS (SELECT *, {_HEAD} AS a, {_TAIL} AS b FROM x)
+  SELECT doc_id, CASE WHEN n > 8192 THEN decode(unhex(substr(h, 1, 2 * a))) || chr(10) || '... [' || (b - a) || ' bytes omitted] ...' || chr(10) || decode(unhex(substr(h, 2 * b + 1))) ELSE text END AS shown FROM y""")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", t.preview(F.col("text")).alias("shown"))
 
@@ -367,28 +378,64 @@ def _searches(s):
 
 @query("R5_bm25_topk", f"WITH {CHUNKS}, {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, chunk_id) AS rank FROM scored JOIN chunks USING (chunk_id)) WHERE rank <= 5")
 def _(s, d):
-    c = chunks(s, d)
-    scored = search.bm25(c, _searches(s)).withColumn("score", F.round("score", 9)).join(c.select("chunk_id", "path"), "chunk_id")
+    scored = search.bm25(search_index(s, d), _searches(s)).withColumn("score", F.round("score", 9))
     return search.top(scored, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("R1_stemmed")
+def _(s, d):
+    """Best chunks of both fields, words counted by their stems."""
+    return search.top(search.bm25(search_index(s, d), _searches(s), ("content", "symbols"), True), 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("R2_overfetch", f"WITH {CHUNKS}, {_BM25} SELECT query_id, count(*) AS n FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored) WHERE r <= 200 GROUP BY 1")
+def _(s, d):
+    """A limit of a hundred fetches two hundred candidates of each query, never eight hundred."""
+    pool = search.top(search.bm25(search_index(s, d), _searches(s)), min(100 * 8, 200))
+    return pool.groupBy("query_id").agg(F.count("*").alias("n"))
+
+
 @query("R4_proximity", f"""WITH {CHUNKS}, {_BM25}, many AS (SELECT query_id, count(*) AS k FROM terms GROUP BY 1 HAVING count(*) > 1),
   places AS (SELECT query_id, chunk_id, term, pos, k FROM (SELECT chunk_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM words) JOIN terms USING (term) JOIN many USING (query_id)),
   ends AS (SELECT p.query_id, p.chunk_id, p.pos, t.term, p.k, max(CASE WHEN p.term = t.term THEN p.pos END) OVER (PARTITION BY p.query_id, p.chunk_id, t.term ORDER BY p.pos) AS latest FROM places p JOIN terms t ON p.query_id = t.query_id),
   covers AS (SELECT query_id, chunk_id, pos, pos - min(latest) AS span FROM ends GROUP BY ALL HAVING count(latest) = any_value(k))
   SELECT query_id, chunk_id, CAST(min(span) AS INT) AS span FROM covers GROUP BY 1, 2""".replace("GROUP BY ALL", "GROUP BY query_id, chunk_id, pos"))
 def _(s, d):
-    return search.spans(chunks(s, d), _searches(s))
+    return search.spans(search_index(s, d), _searches(s))
+
+
+_COVERS = """many AS (SELECT query_id, count(*) AS k FROM terms GROUP BY 1 HAVING count(*) > 1),
+  places AS (SELECT query_id, chunk_id, term, pos, k FROM (SELECT chunk_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM words) JOIN terms USING (term) JOIN many USING (query_id)),
+  ends AS (SELECT p.query_id, p.chunk_id, p.pos, t.term, p.k, max(CASE WHEN p.term = t.term THEN p.pos END) OVER (PARTITION BY p.query_id, p.chunk_id, t.term ORDER BY p.pos) AS latest FROM places p JOIN terms t ON p.query_id = t.query_id),
+  covers AS (SELECT query_id, chunk_id, pos, pos - min(latest) AS span FROM ends GROUP BY query_id, chunk_id, pos HAVING count(latest) = any_value(k))"""
+_RANKED = f"""WITH {CHUNKS}, {_BM25}, {_COVERS}, near AS (SELECT query_id, chunk_id, min(span) AS span FROM covers GROUP BY 1, 2),
+  base AS (SELECT query_id, chunk_id, score * CASE WHEN contains(chunk_id, '.md#') THEN 0.7 ELSE 1 END AS score, split_part(chunk_id, '#', 1) AS path FROM scored),
+  pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, chunk_id) AS r FROM base),
+  summed AS (SELECT query_id, chunk_id, path, score + coalesce(4.0 / greatest(span, 1), 0) AS score FROM pool LEFT JOIN near USING (query_id, chunk_id) WHERE r <= 40),
+  final AS (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, chunk_id) AS rank FROM summed)"""
+
+
+@query("R3_content_ranked", _RANKED + " SELECT query_id, chunk_id, score, rank FROM final WHERE rank <= 5")
+def _(s, d):
+    """Penalty and proximity over the content's words as they are."""
+    best = search.ranked(search_index(s, d), _searches(s), 5, ("content",), False)
+    return best.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("R3_ranked")
 def _(s, d):
-    return search.ranked(chunks(s, d), _searches(s)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return search.ranked(search_index(s, d), _searches(s)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("R7_literal", f"WITH {CHUNKS} SELECT chunk_id, CAST((length(lower(content)) - length(replace(lower(content), 'tion', ''))) // 4 AS BIGINT) AS score FROM chunks WHERE contains(lower(content), 'tion') ORDER BY score DESC, path, chunk_id LIMIT 20")
 def _(s, d):
-    return search.literal(chunks(s, d), "tion", 20).select("chunk_id", "score")
+    return search.literal_indexed(search_index(s, d), "tion", 20).select("chunk_id", "score")
+
+
+@query("R8_short_literal", f"WITH {CHUNKS} SELECT chunk_id, CAST((length(lower(content)) - length(replace(lower(content), 'qu', ''))) // 2 AS BIGINT) AS score FROM chunks WHERE contains(lower(content), 'qu') ORDER BY score DESC, path, chunk_id LIMIT 20")
+def _(s, d):
+    """A needle of two characters has no trigram: the contents are searched."""
+    return search.literal(search_index(s, d).chunks(), "qu", 20).select("chunk_id", "score")
 
 
 @query("R9_corpus_size", f"WITH {CHUNKS} SELECT count(DISTINCT path) AS paths, count(*) AS n_chunks FROM chunks")
@@ -402,12 +449,18 @@ def _(s, d):
     return search.grep(docs, "Licensed").withColumn("line", F.col("line").cast("long"))
 
 
-@query("R11_metrics")
+@query("R11_metrics", f"""{_RANKED}, good AS (SELECT doc_id FROM labels WHERE quality = 1), truth AS (SELECT query_id, chunk_id FROM chunks JOIN good ON doc_id = CAST(regexp_extract(path, '/([0-9]+)[.]', 1) AS BIGINT), (SELECT DISTINCT query_id FROM terms)),
+  hits AS (SELECT f.*, t.chunk_id IS NOT NULL AS hit FROM final f LEFT JOIN truth t USING (query_id, chunk_id) WHERE rank <= 10),
+  each AS (SELECT query_id, min(rank) FILTER (hit) AS first, count(*) FILTER (hit AND rank <= 5) AS h, count(*) FILTER (hit) AS found, count(*) AS given FROM hits GROUP BY 1),
+  whole AS (SELECT *, (SELECT count(*) FROM truth t WHERE t.query_id = e.query_id) AS relevant FROM each e)
+  SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(h / 5.0::DOUBLE), 6) AS precision_at_k, round(avg(CAST(found > 0 AS INT)), 6) AS hit_rate, round(avg(found / given::DOUBLE), 6) AS precision, round(avg(coalesce(found / nullif(relevant, 0)::DOUBLE, 0)), 6) AS recall FROM whole""")
 def _(s, d):
-    c = chunks(s, d)
-    hits = search.ranked(c, _searches(s))
-    relevant = hits.where("rank % 2 = 1").select("query_id", "chunk_id")
-    return search.retrieval_metrics(hits, relevant, 5)
+    """Rankings held against the documents labelled good."""
+    index = search_index(s, d)
+    good = table(s, d, "labels").where("quality = 1").select("doc_id")
+    doc = F.regexp_extract("path", r"/([0-9]+)\.", 1).cast("long")
+    truth = index.chunks().join(good, doc == F.col("doc_id"), "left_semi").select("chunk_id").join(F.broadcast(_searches(s).select("query_id")))
+    return search.retrieval_metrics(search.ranked(index, _searches(s), 10, ("content",), False), truth, 5)
 
 
 # graph

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import line_chunks, symbols
+from quillspan.sources import files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("symbols", symbols(F.col("content")))
 
 
+def search_index(spark: SparkSession, sf_dir: str):
+    """The index of the documents' chunks, kept in this application's folder while the table's files are the same, and made anew when they change."""
+    from quillspan.operators.search import index_of
+    from quillspan.sources.stored import shared_folder
+
+    fs, where = files._at(spark, f"{sf_dir}/documents.parquet")
+    parts = [where, *(x.getPath() for x in fs.listStatus(where))] if fs.getFileStatus(where).isDirectory() else [where]
+    state = "|".join(f"{p}:{fs.getFileStatus(p).getModificationTime()}:{fs.getFileStatus(p).getLen()}" for p in parts)
+    return index_of(chunks(spark, sf_dir), f"{shared_folder(spark)}/index-{hashlib.sha256(state.encode()).hexdigest()[:16]}")
+
+
 CHUNKS = """chunks AS (SELECT path, path || '#' || i AS chunk_id, content FROM (
   SELECT path, i, array_to_string(list_slice(l, i * 100 + 1, i * 100 + 100), chr(10)) AS content FROM (
     SELECT path, l, unnest(range(0, (len(l) + 99) // 100)) AS i FROM (
