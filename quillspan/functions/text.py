@@ -82,7 +82,7 @@ def first_line_with(text: Column, needle: str, width: int = 120) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    return F.coalesce(F.get(F.filter(F.transform(lines(text), F.trim), lambda x: x != ""), F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def truncated(text: Column, n: int) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quillspan.sources.stored import stored
 
 DAMPING, ROUNDS = 0.85, 20
+#: Kinds of edges that ranks move along; files beyond which a target counts as common, and what it then weighs.
+REFERENCES, MANY_FILES, LIGHT = ("calls", "imports"), 5, 0.1
 
 
 def node_id(*parts: Column) -> Column:
@@ -33,28 +35,46 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, weight: Column | None = None, seed: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(id, rank) after a fixed number of rounds. What nodes without outgoing edges hold is given back by the teleport, uniform or by ``seed(id, share)``.
+def reference_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, w) of calls and imports: the share of src's rank that goes to dst. A target that more than five files refer to weighs a tenth, and so does one whose name begins with _."""
+    refs = edges.where(F.col("kind").isin(*REFERENCES)).select("src", "dst")
+    used = refs.join(nodes.select(F.col("id").alias("src"), "file"), "src").groupBy("dst").agg(F.count_distinct("file").alias("files"))
+    target = nodes.select(F.col("id").alias("dst"), "name").join(used, "dst")
+    weight = F.when(F.col("files") > MANY_FILES, LIGHT).otherwise(1.0) * F.when(F.startswith("name", F.lit("_")), LIGHT).otherwise(1.0)
+    weighted = refs.join(target.select("dst", weight.alias("w")), "dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return weighted.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src")))
 
-    Links and ranks share their partitioning by source; the lineage is cut every five rounds by a stored table.
+
+def page_rank(nodes: DataFrame, edges: DataFrame, seed: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """(id, rank) over calls and imports after a fixed number of rounds; the teleport is uniform, or by the positive weights of ``seed(id, weight)`` if there are any.
+
+    What nodes without outgoing links hold goes back by the teleport: it is what of the whole, 1, has not moved. A round is a
+    join of the links, which stay partitioned by source, with the ranks that moved in the round before, and a sum by target, which is
+    stored: so no plan grows with the rounds, and a lost executor costs the round it was in.
     """
-    links = edges.withColumn("w", weight if weight is not None else F.lit(1.0)).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    links = links.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src")))
-    links = stored(links)
-    n = nodes.count()
-    given = nodes.select("id").withColumn("share", F.lit(1.0 / max(n, 1))) if seed is None else nodes.select("id").join(seed, "id", "left").select("id", F.coalesce("share", F.lit(0.0)).alias("share"))
-    sources = links.select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
-    given = stored(given.join(sources, "id", "left"))
-    ranks = given.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for i in range(rounds):
-        moved = links.join(ranks, links.src == ranks.id).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("moved"))
-        lost = ranks.join(given, "id").where("linked is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        joined = given.join(moved, given.id == moved.dst, "left").join(F.broadcast(lost))  # one row
-        rank = (1 - damping) * F.col("share") + damping * (F.coalesce("moved", F.lit(0.0)) + F.col("lost") * F.col("share"))
-        ranks = joined.select("id", rank.alias("rank"))
-        if i % 5 == 4:
-            ranks = stored(ranks)
-    return ranks
+    n = max(nodes.count(), 1)
+    total = 0.0
+    if seed is not None:
+        wanted = stored(seed.where("weight > 0").join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("weight").alias("weight")))
+        total = wanted.agg(F.sum("weight")).first()[0] or 0.0
+    share = F.coalesce(F.col("weight") / total, F.lit(0.0)) if total else F.lit(1.0 / n)
+    given = lambda ids: (ids.join(wanted, "id", "left") if total else ids).withColumn("share", share)
+    links = stored(reference_links(nodes, edges)).repartition("src").persist()
+    shares = given(links.select(F.col("src").alias("id")).distinct()).select(F.col("id").alias("src"), "share") if total else None
+    moved, lost = None, 0.0
+    for _ in range(rounds):
+        now = links if shares is None else links.join(shares, "src")
+        base = F.col("share") if total else F.lit(1.0 / n)
+        if moved is not None:
+            now = now.join(moved.select(F.col("id").alias("src"), "moved"), "src", "left")
+            base = base * (1 - damping + damping * lost) + damping * F.coalesce("moved", F.lit(0.0))
+        moved = stored(now.groupBy(F.col("dst").alias("id")).agg(F.sum(base * F.col("w")).alias("moved")))
+        lost = 1.0 - (moved.agg(F.sum("moved")).first()[0] or 0.0)
+    links.unpersist()
+    last = given(nodes.select("id"))
+    if moved is None:
+        return last.select("id", F.col("share").alias("rank"))
+    return last.join(moved, "id", "left").select("id", (F.col("share") * (1 - damping + damping * lost) + damping * F.coalesce("moved", F.lit(0.0))).alias("rank"))
 
 
 def within(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
@@ -99,12 +119,77 @@ def find(nodes: DataFrame, words: list[str], name_tokens: Column) -> DataFrame:
     return nodes.withColumn("score", score.cast("int")).where("score > 0")
 
 
+def find_ranked(nodes: DataFrame, edges: DataFrame, words: list[str], name_tokens: Column, limit: int, mode: str = "blend") -> DataFrame:
+    """The best ``limit`` of ``find`` (id, score, place). ``raw``: by score, id. ``personalized``: by rank seeded with the scores, then score, id.
+
+    ``blend``: by score, then that rank, then id; ranks are worked out only if a tie of scores crosses the limit, as else they change nothing.
+    """
+    found = stored(find(nodes, words, name_tokens).select("id", "score"))
+    order = [F.desc("score"), F.col("id")]
+    if mode != "raw":
+        edge = [r["score"] for r in found.orderBy(*order).select("score").limit(limit + 1).collect()]
+        if mode == "personalized" or (0 < limit < len(edge) and edge[limit - 1] == edge[limit]):
+            seed = found.select("id", F.col("score").cast("double").alias("weight"))
+            # ranks that differ by less than rounding are a tie
+            found = found.join(page_rank(nodes, edges, seed), "id").withColumn("rank", F.round("rank", 12))
+            order = [F.desc("rank"), *order] if mode == "personalized" else [F.desc("score"), F.desc("rank"), F.col("id")]
+    best = found.orderBy(*order).limit(limit)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("id", "score", "place")
+
+
+def recent_files(events: DataFrame, scan: int = 80, keep: int = 20) -> DataFrame:
+    """(file, seq): the last ``keep`` different files among the newest ``scan`` rows of ``events(seq, file)``."""
+    newest = events.where("file is not null").orderBy(F.desc("seq")).limit(scan)
+    return newest.groupBy("file").agg(F.max("seq").alias("seq")).orderBy(F.desc("seq")).limit(keep)
+
+
+def path_nodes(path: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(place, id, name, kind) of a path's nodes in order; no row if no path was found."""
+    return path.select(F.posexplode("path").alias("place", "id")).join(nodes.select("id", "name", "kind"), "id", "left")
+
+
+def size_gated(rows: DataFrame, json: str, limit: int = 8192) -> DataFrame:
+    """The rows with bytes, and where the JSON has more bytes than the limit with the hash it is stored under (ref) in its place."""
+    large = F.octet_length(json) > limit
+    return rows.withColumns({"bytes": F.octet_length(json).cast("long"), "ref": F.when(large, F.sha2(json, 256)), "inline": F.when(~large, F.col(json))}).drop(json)
+
+
+def resolve_imports(imports: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, new nodes) of ``imports(module, segment)``: each goes to the first node (by ``place``) of that name that is not the module itself, else to a node made for it."""
+    named = imports.distinct().join(nodes.select(F.col("name").alias("segment"), "id", "place"), "segment", "left").where("id is null or id <> module")
+    first = imports.distinct().join(named.where("id is not null").groupBy("module", "segment").agg(F.min_by("id", F.struct("place", "id")).alias("id")), ["module", "segment"], "left")
+    target = F.coalesce("id", F.concat(F.lit("import:"), F.col("segment")))
+    made = first.where("id is null").select(target.alias("id"), F.col("segment").alias("name"), F.lit("import").alias("kind")).distinct()
+    return first.select(F.col("module").alias("src"), target.alias("dst"), F.lit("imports").alias("kind")).distinct(), made
+
+
+def enclosing(positions: DataFrame, scopes: DataFrame, width: int = 64) -> DataFrame:
+    """``positions(file, pos, ...)`` with the scope (id) of ``scopes(file, id, start, stop)`` that holds each and starts last; null if none does.
+
+    Scopes are laid out over blocks of ``width`` places, so that the join has keys and no pair of a file is looked at that is not near.
+    """
+    block = lambda c: F.floor(c / width)
+    laid = scopes.withColumn("block", F.explode(F.sequence(block(F.col("start")), block(F.col("stop")))))
+    at = positions.withColumn("block", block(F.col("pos")))
+    held = at.join(laid, ["file", "block"]).where("pos between start and stop").groupBy("file", "pos").agg(F.max_by("id", F.struct("start", (-F.col("stop")).alias("stop"), "id")).alias("scope"))
+    return positions.join(held, ["file", "pos"], "left")
+
+
+def agreement(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: shared, only_left, only_right, recall and precision of the right set against the left one."""
+    keys = left.columns
+    both = left.distinct().withColumn("l", F.lit(1)).join(right.distinct().withColumn("r", F.lit(1)), keys, "full")
+    shared = F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull())
+    ratio = lambda c: F.round(shared / F.nullif(F.count(c), F.lit(0)), 6)
+    return both.agg(shared.alias("shared"), F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), ratio("l").alias("recall"), ratio("r").alias("precision"))
+
+
 def symbol(nodes: DataFrame, edges: DataFrame, name: str, recent: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around the nodes whose name holds ``name``: those of recent files (file) first, then by rank, ``limit`` at most; with their neighbours."""
     ranked = nodes.where(F.contains(F.lower("name"), F.lit(name.lower()))).join(page_rank(nodes, edges), "id")
     touched = recent.select("file").distinct().withColumn("recent", F.lit(True))
-    best = ranked.join(touched, "file", "left").orderBy(F.coalesce("recent", F.lit(False)).desc(), F.desc("rank"), "id").limit(limit)
-    around = stored(within(edges, best.select("id"), 1).select("id").distinct())
+    best = ranked.join(touched, "file", "left").orderBy(F.coalesce("recent", F.lit(False)).desc(), F.desc(F.round("rank", 12)), "id").limit(limit)
+    around = stored(within(edges, stored(best.select("id")), 1).select("id").distinct())
     return nodes.join(around, "id", "left_semi"), induced(around, edges)
 
 
@@ -136,3 +221,12 @@ def overview(entries: DataFrame, budget: int, cells: int = 8_000_000) -> list[st
             chosen.append(rows[i]["id"])
             left -= rows[i]["tokens"]
     return chosen[::-1]
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows with their place, from 1, in a total order: ranges are sorted each by its task, and the counts of the ranges before are added."""
+    parted = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    counts = parted.groupBy("part").agg(F.count("*").alias("n"))  # a row a range
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parted.join(F.broadcast(before.drop("n")), "part").withColumn(name, (own + F.col("before")).cast("long")).drop("part", "before")

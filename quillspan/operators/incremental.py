@@ -80,3 +80,25 @@ def debounced(requests: DataFrame, by: str, at: str, ttl: int) -> DataFrame:
 def durable(events: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     """(project, category, text): what of inserted events goes into a project's memory, each once."""
     return events.where(F.col("category").isin(*categories) & F.col("text").isNotNull()).select("project", "category", "text").distinct()
+
+
+def verified(references: DataFrame, blobs: DataFrame, last: int) -> DataFrame:
+    """(seq, ref, status) of the last ``references(seq, ref)``: PASS where the content stored under the hash, or under a hash with that prefix, has it and comes back the same from the codec; MISSING where there is none."""
+    from quillspan.functions import codec
+
+    some = references.orderBy(F.desc("seq")).limit(last)
+    short = F.length("ref") < 64
+    whole = some.where(~short).join(blobs, F.col("ref") == F.col("hash"), "left")
+    # a shortened reference is met by its first twelve characters
+    head = some.where(short & (F.length("ref") >= 12)).withColumn("head", F.substring("ref", 1, 12)).join(blobs.withColumn("head", F.substring("hash", 1, 12)), "head", "left").drop("head")
+    rows = whole.unionByName(head).where("hash is null or startswith(hash, ref)")
+    intact = F.sha2("content", 256) == F.col("hash")
+    json = F.try_parse_json("content").isNotNull()
+    checked = rows.withColumn("same", F.when(intact & json, codec.expanded(codec.compacted("content")) == codec.without_nulls("content")))
+    status = F.when(F.col("hash").isNull(), "MISSING").when(~intact | ~F.coalesce("same", F.lit(True)), "CORRUPT").otherwise("PASS")
+    return checked.select("seq", "ref", status.alias("status"))
+
+
+def scoped(ops: DataFrame, scope: str | None, own: str) -> DataFrame:
+    """The records of a named project, of one's own (None), or of all (``*``)."""
+    return ops if scope == "*" else ops.where(F.col("project") == (own if scope is None else scope))

@@ -16,7 +16,7 @@ BOUNDED_PREFIXES = ("echo ", "printf ", "which ", "type ", "command -v ", "touch
 
 def segments(command: Column) -> Column:
     """Parts of a command line between && || ; | & and line ends, trimmed."""
-    return F.filter(F.transform(F.split(command, r"&&|\|\||[;|&\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(command, r"&&|\|\||[;|&\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def risk(command: Column) -> Column:

@@ -4,43 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quillspan.functions import codec
 from quillspan.functions import text as t
-from quillspan.operators import commands, extract, incremental
-from quillspan.operators import graph as g
+from quillspan.operators import incremental
 from quillspan.plans.queries import query
 from quillspan.sources.stored import shared_folder
-from quillspan.sources.tables import CHUNKS, GRAPH, OPS, chunks, graph, op_records, table, whole_graph
+from quillspan.sources.tables import CHUNKS, OPS, chunks, op_records, table
 from quillspan.streaming import counters
 
-#: Sample command lines.
-LINES = [
-    "git log | head", "git push", "cargo test && ls", "find . | xargs rm", "", "cd x && ls", "A=1 make", "f() { ls; }", "curl http://a", "curl http://a -o f", "curl -s u -o -",
-    "mvn package", "python -c 'requests.get(u)'", "node -e 'fetch(\"https://a\")'", "/usr/bin/git status", "npm run x; pytest", "echo `id`", "pip install x",
-]
-
-
-def _lines(s):
-    return s.createDataFrame([(c,) for c in LINES], "command string")
-
-
 # text
 @query("T3_chunk_ids", f"WITH {CHUNKS} SELECT chunk_id, strlen(content) AS bytes FROM chunks")
 def _(s, d):
     return chunks(s, d).select("chunk_id", F.octet_length("content").cast("long").alias("bytes"))
 
 
-@query("T4_symbols")
-def _(s, d):
-    rows = [(1, "class HTTPServer\ndef parseValue(x):\n  const MAX_SIZE = 1"), (2, "nothing here"), (3, "fn a() {}\nfn a() {}")]
-    return s.createDataFrame(rows, "id int, content string").select("id", t.symbols(F.col("content")).alias("symbols"))
-
-
 @query("T8_distinct_tokens", "SELECT conv_id, turn, CAST(len(list_distinct(list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> ''))) AS INT) AS n FROM conversations")
 def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.size(F.array_distinct(t.tokens(F.col("text")))).alias("n"))
@@ -57,12 +37,6 @@ def _(s, d):
     return chunks(s, d).where(t.is_doc_path(F.col("path"))).select("path").distinct()
 
 
-@query("T13_snippets")
-def _(s, d):
-    terms = F.array(F.lit("the"), F.lit("license"))
-    return chunks(s, d).select("chunk_id", t.snippet(F.col("content"), terms).alias("snippet"))
-
-
 @query("T20_token_estimate", "SELECT doc_id, CAST(floor(strlen(text) / 4) AS BIGINT) AS est_tokens FROM documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.floor(F.octet_length("text") / 4).cast("long").alias("est_tokens"))
@@ -85,39 +59,12 @@ def _(s, d):
 
 
 # rules
-@query("H5_stateful")
-def _(s, d):
-    return _lines(s).withColumn("stateful", commands.stateful(F.col("command")))
-
-
-@query("H6_wrappable")
-def _(s, d):
-    return _lines(s).withColumn("wrappable", commands.wrappable(F.col("command")))
-
-
-@query("H8_redirects")
-def _(s, d):
-    return _lines(s).withColumn("redirect", commands.redirect(F.col("command")))
-
-
-@query("H9_external_tools")
-def _(s, d):
-    tools = s.createDataFrame([("mcp__db__query",), ("mcp__own__run",), ("mcp____x",), ("Read",)], "tool string")
-    return tools.withColumn("external", commands.external_tool(F.col("tool"), "own"))
-
-
 @query("H3_large_results", f"WITH {OPS} SELECT session_id, seq, returned FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM ops WHERE tool = 'view' AND returned > 16384) WHERE n = 1")
 def _(s, d):
     large = op_records(s, d).where("tool = 'view' AND returned > 16384")
     return large.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))).where("n = 1").select("session_id", "seq", "returned")
 
 
-@query("E3_command_events")
-def _(s, d):
-    events = commands.command_events(F.col("command"), F.col("command").contains("curl"), F.lit("error: no route"))
-    return _lines(s).select("command", F.explode(events).alias("e")).select("command", "e.category", "e.detail")
-
-
 @query("E9_attributed", "SELECT conv_id AS session_id, role AS source_hook, count(*) AS n FROM conversations GROUP BY 1, 2")
 def _(s, d):
     return table(s, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("role").alias("source_hook")).groupBy("session_id", "source_hook").agg(F.count("*").alias("n"))
@@ -148,38 +95,6 @@ def _(s, d):
     return orders.select("o_custkey", (codec.expanded(codec.compacted("json")) == codec.without_nulls("json")).alias("same"))
 
 
-# graph
-@query("Q5_tie_at_limit", f"WITH {GRAPH} SELECT count(*) > 10 AS straddles FROM nodes WHERE kind = 'nation' AND contains(lower(name), 'a')")
-def _(s, d):
-    """Whether a tie of scores crosses the limit of ten, so that ranks have to break it."""
-    found = g.find(graph(s, d)[0].where("kind = 'nation'"), ["a"], F.array().cast("array<string>")).where("score > 0")
-    return found.agg((F.count("*") > 10).alias("straddles"))
-
-
-@query("Q9_adjacency", f"WITH {GRAPH}, c AS (SELECT src, dst FROM edges WHERE kind = 'contains') SELECT src, count(*) AS degree FROM (SELECT src, dst FROM c UNION SELECT dst, src FROM c) GROUP BY 1")
-def _(s, d):
-    return g.both_ways(graph(s, d)[1].where("kind = 'contains'")).distinct().groupBy("src").agg(F.count("*").alias("degree"))
-
-
-@query("Q12_resolved", f"WITH {GRAPH}, t AS (SELECT unnest(['region:1', 'ASIA', 'nation:3']) AS token), m AS (SELECT token, id, CASE WHEN id = token THEN 0 WHEN name = token THEN 1 ELSE 2 END AS tier FROM t JOIN nodes ON id = token OR name = token OR contains(lower(name), lower(token))) SELECT token, arg_min(id, (tier, id)) AS id FROM m GROUP BY 1")
-def _(s, d):
-    """A token is an id, else a name, else part of a name; of several the least id. The tokens are few, the nodes are read once."""
-    tokens = F.explode(F.array(*[F.lit(x) for x in ("region:1", "ASIA", "nation:3")]))
-    each = graph(s, d)[0].select("id", "name", tokens.alias("token"))
-    tier = F.when(F.col("id") == F.col("token"), 0).when(F.col("name") == F.col("token"), 1).when(F.contains(F.lower("name"), F.lower("token")), 2)
-    return each.withColumn("tier", tier).where("tier is not null").groupBy("token").agg(F.min_by("id", F.struct("tier", "id")).alias("id"))
-
-
-@query("Q16_entries", f"WITH {GRAPH}, n AS (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS n, count(*) OVER (PARTITION BY dst) AS total FROM edges WHERE kind = 'imports') SELECT dst AS id, string_agg(src, ', ' ORDER BY src) || CASE WHEN any_value(total) > 3 THEN ' (+' || (any_value(total) - 3) || ' more)' ELSE '' END AS callers FROM n WHERE n <= 3 GROUP BY 1")
-def _(s, d):
-    """Three callers at most and how many more; a hot node's callers are ranked, never gathered."""
-    w = Window.partitionBy("dst")
-    ranked = graph(s, d)[1].where("kind = 'imports'").withColumns({"n": F.row_number().over(w.orderBy("src")), "total": F.count("*").over(w)})
-    few = ranked.where("n <= 3").groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list("src")).alias("src"), F.max("total").alias("total"))
-    more = F.when(F.col("total") > 3, F.concat(F.lit(" (+"), (F.col("total") - 3).cast("string"), F.lit(" more)"))).otherwise("")
-    return few.select("id", F.concat(F.array_join("src", ", "), more).alias("callers"))
-
-
 # change data
 @query("C2_replaced_chunks", "SELECT doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 4 <> 1")
 def _(s, d):
@@ -230,58 +145,3 @@ def _(s, d):
 @query("W4_keyed_counters", "SELECT user_id AS session_id, event_type AS tool, count(*) AS n FROM events GROUP BY 1, 2")
 def _(s, d):
     return counters.drained(counters.keyed_counters(counters.event_stream(s, d)))
-
-
-# code
-FILES = [
-    ("app/main.py", "from app.store import put\n\ndef main():\n    put(load(1))\n\ndef load(n):\n    return n\n"),
-    ("app/store.py", "class Store:\n    def put(self, x):\n        return load(x)\n\ndef put(x):\n    Store().put(x)\n"),
-    ("src/lib.rs", "use store::put;\nfn main() {\n  put(load(1));\n}\nfn load(n: i32) -> i32 { n }\n"),
-]
-
-
-def _files(s):
-    return s.createDataFrame(FILES, "path string, content string")
-
-
-@query("G1_extracted")
-def _(s, d):
-    return extract.extracted(_files(s))
-
-
-@query("G3_languages")
-def _(s, d):
-    return _files(s).select("path", extract.language(F.col("path")).alias("language"))
-
-
-@query("G9_resolved_calls")
-def _(s, d):
-    """Calls of functions, resolved in the file, then through its imports, then anywhere."""
-    rows = extract.extracted(_files(s), ["python"])
-    defs = rows.where("row = 'def'").select("name", F.concat_ws(":", "path", "name", "line").alias("id"), F.col("path").alias("file"))
-    calls = rows.where("row = 'call' and owner is not null").select(F.concat_ws(":", "path", "owner").alias("caller"), F.col("path").alias("file"), F.col("name").alias("callee_name"))
-    imports = rows.where("row = 'import'").select(F.col("path").alias("file"), "name").join(defs.select("name", F.col("file").alias("from_file")), "name").where("file <> from_file").select("file", "from_file", "name")
-    return g.resolve_calls(calls, defs, imports.distinct())
-
-
-@query("A2_skeletons")
-def _(s, d):
-    def cut(x: pd.Series) -> pd.Series:
-        return x.map(extract.skeleton)
-
-    skeleton = F.pandas_udf(cut, StringType())
-    return _files(s).where(extract.language(F.col("path")) == "python").select("path", skeleton("content").alias("skeleton"))
-
-
-@query("Q2_symbol")
-def _(s, d):
-    nodes, edges = whole_graph(s, d)
-    recent = s.createDataFrame([("nation",)], "file string")
-    return g.symbol(nodes.withColumn("file", F.col("kind")), edges, "united", recent, 5)[0].select("id", "name", "kind")
-
-
-@query("Q15_overview")
-def _(s, d):
-    nodes, edges = whole_graph(s, d)
-    entries = nodes.join(g.page_rank(nodes, edges), "id").select("id", "rank", F.greatest(F.ceil(F.length("name") / 4), F.lit(1)).alias("tokens"))
-    return s.createDataFrame([(x,) for x in g.overview(entries, 200)], "id string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as t
 from quillspan.operators import graph as g
 from quillspan.operators import incremental, oplog, rules, search, sessions
-from quillspan.sources.tables import CHUNKS, GRAPH, OPS, PROMPTS, chunks, graph, op_records, prompts, search_index, table, whole_graph
+from quillspan.sources.tables import CHUNKS, OPS, PROMPTS, chunks, op_records, prompts, search_index, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -198,9 +198,11 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(sessions.references(F.col("text")), " ").alias("refs"))
 
 
-@query("E7_failures", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in sessions.FAILURES))
+@query("E7_failures", "SELECT conv_id, turn, turn % 10 < 9 AS failed FROM conversations")
 def _(s, d):
-    return table(s, d, "documents").where(sessions.looks_failed(F.col("text"))).select("doc_id")
+    """Responses with a sign of failure in upper case, nine of ten."""
+    sign = F.coalesce(F.get(F.array(*map(F.lit, sessions.FAILURES)), (F.col("turn") % 10).cast("int")), F.lit("done"))
+    return table(s, d, "conversations").select("conv_id", "turn", sessions.looks_failed(F.concat(F.lit("ok, "), F.upper(sign))).alias("failed"))
 
 
 _MARKED = "CASE turn % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(sessions.SYSTEM_PREFIXES)) + " ELSE '' END"
@@ -279,11 +281,6 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.size(rules.segments(F.col("text"))).alias("n"))
 
 
-@query("H7_risk")
-def _(s, d):
-    return s.createDataFrame([(c,) for c in COMMANDS], "command string").withColumn("risk", rules.risk(F.col("command")))
-
-
 @query("H10_throttle", f"WITH {OPS}, n AS (SELECT session_id, tool, seq, row_number() OVER (PARTITION BY session_id, tool ORDER BY seq) AS n FROM ops) SELECT *, n = 1 AS once, n % 10 = 1 AS periodic, n >= 3 AND (n - 3) % 3 = 0 AS escalate FROM n")
 def _(s, d):
     return rules.throttled(op_records(s, d).select("session_id", "tool", "seq"), ["session_id", "tool"]).withColumn("n", F.col("n").cast("long"))
@@ -297,22 +294,11 @@ def _(s, d):
 
 
 # text
-@query("T1_heading_chunks")
-def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.posexplode(t.heading_chunks(F.col("text"))).alias("i", "content"))
-
-
 @query("T2_line_chunks", f"WITH {CHUNKS} SELECT path, chunk_id, md5(content) AS digest FROM chunks")
 def _(s, d):
     return chunks(s, d).select("path", "chunk_id", F.md5("content").alias("digest"))
 
 
-@query("T5_subwords")
-def _(s, d):
-    names = ["HTTPServer", "OAuth2Token", "MAX_SIZE", "parseJSONValue", "plain", "camelCase"]
-    return s.createDataFrame([(n,) for n in names], "name string").withColumn("parts", F.array_join(t.subwords(F.col("name")), " "))
-
-
 @query("T7_trigrams", "SELECT p_partkey, list_transform(range(1, length(p_name) - 1), lambda i: lower(substring(p_name, i, 3)))::VARCHAR[] AS grams FROM part")
 def _(s, d):
     return table(s, d, "part").select("p_partkey", t.trigrams(F.col("p_name")).alias("grams"))
@@ -463,66 +449,6 @@ def _(s, d):
     return search.retrieval_metrics(search.ranked(index, _searches(s), 10, ("content",), False), truth, 5)
 
 
-# graph
-@query("Q1_find_by_name", f"WITH {GRAPH} SELECT id, name, kind FROM nodes WHERE contains(lower(name), 'an') AND kind = 'nation'")
-def _(s, d):
-    return graph(s, d)[0].where(F.contains(F.lower("name"), F.lit("an")) & (F.col("kind") == "nation")).orderBy("id")
-
-
-@query("Q4_find", f"WITH {GRAPH}, s AS (SELECT id, CASE WHEN list_contains(w, 'united') THEN 3 WHEN starts_with(l, 'united') THEN 2 WHEN contains(l, 'united') THEN 1 ELSE 0 END AS a, CASE WHEN list_contains(w, 'a') THEN 3 WHEN starts_with(l, 'a') THEN 2 WHEN contains(l, 'a') THEN 1 ELSE 0 END AS b FROM (SELECT id, lower(name) AS l, list_filter(string_split_regex(lower(name), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM nodes WHERE kind IN ('nation', 'region'))) SELECT id, CAST(a + b + 2 * greatest((a > 0)::INT + (b > 0)::INT - 1, 0) AS INT) AS score FROM s WHERE a + b > 0")
-def _(s, d):
-    some = graph(s, d)[0].where(F.col("kind").isin("nation", "region"))
-    return g.find(some, ["united", "a"], t.tokens(F.col("name"))).select("id", "score")
-
-
-@query("Q6_ranked_nodes")
-def _(s, d):
-    nodes, edges = whole_graph(s, d)
-    return g.page_rank(nodes, edges).orderBy(F.desc("rank"), "id").limit(20)
-
-
-@query("Q7_personalized")
-def _(s, d):
-    nodes, edges = whole_graph(s, d)
-    return g.page_rank(nodes, edges, seed=s.createDataFrame([("region:1", 1.0)], "id string, share double")).orderBy(F.desc("rank"), "id").limit(20)
-
-
-@query("Q8_incident", f"WITH {GRAPH} SELECT src, dst, kind FROM edges WHERE src = 'nation:3' OR dst = 'nation:3'")
-def _(s, d):
-    return graph(s, d)[1].where("src = 'nation:3' OR dst = 'nation:3'")
-
-
-@query("Q10_neighbourhood", f"WITH {GRAPH}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), one AS (SELECT dst AS id FROM b WHERE src = 'region:1'), two AS (SELECT b.dst AS id FROM one JOIN b ON b.src = one.id) SELECT id, min(distance) AS distance FROM (SELECT 'region:1' AS id, 0 AS distance UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two) GROUP BY 1")
-def _(s, d):
-    return g.within(graph(s, d)[1], s.createDataFrame([("region:1",)], "id string"), 2).select("id", "distance")
-
-
-@query("Q11_shortest_path", "SELECT ['customer:1', 'nation:' || a.c_nationkey, 'region:' || x.n_regionkey, 'nation:' || y.n_nationkey, 'supplier:1'] AS path FROM customer a JOIN nation x ON x.n_nationkey = a.c_nationkey, supplier b JOIN nation y ON y.n_nationkey = b.s_nationkey WHERE a.c_custkey = 1 AND b.s_suppkey = 1 AND x.n_regionkey = y.n_regionkey AND a.c_nationkey <> b.s_nationkey UNION ALL SELECT ['customer:1', 'nation:' || c_nationkey, 'supplier:1'] FROM customer, supplier WHERE c_custkey = 1 AND s_suppkey = 1 AND c_nationkey = s_nationkey")
-def _(s, d):
-    return g.shortest_path(graph(s, d)[1].where("kind = 'contains'"), "customer:1", "supplier:1")
-
-
-@query("Q14_induced", f"WITH {GRAPH}, chosen AS (SELECT id FROM nodes WHERE kind IN ('region', 'nation')) SELECT src, dst, kind FROM edges WHERE src IN (SELECT id FROM chosen) AND dst IN (SELECT id FROM chosen)")
-def _(s, d):
-    nodes, edges = graph(s, d)
-    return g.induced(nodes.where(F.col("kind").isin("region", "nation")), edges)
-
-
-@query("Q17_callers", f"WITH {GRAPH} SELECT DISTINCT src AS caller FROM edges WHERE dst = 'part:7' AND kind = 'imports'")
-def _(s, d):
-    return graph(s, d)[1].where("dst = 'part:7' AND kind = 'imports'").select(F.col("src").alias("caller")).distinct()
-
-
-@query("G6_node_ids", f"WITH {GRAPH} SELECT id, substring(sha256(concat_ws(':', kind, name)), 1, 16) AS node FROM nodes")
-def _(s, d):
-    return graph(s, d)[0].select("id", g.node_id(F.col("kind"), F.col("name")).alias("node"))
-
-
-@query("G11_summary", f"WITH {GRAPH} SELECT kind, count(*) AS n FROM nodes GROUP BY 1")
-def _(s, d):
-    return graph(s, d)[0].groupBy("kind").agg(F.count("*").alias("n"))
-
-
 # change data and blobs
 @query("C1_manifest_diff", "SELECT a.path, 'changed' AS change FROM (SELECT doc_id AS path, n_chars AS m FROM documents WHERE doc_id % 7 <> 0) a LEFT JOIN (SELECT doc_id AS path, n_chars - (doc_id % 3 = 0)::INT AS m FROM documents WHERE doc_id % 5 <> 0) b USING (path) WHERE b.path IS NULL OR a.m <> b.m UNION ALL SELECT doc_id, 'deleted' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0")
 def _(s, d):
@@ -541,10 +467,13 @@ def _(s, d):
     return incremental.recall(incremental.new_blobs(table(s, d, "documents").select(F.col("text").alias("content"))), "a").select("hash")
 
 
-@query("D6_verify", "SELECT count(*) AS blobs, count(*) AS intact FROM (SELECT DISTINCT text FROM documents)")
+@query("D6_verify", "SELECT o_custkey, CASE WHEN o_custkey % 10 = 3 THEN 'CORRUPT' WHEN o_custkey % 10 = 4 THEN 'MISSING' ELSE 'PASS' END AS status FROM (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 DESC LIMIT 500)")
 def _(s, d):
-    blobs = incremental.new_blobs(table(s, d, "documents").select(F.col("text").alias("content")))
-    return blobs.agg(F.count("*").alias("blobs"), F.count_if(F.sha2("content", 256) == F.col("hash")).alias("intact"))
+    """The last five hundred references held against what is stored under them: altered, gone, or whole and the same after compaction."""
+    json = F.to_json(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))))
+    blobs = table(s, d, "orders").groupBy("o_custkey").agg(json.alias("content")).withColumn("ref", F.sha2("content", 256))
+    kept = blobs.where("o_custkey % 10 <> 4").select(F.col("ref").alias("hash"), F.when(F.col("o_custkey") % 10 == 3, F.concat("content", F.lit(" "))).otherwise(F.col("content")).alias("content"))
+    return incremental.verified(blobs.select(F.col("o_custkey").alias("seq"), "ref"), kept, 500).select(F.col("seq").alias("o_custkey"), "status")
 
 
 @query("D4_run_lengths", "SELECT user_id, grp, v, n FROM (SELECT user_id, grp, any_value(event_type) AS v, count(*) AS n FROM (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id) AS grp FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS ch FROM events)) GROUP BY 1, 2)")
@@ -556,9 +485,9 @@ def _(s, d):
 
 @query("D3_dictionary", "SELECT s, n, row_number() OVER (ORDER BY n DESC, s) AS ref FROM (SELECT p_brand AS s, count(*) AS n FROM part WHERE strlen(p_brand) >= 5 GROUP BY 1 HAVING count(*) >= 2)")
 def _(s, d):
+    """Strings by how often they occur, numbered by ranges: no task sorts them all."""
     counts = table(s, d, "part").where(F.octet_length("p_brand") >= 5).groupBy(F.col("p_brand").alias("s")).agg(F.count("*").alias("n")).where("n >= 2")
-    # the dictionary has one order: the numbering runs over the distinct strings only
-    return counts.withColumn("ref", F.row_number().over(Window.orderBy(F.desc("n"), "s")).cast("long"))
+    return g.numbered(counts.withColumn("down", -F.col("n")), ["down", "s"], "ref").select("s", "n", "ref")
 
 
 # what scripts are run for
@@ -572,4 +501,4 @@ def _(s, d):
     return table(s, d, "orders").groupBy("o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("total")).orderBy(F.desc("total"), "o_orderpriority").limit(1)
 
 
-from quillspan.plans import extended  # noqa: E402, F401  registers its queries
+from quillspan.plans import code, extended, flows, graphs, store, streams, texts  # noqa: E402, F401  registers their queries

@@ -21,27 +21,28 @@ def _by_nation(s, d):
     return at
 
 
-_NATION = F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int")
+def _nation():
+    return F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int").alias("c_nationkey")
 
 
 @query("S1_walk", "SELECT c_nationkey, count(*) > 0 AS found FROM customer WHERE c_nationkey % 5 <> 3 GROUP BY 1")
 def _(s, d):
     """A walk over a folder a nation, four folders of twenty-five ignored by a rule each."""
     rules = tuple(f"/c_nationkey={k}/" for k in range(3, 25, 5))
-    return files.walk(s, _by_nation(s, d), ignore=rules).groupBy(_NATION.alias("c_nationkey")).agg((F.count("*") > 0).alias("found"))
+    return files.walk(s, _by_nation(s, d), ignore=rules).groupBy(_nation()).agg((F.count("*") > 0).alias("found"))
 
 
 @query("S2_whole_texts", "SELECT c_nationkey, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM customer GROUP BY 1")
 def _(s, d):
     lines = F.size(F.split("content", "\n")) - 1
-    return files.whole_texts(s, _by_nation(s, d)).groupBy(_NATION.alias("c_nationkey")).agg(F.sum(F.octet_length("content")).alias("bytes"), F.sum(lines).alias("lines"))
+    return files.whole_texts(s, _by_nation(s, d)).groupBy(_nation()).agg(F.sum(F.octet_length("content")).alias("bytes"), F.sum(lines).alias("lines"))
 
 
 @query("S3_manifest", "SELECT c_nationkey, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes, true AS dated FROM customer GROUP BY 1")
 def _(s, d):
     """Status of the files of one extension; contents are not read."""
     found = files.walk(s, _by_nation(s, d), extensions=("txt",))
-    return found.groupBy(_NATION.alias("c_nationkey")).agg(F.sum("length").alias("bytes"), F.bool_and(F.col("mtime").isNotNull()).alias("dated"))
+    return found.groupBy(_nation()).agg(F.sum("length").alias("bytes"), F.bool_and(F.col("mtime").isNotNull()).alias("dated"))
 
 
 @query("S4_one_session", f"WITH {OPS} SELECT seq, tool, raw, k FROM ops WHERE tool = 'error' AND k % 3 <> 1 ORDER BY k % 3 = 0, seq")

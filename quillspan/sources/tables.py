@@ -60,39 +60,40 @@ CHUNKS = """chunks AS (SELECT path, path || '#' || i AS chunk_id, content FROM (
 words AS (SELECT chunk_id, list_filter(string_split_regex(lower(content), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM chunks)"""
 
 
+_NODES = (
+    ("region", "region", "r_regionkey", "r_name", "'world'"),
+    ("nation", "nation", "n_nationkey", "n_name", "concat('region:', n_regionkey)"),
+    ("customer", "customer", "c_custkey", "c_name", "concat('nation:', c_nationkey)"),
+    ("supplier", "supplier", "s_suppkey", "s_name", "concat('nation:', s_nationkey)"),
+    ("part", "part", "p_partkey", "p_name", "p_brand"),
+    ("order", "orders", "o_orderkey", "concat('order:', o_orderkey)", "o_orderpriority"),
+)
+_EDGES = (
+    ("nation", "region", "n_regionkey", "nation", "n_nationkey", "contains"),
+    ("customer", "nation", "c_nationkey", "customer", "c_custkey", "contains"),
+    ("supplier", "nation", "s_nationkey", "supplier", "s_suppkey", "contains"),
+    ("orders", "order", "o_orderkey", "customer", "o_custkey", "calls"),
+    ("lineitem", "supplier", "l_suppkey", "part", "l_partkey", "imports"),
+)
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the star schema as the SQL of GRAPH has them: regions contain nations, nations customers and suppliers; suppliers import the parts of their first line items.
-
-    ``whole_graph`` has the further imports and the calls.
-    """
-    t = lambda n: table(spark, sf_dir, n)
-    ref = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    nodes = None
-    for kind, name, key, label in (("region", "region", "r_regionkey", "r_name"), ("nation", "nation", "n_nationkey", "n_name"), ("customer", "customer", "c_custkey", "c_name"), ("supplier", "supplier", "s_suppkey", "s_name"), ("part", "part", "p_partkey", "p_name")):
-        one = t(name).select(ref(kind, key).alias("id"), F.col(label).alias("name"), F.lit(kind).alias("kind"))
+    """(nodes, edges) of the star schema: regions contain nations, nations customers and suppliers; orders call their customers, suppliers import the parts of their line items."""
+    nodes = edges = None
+    for kind, name, key, label, file in _NODES:
+        one = table(spark, sf_dir, name).selectExpr(f"concat('{kind}:', {key}) as id", f"{label} as name", f"'{kind}' as kind", f"{file} as file")
         nodes = one if nodes is None else nodes.unionByName(one)
-    edge = lambda df, a, ka, b, kb, kind: df.select(ref(a, ka).alias("src"), ref(b, kb).alias("dst"), F.lit(kind).alias("kind"))
-    edges = edge(t("nation"), "region", "n_regionkey", "nation", "n_nationkey", "contains")
-    edges = edges.unionByName(edge(t("customer"), "nation", "c_nationkey", "customer", "c_custkey", "contains")).unionByName(edge(t("supplier"), "nation", "s_nationkey", "supplier", "s_suppkey", "contains"))
-    return nodes, edges.unionByName(edge(t("lineitem").where("l_linenumber = 1"), "supplier", "l_suppkey", "part", "l_partkey", "imports").distinct())
-
-
-def whole_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of ``graph`` with the orders as nodes: suppliers import the parts of all line items, orders call their customers."""
-    nodes, edges = graph(spark, sf_dir)
-    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    ref = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    order = ref("order", "o_orderkey")
-    imports = items.select(ref("supplier", "l_suppkey").alias("src"), ref("part", "l_partkey").alias("dst"), F.lit("imports").alias("kind")).distinct()
-    calls = orders.select(order.alias("src"), ref("customer", "o_custkey").alias("dst"), F.lit("calls").alias("kind")).distinct()
-    nodes = nodes.unionByName(orders.select(order.alias("id"), order.alias("name"), F.lit("order").alias("kind")))
-    return nodes, edges.where("kind = 'contains'").unionByName(imports).unionByName(calls)
-
-
-GRAPH = """nodes AS (SELECT 'region:' || r_regionkey AS id, r_name AS name, 'region' AS kind FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'nation' FROM nation
-  UNION ALL SELECT 'customer:' || c_custkey, c_name, 'customer' FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT 'part:' || p_partkey, p_name, 'part' FROM part),
-edges AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst, 'contains' AS kind FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'contains' FROM customer
-  UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'contains' FROM supplier UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'imports' FROM lineitem WHERE l_linenumber = 1)"""
+    for name, a, ka, b, kb, kind in _EDGES:
+        one = table(spark, sf_dir, name).selectExpr(f"concat('{a}:', {ka}) as src", f"concat('{b}:', {kb}) as dst", f"'{kind}' as kind")
+        one = one.distinct() if name == "lineitem" else one
+        edges = one if edges is None else edges.unionByName(one)
+    return nodes, edges
+
+
+GRAPH = (
+    "nodes AS (" + " UNION ALL ".join(f"SELECT '{kind}:' || {key} AS id, {label} AS name, '{kind}' AS kind, {file} AS file FROM {name}" for kind, name, key, label, file in _NODES) + "),\nedges AS ("
+    + " UNION ALL ".join(f"SELECT {'DISTINCT ' * (name == 'lineitem')}'{a}:' || {ka} AS src, '{b}:' || {kb} AS dst, '{kind}' AS kind FROM {name}" for name, a, ka, b, kb, kind in _EDGES) + ")"
+)
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
