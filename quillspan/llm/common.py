@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 _ARROW = "spark.sql.execution.arrow."
 #: Bytes of an Arrow batch for Python, beyond which it ends with the row it is at.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 @contextlib.contextmanager

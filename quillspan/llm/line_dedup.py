@@ -14,8 +14,8 @@ A line is the set of its words. A line goes if a line before it (by doc_id, then
 4. Where sets meet, those of sizes too far apart (length filter), of which the word comes too late for enough shared words to
    follow (positional filter), and whose bitmaps (of parities, so they differ by the words not shared only) differ in more bits
    than the sets may in words, drop out. Rows that meet are in order of size
-   band, then place, so a set looks at near sizes and at earlier sets only. It keeps its earliest partner; if that is not verified
-   and there were more, it asks again for the next ones, sixteen times as many a round, until none is left. So no
+   band, then place, so a set looks at near sizes and at earlier sets only. It keeps its earliest partners, ``FEW`` of them; if none is verified
+   and there were more, it asks again for the next ones, ``MORE`` times as many a round, until none is left. So no
    group emits all its pairs.
 5. The Jaccard similarity of what is left is verified on the whole sets, read again from one place of each.
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import discard, partitions, read, release, spare, stored
+from quillspan.llm.common import discard, partitions, read, release, spare, stored, tidied
 from quillspan.llm.flat import flat_words, mix
 
 #: The threshold as a fraction, so that all bounds are whole numbers.
@@ -46,9 +46,9 @@ BUCKETS, SLICES = 1 << 18, 64
 #: Sets of a word beyond which they meet by two words, and of a meeting beyond which it is dealt out in blocks.
 HOT, GROUP = 2048, 4096
 #: Partners of a set and meeting in the first round, and how many times more in each further one.
-FEW, MORE = 1, 16
-#: Lines, or rows that meet, that a task holds before it sends them; words of text for a share of the sets; rows for a share of the meetings.
-HELD, SHARE_WORDS, SHARE_ROWS = 1 << 18, 1 << 22, 1 << 19
+FEW, MORE = 3, 32
+#: Lines, and rows that meet, that a task holds before it sends them; sets of a stored row; words of text for a share of the sets; rows for a share of the meetings.
+HELD, HELD_ROWS, ROW_SETS, SHARE_WORDS, SHARE_ROWS = 1 << 15, 1 << 17, 1 << 12, 1 << 22, 1 << 19
 #: Bytes by which a further round finds the rows it needs.
 MARKS = 1 << 20
 #: Removed or wanted lines that are broadcast to the texts at most; beyond it the texts are shuffled to them.
@@ -97,6 +97,7 @@ def _by_part(batches: Iterable[pa.RecordBatch], columns: dict[str, type]) -> Ite
         yield now, _joined(held, columns)
 
 
+@tidied
 def _counted(batches: Iterable[pa.RecordBatch], count: Callable[[pa.RecordBatch, np.ndarray], None], size: int, kind: type) -> Iterator[pa.RecordBatch]:
     total = np.zeros(size, kind)
     for batch in batches:
@@ -200,6 +201,7 @@ def _one_of_each(sets: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], di
     return out | {"words": _taken(sets["words"], begins[kept], out["kept"])}, {"rdoc": doc[again], "rline": line[again]}
 
 
+@tidied
 def _sets(batches: Iterable[pa.RecordBatch], rank: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Packed rows of the different sets of ``HELD`` lines, dealt out by set, and of the places of repeated ones."""
     held: list[dict] = []
@@ -236,18 +238,20 @@ def _sets(batches: Iterable[pa.RecordBatch], rank: np.ndarray, parts: int) -> It
         yield send()
 
 
+@tidied
 def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One packed row a part: its sets with their first places, and the places of the others; ``counts``: its prefix words by bucket."""
+    """Packed rows of a part's sets with their first places, and of the places of the others."""
     for part, both in _by_part(batches, _SET | _PLACE):
         sets, again = _one_of_each({c: both[c] for c in _SET})
         places = {c: np.concatenate([both[c], again[c]]) for c in _PLACE}
-        row = {"part": part} | {c: _planes(x) for c, x in (sets | places).items()}
-        prefix = _prefix(sets["size"])
-        words = _taken(sets["words"], np.cumsum(sets["kept"]) - sets["kept"], prefix)
-        row["counts"] = np.bincount(_bucket(words), minlength=BUCKETS).astype(np.int32).tobytes()
-        yield _batch([row], [*_SET, *_PLACE, "counts"])
+        ends = np.concatenate([[0], np.cumsum(sets["kept"])])
+        for at in range(0, max(len(sets["key"]), len(places["rdoc"])), ROW_SETS):
+            own = {c: x[at : at + ROW_SETS] for c, x in (sets | places).items() if c != "words"}
+            own["words"] = sets["words"][ends[min(at, len(ends) - 1)] : ends[min(at + ROW_SETS, len(ends) - 1)]]
+            yield _batch([{"part": part} | {c: _planes(x) for c, x in own.items()}], [*_SET, *_PLACE])
 
 
+@tidied
 def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, line in zip(batch.column("rdoc"), batch.column("rline")):
@@ -270,38 +274,52 @@ def _spread(sets: dict[str, np.ndarray], hot: np.ndarray | None) -> tuple[np.nda
     return np.concatenate([who[~two], who2]), np.concatenate([at[~two], at2]), np.concatenate([word[~two], (both >> np.uint64(32)).astype(np.uint32)])
 
 
+@tidied
 def _dealt(batches: Iterable[pa.RecordBatch], parts: int, hot: np.ndarray | None, blocks: np.ndarray | None, marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Packed rows that meet; ``blocks``: by bucket of the meeting; ``marks``: of a further round, in which the keys in ``asked`` ask and meetings without a mark are left out."""
+    held: list[dict] = []
+    n = 0
     for batch in batches:
         for k in range(len(batch)):
-            sets = {c: _numbers(batch.column(c)[k].as_py(), kind) for c, kind in _SET.items()}
-            who, at, met = _spread(sets, hot)
-            asks = np.ones(len(sets["key"]), np.uint8)
+            row = {c: _numbers(batch.column(c)[k].as_py(), kind) for c, kind in _SET.items()}
+            row["asks"] = np.ones(len(row["key"]), np.uint8)
             if marks is not None:
-                some = marks[(met & np.uint32(MARKS - 1)).astype(np.int64)] > 0
-                who, at, met = who[some], at[some], met[some]
-                asks = np.isin(sets["key"], np.asarray(batch.column("asked")[k].as_py() or [], np.int64)).astype(np.uint8)
-            side = np.zeros(len(who), np.uint8)
-            if blocks is not None and (many := (n := blocks[_bucket(met)]) > 1).any():
-                # a set's block meets every block once: as the first of the pair or as the second
-                n, w, a, m = n[many], who[many], at[many], met[many]
-                block = sets["key"][w].view(np.uint64) % n.astype(np.uint64)
-                w, a, m, block = (np.repeat(x, n) for x in (w, a, m, block))
-                other = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
-                pair = np.minimum(block, other) * np.uint64(1 << 32) + np.maximum(block, other)
-                unit = (mix(mix(m.astype(np.uint64)) + pair * _BASE) >> np.uint64(32)).astype(np.uint32)
-                own = np.where(block == other, 0, np.where(block < other, 1, 2)).astype(np.uint8)
-                who, at, met, side = (np.concatenate([x[~many], y]) for x, y in ((who, w), (at, a), (met, unit), (side, own)))
-            for begin in range(0, len(who), HELD * 4):
-                piece = slice(begin, begin + HELD * 4)
-                yield _packed_rows(sets, who[piece], at[piece], met[piece], side[piece], asks, parts)
-
-
-def _packed_rows(sets: dict[str, np.ndarray], who: np.ndarray, at: np.ndarray, met: np.ndarray, side: np.ndarray, asks: np.ndarray, parts: int) -> pa.RecordBatch:
+                row["asks"] = np.isin(row["key"], np.asarray(batch.column("asked")[k].as_py() or [], np.int64)).astype(np.uint8)
+            held.append(row)
+            n += int(_prefix(row["size"]).sum())
+            if n >= HELD_ROWS:
+                yield from _meeting_rows(_joined(held, _SET | {"asks": np.uint8}), parts, hot, blocks, marks)
+                held, n = [], 0
+    if held:
+        yield from _meeting_rows(_joined(held, _SET | {"asks": np.uint8}), parts, hot, blocks, marks)
+
+
+def _meeting_rows(sets: dict[str, np.ndarray], parts: int, hot: np.ndarray | None, blocks: np.ndarray | None, marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    who, at, met = _spread(sets, hot)
+    if marks is not None:
+        some = marks[(met & np.uint32(MARKS - 1)).astype(np.int64)] > 0
+        who, at, met = who[some], at[some], met[some]
+    side = np.zeros(len(who), np.uint8)
+    if blocks is not None and (many := (n := blocks[_bucket(met)]) > 1).any():
+        # a set's block meets every block once: as the first of the pair or as the second
+        n, w, a, m = n[many], who[many], at[many], met[many]
+        block = sets["key"][w].view(np.uint64) % n.astype(np.uint64)
+        w, a, m, block = (np.repeat(x, n) for x in (w, a, m, block))
+        other = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+        pair = np.minimum(block, other) * np.uint64(1 << 32) + np.maximum(block, other)
+        unit = (mix(mix(m.astype(np.uint64)) + pair * _BASE) >> np.uint64(32)).astype(np.uint32)
+        own = np.where(block == other, 0, np.where(block < other, 1, 2)).astype(np.uint8)
+        who, at, met, side = (np.concatenate([x[~many], y]) for x, y in ((who, w), (at, a), (met, unit), (side, own)))
+    for begin in range(0, len(who), HELD_ROWS):
+        piece = slice(begin, begin + HELD_ROWS)
+        yield _packed_rows(sets, who[piece], at[piece], met[piece], side[piece], parts)
+
+
+def _packed_rows(sets: dict[str, np.ndarray], who: np.ndarray, at: np.ndarray, met: np.ndarray, side: np.ndarray, parts: int) -> pa.RecordBatch:
     to = mix(met.astype(np.uint64) * _BASE) % np.uint64(parts)
     order = np.argsort((to << np.uint64(32)) | met)
     who, at, met, side, to = who[order], at[order], met[order], side[order], to[order]
-    columns = {"unit": met, "side": side, "asks": asks[who], "at": at.astype(np.int32)} | {c: sets[c][who] for c in ("key", "doc", "line", "size", "low", "high")}
+    columns = {"unit": met, "side": side, "at": at.astype(np.int32)} | {c: sets[c][who] for c in ("asks", "key", "doc", "line", "size", "low", "high")}
     ends = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64))
     some = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
     return _batch([{"part": p} | {c: _planes(x[ends[p] : ends[p + 1]]) for c, x in columns.items()} for p in some], list(_ROW))
@@ -320,6 +338,7 @@ def _band(size: np.ndarray) -> np.ndarray:
 _MEET = "a long, doc_a long, line_a int, b long, doc_b long, line_b int, unit long, more boolean"
 
 
+@tidied
 def _meet(batches: Iterable[pa.RecordBatch], skip: int, few: int) -> Iterator[pa.RecordBatch]:
     """For each set that asks, the next ``few`` of the earlier ones of its meeting that pass the filters: (a, ..., b, ..., unit, more)."""
     for _, x in _by_part(batches, _ROW):
@@ -384,6 +403,7 @@ def _before(values: np.ndarray, begin: np.ndarray, end: np.ndarray, than: np.nda
     return low - begin
 
 
+@tidied
 def _wanted_words(batches: Iterable[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(key, words) of the lines that are listed beside the text, once in a batch."""
     for batch in batches:
@@ -440,27 +460,26 @@ def removed_places(docs: DataFrame) -> DataFrame:
     rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32)
     shares = max(partitions(spark), int(counts.sum()) // SHARE_WORDS)
     dealt = docs.mapInArrow(lambda b: _sets(b, rank, shares), _schema([*_SET, *_PLACE])).repartitionById(shares, F.col("part")).sortWithinPartitions("part")
-    sets = stored(dealt.mapInArrow(_merged, _schema([*_SET, *_PLACE, "counts"])))
+    sets = stored(dealt.mapInArrow(_merged, _schema([*_SET, *_PLACE])))
     del dealt
     release(spark)
 
-    def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        for x in batch.column("counts"):
-            total += np.frombuffer(x.as_py(), np.int32)
+    def often(hot: np.ndarray | None) -> np.ndarray:
+        """How many rows meet, by bucket of what they meet by."""
 
-    often = _total(sets.select("counts"), add, BUCKETS)
-    hot, blocks, rows = None, None, int(often.sum())
-    if (often > HOT).any():
-        hot = often > HOT
-
-        def meetings(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
             for k in range(len(batch)):
                 met = _spread({c: _numbers(batch.column(c)[k].as_py(), _SET[c]) for c in ("size", "kept", "words")}, hot)[2]
                 total += np.bincount(_bucket(met), minlength=BUCKETS)
 
-        often = _total(sets.select("size", "kept", "words"), meetings, BUCKETS)
-        blocks = -(-often // GROUP) if (often > GROUP).any() else None
-        rows = int((often * (blocks if blocks is not None else 1)).sum())
+        return _total(sets.select("size", "kept", "words"), count, BUCKETS)
+
+    met, hot, blocks = often(None), None, None
+    if (met > HOT).any():
+        hot = met > HOT
+        met = often(hot)
+        blocks = -(-met // GROUP) if (met > GROUP).any() else None
+    rows = int((met * (blocks if blocks is not None else 1)).sum())
     units = max(partitions(spark), rows // SHARE_ROWS)
     gone = sets.select("rdoc", "rline").mapInArrow(_places, "doc long, line int")
     asked: DataFrame | None = None

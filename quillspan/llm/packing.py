@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.bpe import codec, vocabulary_path
-from quillspan.llm.common import read, stored
+from quillspan.llm.common import read, stored, tidied
 
 CAPACITY, END_ID = 1024, 2
 
@@ -119,6 +119,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     """A row per piece: doc_id, piece, start, length, ids_crc32, part and slot (its task and its number among the task's pieces of that length); with ``keep_ids`` also ids."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, slot long" + ", ids binary" * keep_ids
 
+    @tidied
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
