@@ -92,16 +92,17 @@ def tidied(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return of
 
 
-def stored(df: DataFrame, batch_rows: int = 1000) -> DataFrame:
+def stored(df: DataFrame, batch_rows: int = 1000, files: int | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again.
 
     It cuts the lineage, so that a lost executor costs a reread and not a recomputation, and computes the plan once, where
-    ``checkpoint()`` would compute it twice. The folder belongs to the application and goes with it.
+    ``checkpoint()`` would compute it twice. ``files`` deals a small result of many tasks out to as many files first, as each file costs
+    the file system and later readers. Nothing deletes the application's folder in ``spark.checkpoint.dir`` but ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillspan-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     with small_batches(spark, batch_rows):
-        df.write.parquet(path)
+        (df if files is None else df.repartition(max(1, files))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -432,17 +432,17 @@ def _beside(docs: DataFrame, lines: DataFrame, name: str, how: str) -> DataFrame
     return named.join(F.broadcast(lines) if count <= BROADCAST_LINES else lines, doc, how).drop(doc)
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, rank: np.ndarray) -> DataFrame:
+def _similar(docs: DataFrame, pairs: DataFrame, rank: np.ndarray, files: int) -> DataFrame:
     """The sets ``a(key, doc, line)`` of the pairs that are similar enough to their ``b``, stored."""
     wanted = stored(pairs.select("a", "doc_a", "line_a", "b", "doc_b", "line_b").dropDuplicates(["a", "b"]))
     places = wanted.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).union(wanted.select("doc_b", "line_b"))
     # a list is no longer than the longest text has lines
     lines = stored(places.groupBy("doc").agg(F.collect_set("line").alias("lines")))
     words = _beside(docs, lines, "lines", "inner").select("text", "lines").mapInArrow(lambda b: _wanted_words(b, rank), "key long, words array<long>")
-    words = stored(words)
+    words = stored(words, files=files)
     # a set comes from one place; only repeated rows give it again, and where they are many, copies are dropped first
     if words.count() > 1.5 * places.distinct().count():
-        several, words = words, stored(words.dropDuplicates(["key"]))
+        several, words = words, stored(words.dropDuplicates(["key"]), files=files)
         discard(several)
     a, b = words.select(F.col("key").alias("a"), F.col("words").alias("wa")), words.select(F.col("key").alias("b"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
@@ -458,7 +458,8 @@ def removed_places(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = word_counts(docs)
     rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32)
-    shares = max(partitions(spark), int(counts.sum()) // SHARE_WORDS)
+    shares = max(1, int(counts.sum()) // SHARE_WORDS)
+    few = max(1, partitions(spark) // 8)  # files of what is small
     dealt = docs.mapInArrow(lambda b: _sets(b, rank, shares), _schema([*_SET, *_PLACE])).repartitionById(shares, F.col("part")).sortWithinPartitions("part")
     sets = stored(dealt.mapInArrow(_merged, _schema([*_SET, *_PLACE])))
     del dealt
@@ -480,21 +481,21 @@ def removed_places(docs: DataFrame) -> DataFrame:
         met = often(hot)
         blocks = -(-met // GROUP) if (met > GROUP).any() else None
     rows = int((met * (blocks if blocks is not None else 1)).sum())
-    units = max(partitions(spark), rows // SHARE_ROWS)
+    units = max(1, rows // SHARE_ROWS)
     gone = sets.select("rdoc", "rline").mapInArrow(_places, "doc long, line int")
     asked: DataFrame | None = None
     marks: np.ndarray | None = None
-    skip, few = 0, FEW
+    skip, most = 0, FEW
     while True:
         who = sets.select("part", *_SET)
         if asked is not None:
             share = (F.shiftrightunsigned("key", 1) % shares).cast("int")
             who = who.join(asked.groupBy(share.alias("part")).agg(F.collect_set("key").alias("asked")), "part", "left")
         now = who.mapInArrow(lambda b, m=marks: _dealt(b, units, hot, blocks, m), _schema(_ROW)).repartitionById(units, F.col("part")).sortWithinPartitions("part")
-        pairs = stored(now.mapInArrow(lambda b, s=skip, k=few: _meet(b, s, k), _MEET))
+        pairs = stored(now.mapInArrow(lambda b, s=skip, k=most: _meet(b, s, k), _MEET), files=few)
         del now, who
         release(spark)
-        sure = _similar(docs, pairs, rank)
+        sure = _similar(docs, pairs, rank, few)
         gone = gone.union(sure.select("doc", "line"))
         again = pairs.where("more").select(F.col("a").alias("key"), "unit").distinct().join(sure.select("key"), "key", "left_anti")
         before, asked = asked, stored(again)
@@ -507,7 +508,7 @@ def removed_places(docs: DataFrame) -> DataFrame:
         if not asked.count():
             return gone
         marks = _total(asked.select("unit"), mark, MARKS, np.uint8, np.maximum)
-        skip, few = skip + few, few * MORE
+        skip, most = skip + most, most * MORE
 
 
 def removals(docs: DataFrame) -> DataFrame:
