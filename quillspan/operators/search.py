@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.stem import stems
 from quillspan.functions.text import is_doc_path, occurrences, tokens, trigrams
 from quillspan.sources import files
+from quillspan.sources.stored import stored
 
 K1, B, SYMBOL_BOOST, DOC_PENALTY, PROXIMITY = 1.2, 0.75, 5.0, 0.7, 4.0
 FIELDS = {"content": 1.0, "symbols": SYMBOL_BOOST}
@@ -101,18 +102,40 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return each.withColumn("stem", stems(F.col("term")))
 
 
-def _posted(index: Index, terms: DataFrame) -> DataFrame:
-    """Postings in the folders of the queries' stems; the queries are few, and their folders' numbers prune the scan."""
-    folders = [r[0] for r in terms.select(_folder(F.col("stem"))).distinct().collect()]
-    return index.postings().where(F.col("folder").isin(*folders) if folders else F.lit(False))
+@dataclass
+class Asked:
+    """The terms of queries, stored, with what is needed to search for them: the folders of their stems, and whether they are few enough to broadcast."""
+
+    terms: DataFrame
+    folders: list[int]
+    few: bool
+    most: int  # terms of a query
+
+    def near(self, rows: DataFrame) -> DataFrame:
+        """``rows`` are no more than the terms."""
+        return F.broadcast(rows) if self.few else rows
+
+    def postings(self, index: Index) -> DataFrame:
+        """The index's postings in the folders of the terms: the folders' numbers prune the scan."""
+        return index.postings().where(F.col("folder").isin(*self.folders) if self.folders else F.lit(False))
 
 
-def bm25(index: Index, queries: DataFrame, fields: tuple[str, ...] = ("content",), stemmed: bool = False) -> DataFrame:
+def asked(queries: DataFrame | Asked) -> Asked:
+    if isinstance(queries, Asked):
+        return queries
+    terms = stored(query_terms(queries))
+    by_query = terms.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    folders = terms.select(_folder(F.col("stem")).alias("f")).agg(F.sort_array(F.collect_set("f")).alias("f"))  # no more than FOLDERS numbers
+    found = by_query.join(folders).first()
+    return Asked(terms, found["f"], found["n"] <= BROADCAST_ROWS, found["most"])
+
+
+def bm25(index: Index, queries: DataFrame | Asked, fields: tuple[str, ...] = ("content",), stemmed: bool = False) -> DataFrame:
     """(query_id, chunk_id, path, score): the fields' scores, each with its boost, added up; words of the same stem are one if ``stemmed``."""
-    terms = query_terms(queries)
+    q = asked(queries)
     word = "stem" if stemmed else "term"
-    wanted = terms.select("query_id", word).distinct()
-    found = _posted(index, terms).where(F.col("field").isin(*fields)).join(_few(wanted.select(word).distinct()), word)
+    wanted = q.terms.select("query_id", word).distinct()
+    found = q.postings(index).where(F.col("field").isin(*fields)).join(q.near(wanted.select(word).distinct()), word)
     if stemmed:
         found = found.groupBy("field", "stem", "chunk_id", "path").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
     df = found.groupBy("field", word).agg(F.count("*").alias("df"))
@@ -121,9 +144,9 @@ def bm25(index: Index, queries: DataFrame, fields: tuple[str, ...] = ("content",
         boost = F.when(F.col("field") == field, FIELDS[field]).otherwise(boost)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    # a word is a row of df, a field one of sizes
-    scored = found.join(F.broadcast(index.sizes()), "field").join(_few(df), ["field", word]).withColumn("part", part * boost)
-    return scored.join(_few(wanted), word).groupBy("query_id", "chunk_id", "path").agg(F.sum("part").alias("score"))
+    # df has a row a word and field, sizes one a field
+    scored = found.join(F.broadcast(index.sizes()), "field").join(q.near(df), ["field", word]).withColumn("part", part * boost)
+    return scored.join(q.near(wanted), word).groupBy("query_id", "chunk_id", "path").agg(F.sum("part").alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -132,34 +155,35 @@ def top(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def spans(index: Index, queries: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+def spans(index: Index, queries: DataFrame | Asked, pool: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, span): the least distance between places that cover all (two or more) terms of the query; of the pairs in ``pool(query_id, chunk_id)`` only, if given.
 
     At each place the last place of every term so far is at hand; the span is the distance to the earliest of them, so the work is linear in the places.
     """
-    terms = query_terms(queries)
-    many = terms.groupBy("query_id").agg(F.count("*").alias("k")).where("k > 1")
-    own = terms.join(many, "query_id").select("query_id", "term", "place", "k")
-    found = _posted(index, terms).where("field = 'content'").join(_few(own), "term")
+    q = asked(queries)
+    many = q.terms.groupBy("query_id").agg(F.count("*").alias("k")).where("k > 1")
+    own = q.terms.join(q.near(many), "query_id").select("query_id", "term", "place", "k")
+    found = q.postings(index).where("field = 'content'").join(q.near(own), "term")
     if pool is not None:
-        found = found.join(_few(pool.select("query_id", "chunk_id")), ["query_id", "chunk_id"], "left_semi")
+        found = found.join(pool.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     places = found.select("query_id", "chunk_id", "place", "k", F.explode("places").alias("pos"))
-    most = many.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
     so_far = Window.partitionBy("query_id", "chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = [f"last_{i}" for i in range(most)]
-    seen = places.withColumns({c: F.when(F.col("k") > i, F.last(F.when(F.col("place") == i, F.col("pos")), True).over(so_far)).otherwise(F.col("pos")) for i, c in enumerate(last)})
+    last = [f"last_{i}" for i in range(q.most)]
     if not last:
-        return seen.select("query_id", "chunk_id", F.col("pos").alias("span")).limit(0)
+        return places.select("query_id", "chunk_id", F.col("pos").alias("span")).limit(0)
+    seen = places.withColumns({c: F.when(F.col("k") > i, F.last(F.when(F.col("place") == i, F.col("pos")), True).over(so_far)).otherwise(F.col("pos")) for i, c in enumerate(last)})
     covered = seen.where(" and ".join(f"{c} is not null" for c in last))
     return covered.groupBy("query_id", "chunk_id").agg(F.min(F.col("pos") - F.least(*last, "pos")).alias("span"))
 
 
-def ranked(index: Index, queries: DataFrame, k: int = 5, fields: tuple[str, ...] = tuple(FIELDS), stemmed: bool = True) -> DataFrame:
+def ranked(index: Index, queries: DataFrame | Asked, k: int = 5, fields: tuple[str, ...] = tuple(FIELDS), stemmed: bool = True) -> DataFrame:
     """BM25 of the fields, the penalty of documentation paths, the proximity boost; best k of each query, out of eight times as many (200 at most)."""
-    base = bm25(index, queries, fields, stemmed)
+    q = asked(queries)
+    base = bm25(index, q, fields, stemmed)
     base = base.withColumn("score", F.when(is_doc_path(F.col("path")), F.col("score") * DOC_PENALTY).otherwise(F.col("score")))
-    pool = top(base, min(k * 8, 200)).drop("rank")
-    near = pool.join(spans(index, queries, pool), ["query_id", "chunk_id"], "left")
+    # stored, as it is used twice
+    pool = stored(top(base, min(k * 8, 200)).drop("rank"))
+    near = pool.join(spans(index, q, _few(pool)), ["query_id", "chunk_id"], "left")
     return top(near.withColumn("score", F.col("score") + F.coalesce(PROXIMITY / F.greatest("span", F.lit(1)), F.lit(0.0))), k)
 
 
