@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillspan.sources.stored import stored
@@ -68,8 +68,9 @@ def page_rank(nodes: DataFrame, edges: DataFrame, seed: DataFrame | None = None,
         if moved is not None:
             now = now.join(moved.select(F.col("id").alias("src"), "moved"), "src", "left")
             base = base * (1 - damping + damping * lost) + damping * F.coalesce("moved", F.lit(0.0))
-        moved = stored(now.groupBy(F.col("dst").alias("id")).agg(F.sum(base * F.col("w")).alias("moved")))
-        lost = 1.0 - (moved.agg(F.sum("moved")).first()[0] or 0.0)
+        kept = Observation()  # the sum is taken while the round is written
+        moved = stored(now.groupBy(F.col("dst").alias("id")).agg(F.sum(base * F.col("w")).alias("moved")).observe(kept, F.sum("moved").alias("sum")))
+        lost = 1.0 - (kept.get["sum"] or 0.0)
     links.unpersist()
     last = given(nodes.select("id"))
     if moved is None:
