@@ -406,3 +406,254 @@ def test_pivots_in_a_large_group(spark, tmp_path):
     assert (links <= want).all() and links.sum() >= 0.999 * want.sum() > 1e7
     root = min(np.flatnonzero(want[:group]))
     assert all(got[k].component_id == root for k in range(group) if want[k] > 1)
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _doc string, _lines string, _row string, _host string, _text string, kept string, n_words string, base_failed string, lines string, doc string, row string, class string, score string, spans string, sequence_id string"
+
+
+def test_columns_of_any_name_stay(spark):
+    """Through every operator that returns its input's columns, and every stage of the pipeline, in the pipeline's order."""
+    import corpus_pipeline
+
+    texts = [" ".join(words(60, 30 + i)) for i in range(4)] + [" ".join(words(60, 30)), None, ""]
+    rows = [(i, t, "en", "h", None, *(f"{n}{i}" for n in range(15))) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, CLASH)
+    extra = {r[0]: r[5:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [x.split()[0] for x in CLASH.split(", ")], name
+        got = docs.collect()
+        assert {r.doc_id for r in got} <= set(range(5)) and all(tuple(r)[5:] == extra[r.doc_id] for r in got), name
+    assert len(got) == 4
+    assert packing.pack(docs).count() == 4
+    assert set(factorisation.score(docs, factorisation.fit(docs, docs.selectExpr("doc_id", "1 as quality")), docs.columns).columns) >= {"_text", "score", "predicted"}
+    assert secrets.scan(docs).count() == 4 and bpe.digests(docs).count() == 4
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """The whole run against what each stage has to do, worked out plainly."""
+    import corpus_pipeline
+
+    base = [words(14, 50 + i) for i in range(9)]
+    text = lambda *ls: "\n".join(" ".join(x) for x in ls)
+    near = [list(x) for x in base[3:7]]
+    near[1][3] = "edited"
+    rows = [
+        (1, text(*base[:3], *base[7:8])), (2, "too short"), (3, text(*base[3:7])), (4, text(*near)),
+        (5, text(base[0], *[words(14, 70 + i) for i in range(4)]) + " password=hunter2222"), (6, None), (7, "w " * 90), (8, text(*[words(14, 80 + i) for i in range(5)])),
+    ]
+    spark.createDataFrame([(i, t, "en", f"h{i}", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {1: rows[0][1], 3: rows[2][1], 5: text(*[words(14, 70 + i) for i in range(4)]) + " [assign]", 8: rows[7][1]}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept.items()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # lines of 4 that are near those of 3 go, and with them all its words
+    assert {r.doc_id: r.length for r in got} == want
+    assert sum(r.length for r in got) <= 1024 * len({r.sequence_id for r in got})
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_unlinked_texts_of_one_id_stay(spark):
+    a, b = " ".join(words(60, 90)), " ".join(words(60, 91))
+    docs = spark.createDataFrame([(5, a), (5, b), (6, a), (7, b + " more"), (None, a), (8, ""), (8, "")], "doc_id long, text string")
+    out = sorted((r.doc_id, r.text) for r in order_minhash.dedup_documents(docs).collect())
+    assert out == sorted([(5, a), (5, b), (8, "")])
+    classes = {(r.doc_id, r.row): r["class"] for r in order_minhash.near_documents(docs).collect()}
+    assert len(set(classes.values()) - {None}) == 2
+
+
+def test_order_minhash_against_all_pairs(spark):
+    """Classes of the smallest dataset's documents by comparing all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    kmers = [order_minhash.labelled(t.encode().split()) for _, t in rows]
+    over = list(range(len(rows)))
+
+    def top(x):
+        while over[x] != x:
+            x = over[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            equal = rows[i][1].split() == rows[j][1].split() and rows[i][1].split()
+            if equal or order_minhash.similar(kmers[i], kmers[j]):
+                a, b = top(i), top(j)
+                over[max(a, b)] = min(a, b)
+    want = {rows[i][0]: rows[top(i)][0] for i in range(len(rows))}
+    assert {r.doc_id: r.class_id for r in order_minhash.near_documents(docs).collect()} == want
+    assert len(set(want.values())) < len(want)
+
+
+def test_lines_met_by_two_words_and_in_blocks(spark, monkeypatch):
+    """With the bounds of hot words and blocks at a few sets, the same lines go as by comparing all pairs."""
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    monkeypatch.setattr(line_dedup, "GROUP", 3)
+    monkeypatch.setattr(line_dedup, "HELD", 50)
+    r = random.Random(8)
+    pool = words(40, 7)
+    rows = []
+    for i in range(40):
+        lines = []
+        for _ in range(6):
+            line = r.sample(pool, r.randint(3, 14))
+            lines.append(line)
+            if r.random() < 0.5:
+                lines.append([x for x in line if r.random() > 0.1] + r.sample(pool, r.randint(0, 1)))
+        rows.append((i, "\n".join(" ".join(x) for x in lines)))
+    seen, want = [], {}
+    for doc, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            s = frozenset(x.split())
+            if s and any(5 * len(s & y) >= 4 * len(s | y) for y in seen):
+                want.setdefault(doc, []).append(k)
+            if s:
+                seen.append(s)
+    got = {x.doc: x.lines for x in line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and want
+
+
+def test_vectors_of_all_dimensions(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.01]), (3, [1.0, 2.0]), *((10 + i, [float(i % 7), 1.0, 2.0, float(i)]) for i in range(20)), (50, [1.0, 2.0, 0.0, 0.0]), (51, [0.1]), (52, [0.2]), (53, [-0.3]), (54, [])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in (1, 2, 3, 50, 51, 52, 53, 54)] == [(2, 1), (2, 1), (2, 1), (0, 50), (1, 51), (1, 51), (0, 53), (0, 54)]
+
+
+def test_classifier_contract(spark):
+    """No label of a held-out row, and none at all, changes a score that others fixed; scores are of 0 to 1, predictions follow them."""
+    import zlib as z
+
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = factorisation.op1_factorisation(spark, sf).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (z.crc32(str(r.doc_id).encode()) % 3 == 1)
+    turned = labels.withColumn("quality", F.when(factorisation.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = factorisation.score(docs, factorisation.fit(docs, turned), ["doc_id"]).collect()
+    assert {r.doc_id: r.score for r in again} == {r.doc_id: r.score for r in rows}
+    others = docs.withColumns({"lang": F.lit("x"), "source": F.lit("y"), "doc_id": F.col("doc_id")})
+    assert {r.doc_id: r.score for r in factorisation.score(others, factorisation.fit(docs, labels), ["doc_id"]).collect()} == {r.doc_id: r.score for r in rows}
+
+
+def best_two_fit(lengths, capacity):
+    """Bin by bin, in plain steps: greedy from the longest, then the smallest goes for two that fill its place and the gap better."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        own, gap, rest = [], capacity, []
+        for n in left:
+            if n <= gap:
+                own.append(n)
+                gap -= n
+            else:
+                rest.append(n)
+        left = rest
+        if gap and own:
+            room, best = own[-1] + gap, None
+            for i in range(len(left)):
+                for j in range(i + 1, len(left)):
+                    two = left[i] + left[j]
+                    if own[-1] < two <= room and (best is None or two > best[0]):
+                        best = (two, i, j)
+            if best:
+                left.append(own.pop())
+                own += [left[best[1]], left[best[2]]]
+                for k in sorted(best[1:], reverse=True):
+                    del left[k]
+                left.sort(reverse=True)
+        bins.append(own)
+    return bins
+
+
+def test_packing_is_as_good_as_bin_by_bin():
+    r = random.Random(12)
+    for _ in range(40):
+        lengths = [r.randint(1, 32) for _ in range(r.randint(1, 120))]
+        counts = [0] * 33
+        for n in lengths:
+            counts[n] += 1
+        made = sum(k for _, k in packing.plan(counts, 32))
+        bound = -(-sum(lengths) // 32)
+        assert bound <= made == len(best_two_fit(lengths, 32))
+    assert sum(k for _, k in packing.plan([0] * 3 + [4] + [0] * 2 + [4] + [0] * 3, 9)) == 4  # 3 and 6, four times
+
+
+def test_secrets_base_against_plain_patterns():
+    import re
+
+    plain = (
+        (re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 1, 6),
+        (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+        (re.compile(r"[0-9a-f]+"), 0, 24),
+    )
+    r = random.Random(13)
+    parts = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", ":", "=", " ", '"', "'", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "é", "\n", "hunter2", "deadbeef" * 3, "X", ".", "-"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        want = sorted((m.start(), k, m.end()) for k, (p, group, least) in enumerate(plain) for m in p.finditer(text) if len(m[group]) >= least)
+        assert sorted(secrets.scan_text(text)[0]) == want, text
+
+
+def test_spans_map_through_two_layers():
+    r = random.Random(14)
+    for _ in range(100):
+        before, after = "".join(r.choice("ab é𝔘\n") for _ in range(r.randint(0, 20))), "".join(r.choice("xy ") for _ in range(r.randint(0, 20)))
+        inner = base64.b64encode(f"some words and AKIA{'ABCD1234' * 2} behind".encode()).decode()
+        run = base64.b64encode(f"outer text {inner} end".encode()).decode()
+        found = secrets.scan_text(f"{before} {run} {after}")[1]
+        assert (len(before) + 1, 1, len(before) + 1 + len(run)) in found
+
+
+def test_warc_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.op6_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_megabyte_texts(spark, tmp_path):
+    """A text of over a megabyte, of one line and of many, through every operator on documents."""
+    import corpus_pipeline
+
+    long = " ".join(words(160_000, 15))
+    many = "\n".join(" ".join(x) for x in zip(*[iter(words(150_000, 16))] * 10))
+    assert len(long) > 1 << 19 and len(many) > 1 << 19
+    docs = spark.createDataFrame([(1, long, "en", "h", None), (2, many, "en", "h", None), (3, long + " x", "en", "h", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_words for r in quality_rules.judge(docs, ["doc_id"]).collect()} == {1: 160_000, 2: 150_000, 3: 160_001}
+    assert {r.doc_id: r.class_id for r in order_minhash.near_documents(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.n_removed for r in phrases.op7_phrases(spark, str(tmp_path)).collect()} == {1: 0, 2: 0, 3: 160_000}
+    assert {r.doc for r in line_dedup.removals(docs).collect()} == {3}
+    assert secrets.scan(docs).count() == 3 and packing.pack(docs).count() > 1000
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in bpe.digests(docs.where("doc_id < 2")).collect()} == {1: len(tok.encode(long, add_special_tokens=False).ids)}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {1, 2}
+
+
+def test_located_stretches_against_all_windows():
+    """Words whose hashes agree in the letters but not in the rest are told apart; stretches are those of windows that passages of smaller doc_ids have."""
+    r = random.Random(17)
+    for _ in range(30):
+        pool = [np.uint64(r.randrange(40) | (r.randrange(2) << 16)) for _ in range(12)]
+        base = np.array([r.choice(pool) for _ in range(300)], np.uint64)
+
+        def edited(x, n):
+            x = x.copy()
+            for _ in range(n):
+                x[r.randrange(len(x))] ^= np.uint64(1 << 16)
+            return x
+
+        shard = phrases._Shard()
+        held = [(d, edited(base, r.randrange(4))[r.randrange(60) : r.randrange(150, 300)]) for d in range(5, 12)]
+        for d, x in held:
+            shard.add(d, x)
+        doc, words_ = 9, edited(base, 3)
+        earlier = {tuple(x[i : i + 50].tolist()) for d, x in held if d < doc for i in range(len(x) - 49)}
+        want = {p for i in range(len(words_) - 49) if tuple(words_[i : i + 50].tolist()) in earlier for p in range(i, i + 50)}
+        assert {p for a, b in shard.locate(doc, words_) for p in range(a, b)} == want
