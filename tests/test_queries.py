@@ -11,6 +11,10 @@ from tests.conftest import SMALL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries that may find nothing in so little data.
+EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -33,8 +37,8 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
     rows = sorted(str([plain(r[c]) for c in columns]) for r in df.collect())
+    assert rows or name in EMPTY, "a query that finds nothing shows nothing"
     if name not in ORACLE_SQL:
-        assert columns
         return
     found = duck.execute(ORACLE_SQL[name])
     names = [x[0] for x in found.description]
