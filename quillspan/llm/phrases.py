@@ -9,10 +9,12 @@ doc_id. All steps are exact up to collisions of 64-bit word hashes and 128-bit w
 2. Confirm. Anchors of at least two documents point at windows that may recur. Those windows' hashes, grouped, give each
    recurring window its first document. Runs of recurring windows in their first document are the passages.
 3. Compile. Passages are dealt out as shards of bounded size. Of each passage, blocks of ``BLOCK`` words, one every
-   ``WINDOW - BLOCK + 1``, go into the shard's Aho-Corasick automaton (any window holds a whole block), about a node a word.
-4. Locate. Every document that holds a recurring window is streamed through the automata of the shards concerned; each
-   block that is met is extended over the words that agree with the passage. Stretches of a window or more, of a passage from a
-   smaller doc_id, are removed. Shards that very many documents need are repeated for shares of them.
+   ``WINDOW - BLOCK + 1``, go into the shard's Aho-Corasick automaton (any window holds a whole block), as ``LETTERS`` letters a word.
+4. Locate. Each document is streamed through the automata of the shards that it has a recurring window of; each block that is met
+   is extended over the words that agree with a passage, as far as windows over it reach, unless all of them are gone already. Stretches
+   of a window or more, of a passage from a smaller doc_id, are removed. Shards that very many documents need are repeated for shares of them.
+
+Anchors of more than ``HOT`` stretches are joined by a broadcast, so no task gathers what one of them has.
 
 Null text has no words. Null doc_ids neither lose words nor take them. Repeated rows are treated alike and returned each.
 Extra columns are ignored; an empty table gives an empty result.
@@ -25,14 +27,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import discard, partitions, read, stored
+from quillspan.llm.common import discard, partitions, read, stored, tidied
 
 WINDOW, GRAM, BLOCK = 50, 20, 25
 #: Passage windows of a shard (about an automaton's nodes), words of a chunk of a passage, documents that one copy of a shard serves.
-SHARD_WINDOWS, CHUNK, SERVED = 500_000, 4096, 2000
+SHARD_WINDOWS, CHUNK, SERVED = 250_000, 4096, 4000
+#: Words beside a block that windows over it reach.
+REACH = WINDOW - BLOCK
+#: Letters of a word in an automaton, of a byte each, which keeps its nodes narrow; a block is met by 400 bits and then compared word by word.
+LETTERS = 2
+#: Stretches of an anchor beyond which it is joined by a broadcast.
+HOT = 5000
 #: Candidate documents whose ids are broadcast at most; beyond it texts are shuffled to meet them.
 BROADCAST_IDS = 1_000_000
 
@@ -83,6 +91,7 @@ def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
     return grams[at[first]], first
 
 
+@tidied
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, sha, found, firsts = [], [], [], []
@@ -98,6 +107,7 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), flat(found, np.int64), flat(firsts, np.int32)], ["doc_id", "n_words", "sha", "anchors", "firsts"])
 
 
+@tidied
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The 128-bit hashes of the windows from each of ``lows`` to before the next anchor's first (``highs``)."""
     for batch in batches:
@@ -109,58 +119,81 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(n, doc.as_py())), pa.array(np.full(n, rid.as_py())), pa.array(starts.astype(np.int32))], ["x", "y", "doc_id", "rid", "start"])
 
 
+def _letters(words: np.ndarray) -> str:
+    """The low bytes of each word's hash, those of the first, second, ... place from ranges of their own, so that blocks are met where words begin."""
+    k = np.arange(LETTERS)
+    bytes_ = (words[:, None] >> (8 * k).astype(np.uint64)).astype(np.uint8).astype(np.uint32)
+    return (bytes_ + (256 * k + 1).astype(np.uint32)).astype("<u4").tobytes().decode("utf-32-le")
+
+
 class _Shard:
-    """An automaton over the blocks of the passages of a shard."""
+    """An automaton over the blocks of the passages of a shard.
+
+    All windows over a block lie within ``REACH`` words of it. So of each place where a block stands in a passage, it and that many words before and
+    behind are kept, of equal ones those of the smallest doc_id; a document's words around a block that is met are compared with all of them at once.
+    """
 
     def __init__(self):
-        self.docs: list[int] = []
-        self.passages: list[np.ndarray] = []
+        self.passages: list[tuple[int, np.ndarray]] = []
         self.automaton = None
 
     def add(self, doc: int, words: np.ndarray) -> None:
-        self.docs.append(doc)
-        self.passages.append(words)
+        self.passages.append((doc, words))
 
     def compile(self) -> None:
         import ahocorasick
 
-        blocks: dict[tuple, list[tuple[int, int]]] = {}
-        for i, words in enumerate(self.passages):
-            letters = (words & np.uint64(0x7FFFFFFF)).tolist()
-            for at in range(0, len(letters) - BLOCK + 1, WINDOW - BLOCK + 1):
-                blocks.setdefault(tuple(letters[at : at + BLOCK]), []).append((i, at))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, where in blocks.items():
-            self.automaton.add_word(key, where)
+        blocks: dict[str, dict[bytes, int]] = {}
+        none = np.zeros(REACH, np.uint64)  # beyond a passage
+        for doc, words in self.passages:
+            letters, padded = _letters(words), np.concatenate([none, words, none])
+            for at in range(0, len(words) - BLOCK + 1, WINDOW - BLOCK + 1):
+                around = padded[at : at + 2 * REACH + BLOCK].tobytes()
+                own = blocks.setdefault(letters[at * LETTERS : (at + BLOCK) * LETTERS], {})
+                own[around] = min(doc, own.get(around, doc))
+        self.passages = []
+        self.automaton = ahocorasick.Automaton()
+        for key, own in blocks.items():
+            docs = np.fromiter(own.values(), np.int64, len(own))
+            order = np.argsort(docs, kind="stable")
+            around = np.frombuffer(b"".join(own), np.uint64).reshape(len(own), 2 * REACH + BLOCK)[order]
+            self.automaton.add_word(key, (docs[order], around[:, REACH - 1 :: -1].copy(), around[:, REACH : REACH + BLOCK].copy(), around[:, REACH + BLOCK :].copy()))
         self.automaton.make_automaton()
 
     def locate(self, doc: int, words: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches of the document that agree with a passage of a smaller doc_id over a window or more."""
+        """Stretches of the document, of a window or more, that agree with a passage of a smaller doc_id."""
         if self.automaton is None:
             self.compile()
         if not len(self.automaton):
             return []
-        found, until = [], {}
-        letters = tuple((words & np.uint64(0x7FFFFFFF)).tolist())
-        for last, where in self.automaton.iter(letters):
-            for i, at in where:
-                if self.docs[i] >= doc:
-                    continue
-                line = (i, last - BLOCK + 1 - at)  # passage and shift: one stretch is extended once
-                if until.get(line, -1) >= last:
-                    continue
-                passage, shift = self.passages[i], line[1]
-                low, high = max(0, shift), min(len(words), shift + len(passage))
-                differ = np.flatnonzero(words[low:high] != passage[low - shift : high - shift]) + low
-                k = int(np.searchsorted(differ, last))
-                a = int(differ[k - 1]) + 1 if k else low
-                b = int(differ[k]) if k < len(differ) else high
-                until[line] = b - 1
-                if b - a >= WINDOW and a <= last < b:
-                    found.append((a, b))
+        found, gone = [], np.zeros(len(words), bool)
+        none = np.ones(REACH, np.uint64)  # beyond the document; unlike what is beyond a passage
+        padded = np.concatenate([none, words, none])
+        for end, (docs, before, block, behind) in self.automaton.iter(_letters(words)):
+            last = end // LETTERS
+            first = last - BLOCK + 1
+            if gone[max(0, first - REACH) : last + 1 + REACH].all():
+                continue
+            m = int(np.searchsorted(docs, doc))
+            if not m:
+                continue
+            left, right = _agreeing(before[:m], padded[first + REACH - 1 : first - 1 if first else None : -1]), _agreeing(behind[:m], padded[last + 1 + REACH : last + 1 + 2 * REACH])
+            # letters are a part of a word's hash: the block is compared whole
+            whole = (left + right >= WINDOW - BLOCK) & (block[:m] == words[first : last + 1]).all(1)
+            if whole.any():
+                a, b = first - int(left[whole].max()), last + 1 + int(right[whole].max())
+                found.append((a, b))
+                gone[a:b] = True
         return found
 
 
+def _agreeing(rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How many words each row agrees with, from the first on."""
+    differ = rows != words
+    return np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+
+
+@tidied
 def _locate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (shard, copy, kind, rid, doc_id, words): the passages of a copy of a shard, then the documents it serves."""
     key, shard = None, _Shard()
@@ -179,6 +212,7 @@ def _locate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rid_out, pa.int64()), pa.array(a_out, pa.list_(pa.int32())), pa.array(b_out, pa.list_(pa.int32()))], ["rid", "a", "b"])
 
 
+@tidied
 def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of the windows that start at ``starts``, cut into chunks: rows (rid, doc_id, chunk, words)."""
     for batch in batches:
@@ -193,6 +227,7 @@ def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["rid", "doc_id", "chunk", "words"])
 
 
+@tidied
 def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [word_hashes(t.as_py().encode().split()).tobytes() for t in batch.column(2)]
@@ -222,9 +257,11 @@ def dedup_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stretches = stored(
         one.select("rid", "doc_id", "n_words", F.explode(F.arrays_zip("anchors", "firsts", F.concat(F.slice("firsts", 2, 1 << 30), F.array((F.col("n_words") - WINDOW + 1).cast("int"))).alias("nexts"))).alias("s")).select("rid", "doc_id", F.col("s.anchors").alias("anchor"), F.col("s.firsts").alias("low"), F.col("s.nexts").alias("high"))
     )
-    again = stretches.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    where = stored(stretches.join(again, "anchor").groupBy("rid", "doc_id").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")))
-    discard(stretches)
+    again = stored(stretches.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n"))
+    hot = again.where(F.col("n") > HOT).select("anchor")
+    met = stored(_by_anchor(stretches, again.select("anchor"), hot))
+    where = stored(met.groupBy("rid", "doc_id").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")))
+    discard(stretches, met, again)
     ids = where.select("doc_id").distinct()
     n = where.count()
     texts = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi") if n else docs.limit(0)
@@ -239,13 +276,25 @@ def dedup_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shard = lambda rid, chunk: F.pmod(F.xxhash64(rid, chunk), F.lit(shards)).cast("int")
     starts = firsts.groupBy(F.col("from_rid").alias("rid")).agg(F.collect_list("from_start").alias("starts"))
     passages = chosen.select("rid", "doc_id", "text").join(starts, "rid").mapInArrow(_passages, "rid long, doc_id long, chunk int, words binary").withColumn("shard", shard("rid", "chunk"))
+    # a window has one first document, so each is at one shard
     routes = windows.join(firsts, ["x", "y"]).where("doc_id > from_doc").select("rid", shard("from_rid", F.floor(F.col("from_start") / CHUNK).cast("int")).alias("shard"))
     routes = stored(routes.distinct())
     copies = routes.groupBy("shard").agg(F.ceil(F.count("*") / SERVED).cast("int").alias("copies"))  # a row per shard
+    few = shards <= BROADCAST_IDS
+    if few:
+        copies = copies.withColumn("base", F.coalesce(F.sum("copies").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    copies = stored(copies)
+    dealt = F.broadcast(copies) if few else copies
     hashed = chosen.select("rid", "doc_id", "text").mapInArrow(_hashed, "rid long, doc_id long, words binary")
-    served = hashed.join(routes, "rid").join(F.broadcast(copies) if shards <= BROADCAST_IDS else copies, "shard").select("shard", F.pmod("rid", "copies").cast("int").alias("copy"), F.lit(1).alias("kind"), "rid", "doc_id", "words")
-    compiled = passages.join(F.broadcast(copies) if shards <= BROADCAST_IDS else copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "rid", "doc_id", "words")
-    rows = compiled.unionByName(served).repartition(partitions(spark), "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+    unit = [F.col("base").cast("int").alias("base")] if few else []
+    served = hashed.join(routes, "rid").join(dealt, "shard").select("shard", F.pmod("rid", "copies").cast("int").alias("copy"), F.lit(1).alias("kind"), "rid", "doc_id", "words", *unit)
+    compiled = passages.join(dealt, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "rid", "doc_id", "words", *unit)
+    rows = compiled.unionByName(served)
+    if few:  # each copy of a shard is a task
+        rows = rows.repartitionById(max(1, copies.agg(F.sum("copies")).first()[0] or 1), (F.col("base") + F.col("copy")).cast("int")).drop("base")
+    else:
+        rows = rows.repartition(partitions(spark), "shard", "copy")
+    rows = rows.sortWithinPartitions("shard", "copy", "kind")
     found = rows.mapInArrow(_locate, "rid long, a array<int>, b array<int>")
     by_doc = found.groupBy("rid").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
@@ -262,6 +311,16 @@ def dedup_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scan.drop("anchors", "firsts").join(least, "sha", "left"), changed
 
 
+def _by_anchor(rows: DataFrame, keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` and ``keys`` joined on anchor; what is of the hot anchors stays where it is and meets a broadcast, if that is small enough."""
+    often = keys.join(hot, "anchor", "left_semi")
+    n = often.count()
+    if not n or n > BROADCAST_IDS:
+        return rows.join(keys, "anchor")
+    names = F.broadcast(often.select("anchor").distinct())
+    return rows.join(F.broadcast(often), "anchor").unionByName(rows.join(names, "anchor", "left_anti").join(keys.join(names, "anchor", "left_anti"), "anchor"))
+
+
 def joined_words(text: str):
     """The words of a text with single spaces between them, as the scan joins them."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), r"^ | \z", "")
