@@ -20,9 +20,8 @@ INTENTS = {
     "testing": ("test",),
     "question": ("?", "explain", "how ", "what "),
 }
-#: Signs of a failed command, and git operations in the order they are looked for.
+#: Signs of a failed command.
 FAILURES = ("error", "traceback", "exception", "command not found", "no such file", "failed", "panicked", "fatal:", "cannot find")
-GIT_OPERATIONS = ("commit", "checkout", "merge", "rebase", "push", "pull", "status", "branch", "stash")
 #: What a message of the system begins with.
 SYSTEM_PREFIXES = ("<task-notification>", "<system-reminder>", "<context_guidance>", "<tool-result>", "<local-command", "<command-")
 PRIORITIES = {"user-prompt": 1, "decision": 2, "blocker": 2, "constraint": 2, "role": 3, "intent": 4}
@@ -54,13 +53,6 @@ def looks_failed(response: Column) -> Column:
     return _any(F.lower(response), FAILURES)
 
 
-def git_operation(command: Column) -> Column:
-    out = F.lit("other")
-    for op in reversed(GIT_OPERATIONS):
-        out = F.when(F.lower(command).contains(op), op).otherwise(out)
-    return out
-
-
 def is_system_message(prompt: Column) -> Column:
     shown = F.regexp_replace(prompt, r"^\s+", "")
     out = F.lit(False)
