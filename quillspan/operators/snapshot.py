@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import truncated
 from quillspan.operators.sessions import error_fixes, within_budget
+from quillspan.sources.stored import stored
 
 MUST = 255
 BUDGET = 8192
@@ -93,6 +94,7 @@ def _lines(events: DataFrame, category: str, how: str, most: int) -> DataFrame:
 
 def sections(events: DataFrame) -> DataFrame:
     """(session_id, idx, must, rank, text) of every section that has lines."""
+    events = stored(events.select("session_id", "seq", "category", "text", "status"))  # read once, by every section
     lines = None
     for i, (_, category, how, most, _) in enumerate(SECTIONS):
         one = _lines(events, category, how, most).withColumn("idx", F.lit(i))
