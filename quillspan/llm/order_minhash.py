@@ -213,21 +213,39 @@ def _open(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found.to_batches()
 
 
+def _enough(x: np.ndarray, others: Iterable[np.ndarray]) -> Iterator[bool]:
+    """For each of the others, whether it shares as many k-mers with ``x`` as ``similar`` wants aligned: the rest needs no alignment."""
+    x = np.sort(x)
+
+    def of(some: list[np.ndarray]) -> Iterator[bool]:
+        sizes = np.array([len(y) for y in some])
+        flat = np.concatenate(some)
+        met = np.append(0, np.cumsum(x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat))
+        ends = np.cumsum(sizes)
+        yield from (met[ends] - met[ends - sizes] >= -(-NUM * (len(x) + sizes) // (NUM + DEN))).tolist()
+
+    some: list[np.ndarray] = []
+    size = 0
+    for y in others:
+        some.append(y)
+        size += len(y)
+        if size >= 1 << 20:  # so that long texts take no more memory
+            yield from of(some)
+            some, size = [], 0
+    if some:
+        yield from of(some)
+
+
 @tidied
 def _rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between documents of different classes that meet in a bucket; a pair is verified where it first agrees, or not at all once it is connected."""
     for table in _groups(batches):
-        key, doc, root = (table.column(k).to_numpy() for k in ("key", "doc", "root"))
+        key, i, j, block, doc, root = (table.column(k).to_numpy() for k in ("key", "i", "j", "block", "doc", "root"))
         texts = table.column("text")
         sketches = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(key), SKETCHES)
-        over: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while (y := over.get(x, x)) != x:
-                over[x] = over.get(y, y)
-                x = y
-            return x
-
+        root = root.copy()  # follows the links
+        first = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        begins = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
         kept: dict[int, np.ndarray] = {}
 
         def kmers(k: int) -> np.ndarray:
@@ -236,14 +254,15 @@ def _rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return kept[k]
 
         left, right = [], []
-        for c, b, _ in _meetings(table):
-            differ = root[c] != root[b]
-            c, b = c[differ], b[differ]
-            first = _first_met(c, b, key, sketches)
-            for x, y in zip(c[first].tolist(), b[first].tolist()):
-                rx, ry = top(int(root[x])), top(int(root[y]))
-                if rx != ry and similar(kmers(x), kmers(y)):
-                    over[max(rx, ry)] = min(rx, ry)
+        for x, begin in enumerate(begins.tolist()):
+            others = slice(begin, x)
+            same = sketches[others] == sketches[x]
+            some = (root[others] != root[x]) & (same.sum(1) >= AGREE) & ((i[x] == j[x]) | (block[others] != block[x]))
+            b = begin + np.flatnonzero(some)
+            b = b[_first_met(np.full(len(b), x), b, key, sketches)]
+            for y, enough in zip(b.tolist(), _enough(kmers(x), map(kmers, b.tolist())) if len(b) else ()):
+                if enough and root[x] != root[y] and similar(kmers(x), kmers(y)):
+                    root[root == max(root[x], root[y])] = min(root[x], root[y])
                     left.append(int(doc[y]))
                     right.append(int(doc[x]))
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])

@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from quillspan.llm import bpe, factorisation, line_dedup, order_minhash, packing, phrases, pivots, quality_rules, secrets, warc
+from quillspan.llm import bpe, common, factorisation, line_dedup, order_minhash, packing, phrases, pivots, quality_rules, secrets, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, ids string, row string, score string, host_failed string"
 
@@ -657,3 +657,55 @@ def test_located_stretches_against_all_windows():
         earlier = {tuple(x[i : i + 50].tolist()) for d, x in held if d < doc for i in range(len(x) - 49)}
         want = {p for i in range(len(words_) - 49) if tuple(words_[i : i + 50].tolist()) in earlier for p in range(i, i + 50)}
         assert {p for a, b in shard.locate(doc, words_) for p in range(a, b)} == want
+
+
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    """A path of 200 nodes, which takes rounds many jobs to connect, a star, loops and null ends; beyond the bound, rounds give the same."""
+    r = random.Random(40)
+    path = r.sample(range(1, 10_000), 200)
+    edges = [*zip(path, path[1:]), *((20_000, 20_000 + k) for k in range(1, 50)), (7, 7), (None, 5), (30_001, 30_000), (30_000, 30_001)]
+    frame = common.stored(spark.createDataFrame(edges, "a long, b long"))
+    want = {k: min(path) for k in path if k != min(path)} | {20_000 + k: 20_000 for k in range(1, 50)} | {30_001: 30_000}
+    spark.sparkContext.setJobGroup("few edges", "")
+    out = common.components(frame)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert sorted(out.collect()) == sorted(want.items())
+    assert 0 < jobs <= 6
+    for few in (0, 100):  # to the end by rounds, and the last of it in one task
+        monkeypatch.setattr(common, "FEW_EDGES", few)
+        assert sorted(common.components(frame).collect()) == sorted(want.items())
+    assert common.components(frame.where("false")).count() == 0
+
+
+def test_candidates_that_share_too_little_are_not_aligned(monkeypatch):
+    """A bucket of texts that agree in sketches and are not alike: all links of all pairs, few alignments."""
+    r, base = random.Random(41), words(80, 42)
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for k in r.sample(range(80), r.randint(0, 5)):
+            t[k] = f"w{r.random()}"
+        texts.append(" ".join(t))
+    kmers = [order_minhash.labelled(t.encode().split()) for t in texts]
+    sketches = [order_minhash.sketch(k) for k in kmers]
+    key = sketches[0][0]
+    met = [k for k in range(60) if sketches[k][0] == key]
+    meet = lambda x, y: (same := sketches[x] == sketches[y]).sum() >= order_minhash.AGREE and same.argmax() == 0
+    pairs = [(x, y) for x in met for y in met if x < y and meet(x, y)]
+    over = list(range(60))
+    for x, y in pairs:
+        if order_minhash.similar(kmers[x], kmers[y]):
+            over = [over[x] if o == over[y] else o for o in over]
+    number = lambda values, kind: pa.array(values, kind)
+    n = len(met)
+    batch = pa.RecordBatch.from_arrays([number([int(key)] * n, pa.int64()), number([0] * n, pa.int32()), number([0] * n, pa.int32()), number([0] * n, pa.int32()), number(met, pa.int64()), number(met, pa.int64()), number(met, pa.int64()), number([sketches[k].tolist() for k in met], pa.list_(pa.int64())), number([texts[k] for k in met], pa.string())], ["key", "i", "j", "block", "doc", "first", "root", "sketch", "text"])
+    aligned, similar = [], order_minhash.similar
+    monkeypatch.setattr(order_minhash, "similar", lambda x, y: aligned.append(similar(x, y)) or aligned[-1])
+    links = [(a, b) for out in order_minhash._rest([batch]) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+    found = list(range(60))
+    for x, y in links:
+        found = [found[x] if o == found[y] else o for o in found]
+    classes = lambda over: sorted(sorted(k for k in met if over[k] == o) for o in {over[k] for k in met})
+    assert classes(found) == classes(over) and len(classes(over)) > 3 and links
+    assert len(aligned) <= len(links) + len(pairs) // 20
