@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import components, discard, partitions, read, spare, stored, tidied
+from quillspan.llm.common import components, discard, partitions, read, spare, stored, text_batches, tidied
 from quillspan.llm.flat import mix
 from quillspan.llm.phrases import gram_hashes, joined_words, word_hashes
 
@@ -333,6 +333,7 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
 
     Rows without words are of one class if they have the same doc_id; those of a null doc_id all stay.
     """
+    text_batches(docs.sparkSession)
     row = spare(docs.columns, "row")
     docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))
     near = stored(near_documents(docs, F.col(row)))

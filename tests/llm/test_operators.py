@@ -709,3 +709,21 @@ def test_candidates_that_share_too_little_are_not_aligned(monkeypatch):
     classes = lambda over: sorted(sorted(k for k in met if over[k] == o) for o in {over[k] for k in met})
     assert classes(found) == classes(over) and len(classes(over)) > 3 and links
     assert len(aligned) <= len(links) + len(pairs) // 20
+
+
+def test_parquet_is_read_by_few_rows(spark, docs):
+    """Stored tables and the near-dedup plan that the caller runs hold few whole texts at once; a smaller setting stays."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "4096")
+        with common.small_batches(spark, 10):
+            assert spark.conf.get(name) == "512"
+        assert spark.conf.get(name) == "4096"
+        order_minhash.dedup_documents(docs)
+        assert spark.conf.get(name) == "512"
+        spark.conf.set(name, "100")
+        with common.small_batches(spark, 10):
+            assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
