@@ -137,6 +137,37 @@ def test_skeleton():
     assert extract.skeleton(PYTHON) == "import os.path\n\nclass A:\n    def f(self):\n        …\n\ndef g(x):\n    …\n\ng(2)\n"
 
 
+def test_imports_of_a_common_name_meet_two_nodes(spark):
+    """Many modules that import a name of many nodes: no row for each pair of them."""
+    n = 3000
+    nodes = spark.range(n).selectExpr("concat('n', id) as id", "'run' as name", "id as place").unionByName(spark.range(n).selectExpr("concat('m', id) as id", "concat('own', id) as name", "id + 9000 as place"))
+    imports = spark.range(n).selectExpr("concat('m', id) as module", "'run' as segment").union(spark.createDataFrame([("n0", "run"), ("m1", "own1"), ("m1", "none"), ("m1", None)], "module string, segment string"))
+    edges, made = graph.resolve_imports(imports, nodes)
+    got = {(r.src, r.dst) for r in edges.collect()}
+    assert got == {(f"m{i}", "n0") for i in range(n)} | {("n0", "n1"), ("m1", "import:own1"), ("m1", "import:none"), ("m1", None)}
+    assert {r.name for r in made.collect()} == {"own1", "none", None}
+    assert _most_rows(spark, edges) < 20 * n
+
+
+def _most_rows(spark, df) -> int:
+    """The most rows that an operator of the plan has made, as it ran without AQE."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    df = df.select("*")  # planned anew
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    most, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value()) if rows.isDefined() else most
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return most
+
+
 def test_symbol_and_overview(spark):
     nodes = spark.createDataFrame([("a", "run", "f1"), ("b", "runner", "f2"), ("c", "stop", "f1"), ("d", "idle", "f3")], "id string, name string, file string")
     edges = spark.createDataFrame([("c", "b", "calls"), ("d", "c", "calls")], "src string, dst string, kind string")
