@@ -2,20 +2,26 @@
 
 Queries are a DataFrame ``(query_id, query)``; any number of them is answered in one plan.
 
-The index is a folder of Parquet tables. ``postings`` has a row for each field, word and chunk with the word's places, in folders by
-field and by a hash of the word's stem, so a search reads the folders of its words only. ``sizes`` has each chunk's number of words, a
-row a field. Each table is a series of segments: an update adds one, and names the paths whose rows in older segments no longer count.
+The index is a folder of Parquet tables, each in folders by segment: an update adds a segment, and names the paths whose rows in older
+segments no longer count. ``chunks`` numbers the chunks of a segment; ``sizes`` (each chunk's number of words, a row a field),
+``postings`` and ``trigrams`` are made of a segment when first asked for. Both of these are packed where the chunks are read: a row has a
+field and word, or a trigram, and the numbers of all chunks of one Arrow batch that have it, with the places of the word in each. Rows lie in
+folders by a hash of the word's stem or of the trigram, so a search reads the folders of its words only; a large folder is written by several tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.stem import stems
-from quillspan.functions.text import is_doc_path, occurrences, tokens, trigrams
+from quillspan.functions.stem import stem, stems
+from quillspan.functions.text import is_doc_path, occurrences, tokens
 from quillspan.sources import files
 from quillspan.sources.stored import stored
 
@@ -29,8 +35,80 @@ def _folder(stem: Column) -> Column:
     return F.pmod(F.xxhash64(stem), F.lit(FOLDERS)).cast("int")
 
 
+def _if_few(few: bool, rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if few else rows
+
+
 def _few(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return _if_few(rows.count() <= BROADCAST_ROWS, rows)
+
+
+#: Of packed rows. ``ends`` are where a chunk's places end in ``places``.
+_POSTED = "field string, stem string, term string, no array<long>, len array<int>, ends array<int>, places array<int>"
+_TRIGRAMS = "trigram long, no array<long>"
+_PACKED = {"postings": _POSTED, "trigrams": _TRIGRAMS}
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and where the last one ends."""
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
+    return starts, np.append(starts, len(keys))
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def _posted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed postings of batches (no, a list of words for each field)."""
+    known: dict[str, str] = {}
+    for batch in batches:
+        no = batch.column(0).to_numpy()
+        for field in FIELDS:
+            words = batch.column(field)
+            size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = words.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            row = np.repeat(np.arange(len(no)), size)
+            pos = np.arange(len(coded)) - np.repeat(np.cumsum(size) - size, size)
+            key = coded.indices.to_numpy().astype(np.int64) * len(no) + row
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            each, ends = _groups(key)  # a word in a chunk
+            of_word, bounds = _groups(key[each] // len(no))
+            own = row[order][each]
+            code = (key[each] // len(no))[of_word]
+            # ends of places within their word's row
+            within = ends[1:] - np.repeat(ends[bounds[:-1]], np.diff(bounds))
+            terms = coded.dictionary.to_pylist()
+            for t in terms:
+                if t not in known:
+                    known[t] = stem(t)
+            columns = [
+                pa.array([field] * len(code), pa.string()), pa.array([known[terms[c]] for c in code], pa.string()), coded.dictionary.take(pa.array(code)),
+                _lists(bounds, no[own], pa.int64()), _lists(bounds, size[own], pa.int32()), _lists(bounds, within, pa.int32()), _lists(ends[bounds], pos[order], pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _POSTED.split(", ")])
+        if len(known) > 1_000_000:
+            known.clear()
+
+
+def _trigram_keys(low: str) -> np.ndarray:
+    """The different trigrams of a text, each as a number: three characters of 21 bits."""
+    c = np.frombuffer(low.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def _trigrammed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed trigrams of batches (no, text in lower case)."""
+    for batch in batches:
+        found = [_trigram_keys(x or "") for x in batch.column(1).to_pylist()]
+        key = np.concatenate([np.zeros(0, np.int64), *found])
+        no = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+        order = np.argsort(key, kind="stable")
+        starts, bounds = _groups(key[order])
+        yield pa.RecordBatch.from_arrays([pa.array(key[order][starts]), _lists(bounds, no[order], pa.int64())], ["trigram", "no"])
 
 
 @dataclass
@@ -40,16 +118,57 @@ class Index:
     spark: SparkSession
     path: str
 
+    def _segments(self) -> int:
+        n = 0
+        while files.exists(self.spark, f"{self.path}/chunks/segment={n}/_SUCCESS"):
+            n += 1
+        return n
+
+    def _table(self, table: str) -> DataFrame:
+        """All rows of a table; of segments that do not have it yet it is made."""
+        make = {"sizes": self._make_sizes, "postings": self._make_postings, "trigrams": self._make_trigrams}
+        for n in range(self._segments() if table in make else 0):
+            at = f"{self.path}/{table}/segment={n}"
+            if not files.exists(self.spark, f"{at}/_SUCCESS"):
+                make[table](self.spark.read.parquet(f"{self.path}/chunks/segment={n}"), at)
+        read = self.spark.read.schema(f"{_PACKED[table]}, segment int, folder int") if table in _PACKED else self.spark.read
+        return read.parquet(f"{self.path}/{table}")
+
     def _live(self, table: str) -> DataFrame:
-        """The rows of a table that no later segment has replaced."""
-        rows = self.spark.read.parquet(f"{self.path}/{table}")
+        """The rows of a table with paths that no later segment has replaced."""
+        rows = self._table(table)
         if not files.exists(self.spark, f"{self.path}/replaced"):
             return rows
         gone = self.spark.read.parquet(f"{self.path}/replaced").groupBy("path").agg(F.max("segment").alias("since"))
         return rows.join(_few(gone), "path", "left").where(F.col("since").isNull() | (F.col("segment") >= F.col("since"))).drop("since")
 
+    def _words(self, chunks: DataFrame) -> DataFrame:
+        return chunks.select("no", *(tokens(F.col(f)).alias(f) for f in FIELDS))
+
+    def _make_sizes(self, chunks: DataFrame, at: str) -> None:
+        size = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("len")) for f in FIELDS))).alias("x")
+        chunks.select("no", "path", "chunk_id", size).select("no", "path", "chunk_id", "x.*").write.mode("overwrite").parquet(at)
+
+    def _make_postings(self, chunks: DataFrame, at: str) -> None:
+        packed = self._words(chunks).mapInArrow(_posted, _POSTED).withColumn("folder", _folder(F.col("stem")))
+        packed.hint("rebalance", "field", "folder").sortWithinPartitions("field", "folder", "stem", "term").write.mode("overwrite").partitionBy("field", "folder").parquet(at)
+
+    def _make_trigrams(self, chunks: DataFrame, at: str) -> None:
+        packed = chunks.select("no", F.lower("content").alias("text")).mapInArrow(_trigrammed, _TRIGRAMS).withColumn("folder", _folder(F.col("trigram")))
+        packed.hint("rebalance", "folder").sortWithinPartitions("folder", "trigram").write.mode("overwrite").partitionBy("folder").parquet(at)
+
+    def named(self, found: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+        """Rows ``found(segment, no, ...)`` with the paths and ids of their chunks, of live chunks only; of those in ``pool(chunk_id)`` only, if given."""
+        names = self._live("sizes").where("field = 'content'").select("segment", "no", "path", "chunk_id")
+        if pool is not None:
+            few = pool.count() <= BROADCAST_ROWS
+            names = names.join(_if_few(few, pool.select("chunk_id").distinct()), "chunk_id", "left_semi")
+            names = _if_few(few, names)
+        return found.join(names, ["segment", "no"])
+
     def postings(self) -> DataFrame:
-        return self._live("postings")
+        """A row for each field, word and live chunk that has it."""
+        return self.named(unpacked(self._table("postings")))
 
     def chunks(self) -> DataFrame:
         return self._live("chunks").select("path", "chunk_id", "content", "symbols")
@@ -58,31 +177,20 @@ class Index:
         """(field, n, avg_len), a row a field."""
         return self._live("sizes").groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
-    def trigrams(self) -> DataFrame:
-        """(trigram, chunk_id, path) of every chunk's content, in folders by a hash of the trigram; made when first asked for."""
-        at = f"{self.path}/trigrams"
-        if not files.exists(self.spark, f"{at}/_SUCCESS"):
-            each = self.chunks().select("path", "chunk_id", F.explode(F.array_distinct(trigrams(F.col("content")))).alias("trigram"))
-            each.withColumn("folder", _folder(F.col("trigram"))).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(at)
-        return self.spark.read.parquet(at)
-
     def add(self, chunks: DataFrame, replaces: DataFrame | None = None) -> None:
         """Another segment with the chunks; earlier rows of the paths in ``replaces(path)`` no longer count."""
-        first = not files.exists(self.spark, f"{self.path}/chunks")
-        segment = 0 if first else self.spark.read.parquet(f"{self.path}/sizes").agg(F.max("segment")).first()[0] + 1
-        rows = chunks.select("path", "chunk_id", "content", "symbols").withColumn("segment", F.lit(segment))
-        if replaces is not None and not first:
+        segment = self._segments()
+        if replaces is not None and segment:
             replaces.select("path", F.lit(segment).alias("segment")).distinct().write.mode("append").parquet(f"{self.path}/replaced")
-        rows.write.mode("append").parquet(f"{self.path}/chunks")
-        each = rows.select("path", "chunk_id", "segment", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("w")) for f in FIELDS))).alias("x")).select("path", "chunk_id", "segment", "x.*")
-        each.select("path", "segment", "field", F.size("w").alias("len")).write.mode("append").parquet(f"{self.path}/sizes")
-        places = each.select("path", "chunk_id", "segment", "field", F.size("w").alias("len"), F.posexplode("w").alias("pos", "term"))
-        # a chunk is bounded, so are a word's places in it
-        posted = places.groupBy("field", "term", "path", "chunk_id", "segment").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("places"))
-        words = posted.select("term").distinct().withColumn("stem", stems(F.col("term")))
-        stemmed = posted.join(words, "term").withColumn("folder", _folder(F.col("stem")))
-        stemmed.repartition("field", "folder").sortWithinPartitions("field", "folder", "stem", "term").write.mode("append").partitionBy("field", "folder").parquet(f"{self.path}/postings")
-        files.remove(self.spark, f"{self.path}/trigrams")
+        rows = chunks.select("path", "chunk_id", "content", "symbols").withColumn("no", F.monotonically_increasing_id())
+        rows.write.mode("overwrite").parquet(f"{self.path}/chunks/segment={segment}")
+
+
+def unpacked(packed: DataFrame, *more: str) -> DataFrame:
+    """Packed postings with a row a chunk: tf, len and the places of the word, with the columns ``more``."""
+    each = packed.select("field", "segment", "stem", "term", *more, "ends", "places", F.posexplode(F.arrays_zip("no", "len")).alias("i", "x"))
+    each = each.withColumn("start", F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0)).withColumn("tf", F.get("ends", F.col("i")) - F.col("start"))
+    return each.select("field", "segment", "stem", "term", *more, F.col("x.no").alias("no"), F.col("x.len").alias("len"), "tf", F.slice("places", F.col("start") + 1, F.col("tf")).alias("places"))
 
 
 def index_of(chunks: DataFrame, path: str) -> Index:
@@ -113,11 +221,12 @@ class Asked:
 
     def near(self, rows: DataFrame) -> DataFrame:
         """``rows`` are no more than the terms."""
-        return F.broadcast(rows) if self.few else rows
+        return _if_few(self.few, rows)
 
-    def postings(self, index: Index) -> DataFrame:
-        """The index's postings in the folders of the terms: the folders' numbers prune the scan."""
-        return index.postings().where(F.col("folder").isin(*self.folders) if self.folders else F.lit(False))
+    def postings(self, index: Index, word: str, fields: tuple[str, ...]) -> DataFrame:
+        """The index's packed postings of the terms: the folders' numbers prune the scan."""
+        packed = index._table("postings").where(F.col("field").isin(*fields) & (F.col("folder").isin(*self.folders) if self.folders else F.lit(False)))
+        return packed.join(self.near(self.terms.select(word).distinct()), word, "left_semi")
 
 
 def asked(queries: DataFrame | Asked) -> Asked:
@@ -135,7 +244,8 @@ def bm25(index: Index, queries: DataFrame | Asked, fields: tuple[str, ...] = ("c
     q = asked(queries)
     word = "stem" if stemmed else "term"
     wanted = q.terms.select("query_id", word).distinct()
-    found = q.postings(index).where(F.col("field").isin(*fields)).join(q.near(wanted.select(word).distinct()), word)
+    # stored, as it is used twice
+    found = stored(index.named(unpacked(q.postings(index, word, fields)).drop("places")).select("field", word, "chunk_id", "path", "tf", "len"))
     if stemmed:
         found = found.groupBy("field", "stem", "chunk_id", "path").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
     df = found.groupBy("field", word).agg(F.count("*").alias("df"))
@@ -163,9 +273,9 @@ def spans(index: Index, queries: DataFrame | Asked, pool: DataFrame | None = Non
     q = asked(queries)
     many = q.terms.groupBy("query_id").agg(F.count("*").alias("k")).where("k > 1")
     own = q.terms.join(q.near(many), "query_id").select("query_id", "term", "place", "k")
-    found = q.postings(index).where("field = 'content'").join(q.near(own), "term")
+    found = index.named(unpacked(q.postings(index, "term", ("content",))), pool).join(q.near(own), "term")
     if pool is not None:
-        found = found.join(pool.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+        found = found.join(_few(pool.select("query_id", "chunk_id")), ["query_id", "chunk_id"], "left_semi")
     places = found.select("query_id", "chunk_id", "place", "k", F.explode("places").alias("pos"))
     so_far = Window.partitionBy("query_id", "chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     last = [f"last_{i}" for i in range(q.most)]
@@ -183,7 +293,7 @@ def ranked(index: Index, queries: DataFrame | Asked, k: int = 5, fields: tuple[s
     base = base.withColumn("score", F.when(is_doc_path(F.col("path")), F.col("score") * DOC_PENALTY).otherwise(F.col("score")))
     # stored, as it is used twice
     pool = stored(top(base, min(k * 8, 200)).drop("rank"))
-    near = pool.join(spans(index, q, _few(pool)), ["query_id", "chunk_id"], "left")
+    near = pool.join(spans(index, q, pool), ["query_id", "chunk_id"], "left")
     return top(near.withColumn("score", F.col("score") + F.coalesce(PROXIMITY / F.greatest("span", F.lit(1)), F.lit(0.0))), k)
 
 
@@ -194,14 +304,19 @@ def literal(chunks: DataFrame, needle: str, k: int = 5) -> DataFrame:
 
 
 def literal_indexed(index: Index, needle: str, k: int = 5) -> DataFrame:
-    """As ``literal``, for a needle of three characters or more: chunks that have all its trigrams are candidates, and only their contents are searched."""
-    low = needle.lower()
-    parts = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    """As ``literal``, for a needle of three characters or more: chunks that have all its trigrams are candidates, and only their contents are searched.
+
+    If the candidates are too many to broadcast the needle is no rare one, and all contents are searched where they are.
+    """
+    parts = [int(x) for x in _trigram_keys(needle.lower())]
     if not parts:
         return literal(index.chunks(), needle, k)
-    folders = [r[0] for r in index.spark.createDataFrame([(x,) for x in parts], "x string").select(_folder(F.col("x"))).distinct().collect()]
-    hits = index.trigrams().where(F.col("folder").isin(*folders) & F.col("trigram").isin(*parts)).groupBy("chunk_id", "path").agg(F.count("*").alias("n")).where(F.col("n") == len(parts))
-    return literal(index.chunks().join(_few(hits.select("chunk_id", "path")), ["chunk_id", "path"], "left_semi"), needle, k)
+    folders = [r[0] for r in index.spark.createDataFrame([(x,) for x in parts], "x long").select(_folder(F.col("x"))).distinct().collect()]
+    packed = index._table("trigrams").where(F.col("folder").isin(*folders) & F.col("trigram").isin(*parts))
+    hits = stored(packed.select("segment", F.explode("no").alias("no")).groupBy("segment", "no").agg(F.count("*").alias("n")).where(F.col("n") == len(parts)).drop("n"))
+    if hits.count() > BROADCAST_ROWS:
+        return literal(index.chunks(), needle, k)
+    return literal(index._live("chunks").join(F.broadcast(hits), ["segment", "no"], "left_semi"), needle, k)
 
 
 def grep(chunks: DataFrame, needle: str) -> DataFrame:

@@ -371,7 +371,8 @@ def _(s, d):
 @query("R1_stemmed")
 def _(s, d):
     """Best chunks of both fields, words counted by their stems."""
-    return search.top(search.bm25(search_index(s, d), _searches(s), ("content", "symbols"), True), 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    scored = search.bm25(search_index(s, d), _searches(s), ("content", "symbols"), True).withColumn("score", F.round("score", 9))
+    return search.top(scored, 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("R2_overfetch", f"WITH {CHUNKS}, {_BM25} SELECT query_id, count(*) AS n FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored) WHERE r <= 200 GROUP BY 1")

@@ -225,6 +225,29 @@ def test_stemmed_search_joins_forms_and_index_keeps_up(spark, tmp_path):
     assert search.index_of(chunks, f"{tmp_path}/index").chunks().count() == 4
 
 
+def test_index_is_packed_and_made_when_asked_for(spark, tmp_path):
+    """A stored row is a word's or a trigram's of many chunks, and a search makes what it reads and no more."""
+    said = lambda i: f"The common words of {'odd' if i % 2 else 'even'} x{i % 7} chunks, the ends of the İs\U0001f600z"
+    rows = [(f"p{i}.txt", f"p{i}#0", said(i), "") for i in range(600)] + [("none.txt", "none#0", None, None), ("two.txt", "two#0", "ab", "f")]
+    chunks = spark.createDataFrame(rows, "path string, chunk_id string, content string, symbols string").coalesce(2)
+    index = search.index_of(chunks, f"{tmp_path}/index")
+    assert search.literal(index.chunks(), "od", 1000).count() == 300
+    assert not any((tmp_path / "index" / x).exists() for x in ("postings", "trigrams"))
+    assert search.literal_indexed(index, "ODD X3", 1000).count() == 43 and search.literal_indexed(index, "\U0001f600z", 1000).count() == 600
+    assert not (tmp_path / "index/postings").exists() and spark.read.parquet(f"{tmp_path}/index/trigrams").count() < 6000
+    want = {(f, w, c): [i for i, x in enumerate(ws) if x == w] for _, c, *texts in rows for f, text in zip(("content", "symbols"), texts, strict=True) for ws in [spark_tokens(text)] for w in set(ws)}
+    got = {(r.field, r.term, r.chunk_id): r for r in index.postings().collect()}
+    assert {k: r.places for k, r in got.items()} == want and all(r.tf == len(r.places) for r in got.values())
+    assert got["content", "the", "p3#0"].len == len(spark_tokens(said(3))) and got["content", "chunks", "p3#0"].stem == "chunk"
+    assert spark.read.parquet(f"{tmp_path}/index/postings").count() < 200
+
+
+def spark_tokens(text) -> list[str]:
+    import re
+
+    return [x for x in re.split(r"[^a-z0-9]+", (text or "").lower().replace("i̇", "i ")) if x]
+
+
 def test_patterns():
     code = "class A:\n    def f(self):\n        return g(1, 'x')\n\ndef g(a, b):\n    return h.k(a)\n"
     got = lambda p: [(n, line, x) for n, line, _, x in structural.captures(code, structural.parse(p))]
