@@ -12,8 +12,10 @@ import pytest
 from quillspan.functions import codec, stem
 from quillspan.functions import text as t
 from quillspan.operators import commands, extract, graph, incremental, rules, scripts, search, sessions, structural
+from quillspan.plans import code
 from quillspan.plans.queries import QUERIES
-from quillspan.sources import files, tables
+from quillspan.sources import files, stored, tables
+from quillspan.streaming import counters
 from tests.conftest import SMALL
 
 
@@ -149,8 +151,8 @@ def test_imports_of_a_common_name_meet_two_nodes(spark):
     assert _most_rows(spark, edges) < 20 * n
 
 
-def _most_rows(spark, df) -> int:
-    """The most rows that an operator of the plan has made, as it ran without AQE."""
+def _rows_made(spark, df) -> list[tuple[str, int]]:
+    """(operator, rows) of the plan, as it ran without AQE."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     df = df.select("*")  # planned anew
     try:
@@ -158,14 +160,38 @@ def _most_rows(spark, df) -> int:
         df._jdf.queryExecution().toRdd().count()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
-    most, todo = 0, [plan]
+    out, todo = [], [plan]
     while todo:
         node = todo.pop()
-        rows = node.metrics().get("numOutputRows")
-        most = max(most, rows.get().value()) if rows.isDefined() else most
+        for metric in ("numOutputRows", "shuffleRecordsWritten"):
+            rows = node.metrics().get(metric)
+            out += [(node.nodeName(), rows.get().value())] if rows.isDefined() else []
         below = node.children()
         todo += [below.apply(i) for i in range(below.size())]
-    return most
+    return out
+
+
+def _most_rows(spark, df) -> int:
+    return max(n for _, n in _rows_made(spark, df))
+
+
+def _rows_of(spark, df, operator: str) -> int:
+    return sum(n for name, n in _rows_made(spark, df) if name == operator)
+
+
+def test_short_outputs_are_not_dealt_out(spark, tmp_path):
+    """Outputs that are not stored meet no blob: no task gets all of them by their empty reference."""
+    rows = [(i, "x" * 4000, "en", "s", 4000) for i in range(400)] + [(400 + i, "y" * 9000 + str(i % 2), "en", "s", 9001) for i in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = QUERIES["U4_offloaded"](spark, str(tmp_path))
+        got = {r.doc_id: r for r in df.collect()}
+        dealt = _rows_of(spark, df, "Exchange")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 404 and all(r.whole for r in got.values()) and {k for k, r in got.items() if r.stored} == {400, 401, 402, 403}
+    assert len({r.ref for r in got.values()}) == 3 and dealt < 20
 
 
 def test_symbol_and_overview(spark):
