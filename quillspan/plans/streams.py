@@ -40,10 +40,8 @@ def _(s, d):
     at = files.scratch(s, "marks-in")
     rows = table(s, d, "events").select("user_id", "event_id", (F.col("event_id") * 10 - F.col("event_id") % 3 * 400).alias("total"))
     edges = rows.agg(F.max("event_id")).first()[0] or 0
-    for i in range(3):
-        part = F.least(F.floor(F.col("event_id") * 3 / (edges + 1)), F.lit(2))
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(at)
-    return counters.high_water_deltas(counters.file_stream(s, at, rows.schema, 1), "user_id", "event_id", "total")
+    part = F.least(F.floor(F.col("event_id") * 3 / (edges + 1)), F.lit(2))
+    return counters.high_water_deltas(s, [rows.where(part == i) for i in range(3)], at, "user_id", "event_id", "total")
 
 
 _TERMS = ("le", "la", "the", "de", "und", "der", "que", "en")
@@ -55,15 +53,14 @@ def _(s, d):
     at, home = files.scratch(s, "chunks-in"), files.scratch(s, "index")
     path = F.concat(F.lit("session://"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
     rows = table(s, d, "conversations").select(path.alias("path"), path.alias("chunk_id"), F.col("text").alias("content"), F.lit("").alias("symbols"), "conv_id", "turn")
-    rows.coalesce(1).write.mode("append").parquet(at)
-    rows.where("turn % 2 = 0 and conv_id % 2 = 1").withColumn("content", F.lit("")).coalesce(1).write.mode("append").parquet(at)
+    emptied = rows.where("turn % 2 = 0 and conv_id % 2 = 1").withColumn("content", F.lit(""))
     index = search.Index(s, home)
 
     def put(batch, number: int) -> None:
         # a batch that is given again replaces its own paths and changes nothing
         index.add(batch.where("content <> ''"), batch)
 
-    counters.each_batch(counters.file_stream(s, at, rows.schema, 1), put)
+    counters.each_batch_of(s, [rows, emptied], at, put)
     return index.postings().where((F.col("field") == "content") & F.col("term").isin(*_TERMS)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 

@@ -47,13 +47,21 @@ def file_stream(spark: SparkSession, path: str, schema, files_a_batch: int | Non
     return (reader if files_a_batch is None else reader.option("maxFilesPerTrigger", files_a_batch)).parquet(path)
 
 
-def each_batch(stream: DataFrame, put: Callable[[DataFrame, int], None]) -> None:
-    """Gives every micro-batch of the input at hand to ``put``, in order."""
-    at = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+def each_batch(stream: DataFrame, put: Callable[[DataFrame, int], None], state: str | None = None) -> None:
+    """Gives every micro-batch of the input at hand to ``put``, in order; goes on after what a stream with the same ``state`` folder has taken."""
+    at = state or f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     run = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
     run.awaitTermination()
 
 
+def each_batch_of(spark: SparkSession, arrivals: list[DataFrame], path: str, put: Callable[[DataFrame, int], None]) -> None:
+    """One micro-batch for each of ``arrivals``, whose rows are written to the folder as they come, by as many tasks as they have, and taken by one stream that stops between them."""
+    state = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for rows in arrivals:
+        rows.write.mode("append").parquet(path)
+        each_batch(file_stream(spark, path, rows.schema), put, state)
+
+
 def bursts(changes: DataFrame, by: str, at: str, value: str, quiet: str) -> DataFrame:
     """(by, start, n, first, last): changes of a key with less than ``quiet`` between them are one burst, after which there is one rebuild; ``first`` and ``last`` are its values."""
     return changes.groupBy(by, F.session_window(at, quiet).alias("w")).agg(F.count("*").alias("n"), F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last")).select(by, F.col("w.start").alias("start"), "n", "first", "last")
@@ -64,14 +72,13 @@ def sliding_totals(events: DataFrame, at: str, by: str, length: str, step: str)
     return events.groupBy(F.window(at, length, step).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
-def high_water_deltas(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, order, delta) of a stream of cumulative counters: what each snapshot adds to the one before, of whatever batch, where it adds anything.
+def high_water_deltas(spark: SparkSession, arrivals: list[DataFrame], path: str, key: str, order: str, value: str) -> DataFrame:
+    """(key, order, delta) of cumulative counters that a stream takes in the batches of ``arrivals``: what each snapshot adds to the one before, of whatever batch, where it adds anything.
 
     The state, each key's last snapshot, is a table that every batch writes anew beside the last one; deltas are appended.
     """
-    spark = stream.sparkSession
     root = f"{shared_folder(spark)}/marks-{uuid.uuid4().hex}"
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    kinds = {f.name: f.dataType.simpleString() for f in arrivals[0].schema}
     form = f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}"
 
     def put(batch: DataFrame, number: int) -> None:
@@ -84,5 +91,5 @@ def high_water_deltas(stream: DataFrame, key: str, order: str, value: str) -> Da
         marks = rows.groupBy(key).agg(F.max_by(F.struct(order, value), order).alias("x")).select(key, f"x.{order}", f"x.{value}")
         marks.write.mode("overwrite").parquet(f"{root}/marks-{number}")
 
-    each_batch(stream, put)
+    each_batch_of(spark, arrivals, path, put)
     return spark.read.schema(f"{key} {kinds[key]}, {order} {kinds[order]}, delta long").parquet(f"{root}/deltas").select(key, order, "delta")

@@ -194,6 +194,13 @@ def test_short_outputs_are_not_dealt_out(spark, tmp_path):
     assert len({r.ref for r in got.values()}) == 3 and dealt < 20
 
 
+def test_batches_of_a_stream_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 100, 1, 4)
+    taken = []
+    counters.each_batch_of(spark, [rows, rows.where("id < 10")], f"{tmp_path}/in", lambda batch, n: taken.append((n, batch.count())))
+    assert taken == [(0, 100), (1, 10)] and len(list((tmp_path / "in").glob("*.parquet"))) > 4
+
+
 def test_symbol_and_overview(spark):
     nodes = spark.createDataFrame([("a", "run", "f1"), ("b", "runner", "f2"), ("c", "stop", "f1"), ("d", "idle", "f3")], "id string, name string, file string")
     edges = spark.createDataFrame([("c", "b", "calls"), ("d", "c", "calls")], "src string, dst string, kind string")
