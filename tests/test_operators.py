@@ -179,6 +179,49 @@ def _rows_of(spark, df, operator: str) -> int:
     return sum(n for name, n in _rows_made(spark, df) if name == operator)
 
 
+def _ranks(nodes, links, seed, rounds=20):
+    """By the definition: all nodes in every round."""
+    n = len(nodes)
+    p = np.array([seed.get(x, 0.0) for x in nodes]) / sum(seed.values()) if seed else np.full(n, 1 / n)
+    at, r = {x: i for i, x in enumerate(nodes)}, p.copy()
+    for _ in range(rounds):
+        m = np.zeros(n)
+        for a, b in links:
+            m[at[b]] += r[at[a]] / sum(x == a for x, _ in links)
+        r = 0.15 * p + 0.85 * (m + (1 - m.sum()) * p)
+    return dict(zip(nodes, r, strict=True))
+
+
+@pytest.mark.parametrize("links", [["ab", "ac", "bc", "ca", "cd", "de", "dd"], ["ad", "ae", "bd", "cd"]])
+@pytest.mark.parametrize("seed", [{}, {"a": 3.0, "d": 1.0}, {"e": 1.0}])
+def test_ranks_move_between_sources_only(spark, monkeypatch, links, seed):
+    nodes = spark.createDataFrame([(x, x, "f") for x in "abcde"], "id string, name string, file string")
+    edges = spark.createDataFrame([(*x, "calls") for x in links], "src string, dst string, kind string")
+    kept = []
+    monkeypatch.setattr(graph, "stored", lambda df: kept.append(1) or stored.stored(df))
+    ranks = {r.id: r["rank"] for r in graph.page_rank(nodes, edges, spark.createDataFrame([(k, v) for k, v in seed.items()], "id string, weight double") if seed else None).collect()}
+    want = _ranks("abcde", links, seed)
+    assert all(abs(ranks[x] - want[x]) < 1e-12 for x in "abcde")
+    assert len(kept) < 6 or links[0] == "ab", "where no link leads to a source only the last round reads links"
+
+
+def test_a_small_frontier_goes_to_the_edges(spark, monkeypatch):
+    """One hop from a few nodes deals out no edges, and entries of an overview are worked out once."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    kept = []
+    monkeypatch.setattr(graph, "stored", lambda df: kept.append(df) or stored.stored(df))
+    try:
+        edges = spark.range(5000).selectExpr("concat('a', id % 10) as src", "concat('b', id) as dst", "'calls' as kind")
+        near = graph.within(edges, spark.createDataFrame([("b7",), ("a3",)], "id string"), 1)
+        assert {(r.start, r.id) for r in near.collect()} == {("b7", "b7"), ("b7", "a7"), ("a3", "a3"), *(("a3", f"b{i}") for i in range(3, 5000, 10))}
+        assert sum(_rows_of(spark, df, "Exchange") for df in kept) < 5000
+        kept.clear()
+        asked = spark.createDataFrame([("x", 1.0, 2), ("y", 2.0, 2)], "id string, rank double, tokens long")
+        assert graph.overview(asked, 2) == ["y"] and len(kept) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_short_outputs_are_not_dealt_out(spark, tmp_path):
     """Outputs that are not stored meet no blob: no task gets all of them by their empty reference."""
     rows = [(i, "x" * 4000, "en", "s", 4000) for i in range(400)] + [(400 + i, "y" * 9000 + str(i % 2), "en", "s", 9001) for i in range(4)]
