@@ -10,6 +10,7 @@ from quillspan.functions import text as t
 from quillspan.operators import commands, extract, rules, structural
 from quillspan.operators import graph as g
 from quillspan.plans.queries import COMMANDS, query
+from quillspan.sources.stored import stored
 from quillspan.sources.tables import CHUNKS, OPS, chunks, op_records, table
 
 _PYTHON = "from app.part_{n} import load_{n}\n\nclass Part{k}:\n    def size(self):\n        return load_{k}({s})\n\ndef load_{k}(n):\n    return n\n\ndef main_{k}():\n    load_{n}(load_{k}(1))\n"
@@ -30,7 +31,9 @@ def _files(s, d):
     k = F.col("p_partkey")
     path = F.when(k % 3 == 0, F.concat(F.lit("app/part_"), k.cast("string"), F.lit(".py"))).when(k % 3 == 1, F.concat(F.lit("src/part_"), k.cast("string"), F.lit(".rs"))).otherwise(F.concat(F.lit("doc/part_"), k.cast("string"), F.lit(".txt")))
     content = F.when(k % 3 == 0, _filled(_PYTHON, k, k + 3, F.col("p_size"))).when(k % 3 == 1, _filled(_RUST, k, k + 3, F.col("p_size"))).otherwise("def nothing of the kind")
-    return table(s, d, "part").select(path.alias("path"), content.alias("content"), k.alias("k"))
+    # a file of parts is small, the sources written from it take long to parse: their keys are dealt out
+    parts = table(s, d, "part").select("p_partkey", "p_size").repartition(3 * s.sparkContext.defaultParallelism)
+    return parts.select(path.alias("path"), content.alias("content"), k.alias("k"))
 
 
 _PATH = "CASE p_partkey % 3 WHEN 0 THEN 'app/part_' || p_partkey || '.py' WHEN 1 THEN 'src/part_' || p_partkey || '.rs' ELSE 'doc/part_' || p_partkey || '.txt' END"
@@ -68,7 +71,7 @@ def _(s, d):
   SELECT path || ':size' AS caller, path || ':load_' || k || ':7' AS callee FROM x UNION ALL SELECT path || ':main_' || k, path || ':load_' || k || ':7' FROM x UNION ALL SELECT path || ':main_' || k, 'app/part_' || n || '.py:load_' || n || ':7' FROM x WHERE n <= most""")
 def _(s, d):
     """Calls of functions, resolved in the file, then through its imports, then anywhere."""
-    rows = extract.extracted(_files(s, d), ["python"])
+    rows = stored(extract.extracted(_files(s, d), ["python"]))  # parsed once
     defs = rows.where("row = 'def'").select("name", F.concat_ws(":", "path", "name", "line").alias("id"), F.col("path").alias("file"))
     calls = rows.where("row = 'call' and owner is not null").select(F.concat_ws(":", "path", "owner").alias("caller"), F.col("path").alias("file"), F.col("name").alias("callee_name"))
     imports = rows.where("row = 'import'").select(F.col("path").alias("file"), "name").join(defs.select("name", F.col("file").alias("from_file")), "name").where("file <> from_file").select("file", "from_file", "name")

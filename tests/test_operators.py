@@ -179,6 +179,17 @@ def _rows_of(spark, df, operator: str) -> int:
     return sum(n for name, n in _rows_made(spark, df) if name == operator)
 
 
+def test_calls_meet_the_nearest_definitions_first(spark):
+    """A name that each file defines and calls itself makes no row for each pair of files; parsing is dealt out."""
+    n = 2000
+    file = spark.range(n).selectExpr("concat('f', id) as file", "concat('c', id) as caller", "'run' as callee_name")
+    defs = spark.range(n).selectExpr("'run' as name", "concat('d', id) as id", "concat('f', id) as file")
+    found = graph.resolve_calls(file, defs, spark.createDataFrame([("f0", "f1", "run")], "file string, from_file string, name string"))
+    assert {tuple(r) for r in found.collect()} == {(f"c{i}", f"d{i}") for i in range(n)}
+    assert _most_rows(spark, found) < 20 * n
+    assert code._files(spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def _ranks(nodes, links, seed, rounds=20):
     """By the definition: all nodes in every round."""
     n = len(nodes)
