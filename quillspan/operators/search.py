@@ -43,9 +43,9 @@ def _few(rows: DataFrame) -> DataFrame:
     return _if_few(rows.count() <= BROADCAST_ROWS, rows)
 
 
-#: Of packed rows. ``ends`` are where a chunk's places end in ``places``.
-_POSTED = "field string, stem string, term string, no array<long>, len array<int>, ends array<int>, places array<int>"
-_TRIGRAMS = "trigram long, no array<long>"
+#: Of packed rows. A chunk's number is ``base`` and its ``off``, which is small and so stays small as the corpus grows; ``ends`` are where a chunk's places end in ``places``.
+_POSTED = "field string, stem string, term string, base long, off array<int>, len array<int>, ends array<int>, places array<int>"
+_TRIGRAMS = "trigram long, base long, off array<int>"
 _PACKED = {"postings": _POSTED, "trigrams": _TRIGRAMS}
 
 
@@ -59,26 +59,36 @@ def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """The batches (no, ...), cut where the numbers of another written partition begin, with the least number and the distances to it."""
+    for batch in batches:
+        no = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(no >> 33)) + 1).tolist(), len(no)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                base = int(no[a:b].min())
+                yield batch.slice(a, b - a), base, no[a:b] - base
+
+
 def _posted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed postings of batches (no, a list of words for each field)."""
     known: dict[str, str] = {}
-    for batch in batches:
-        no = batch.column(0).to_numpy()
+    for batch, base, off in _parts(batches):
         for field in FIELDS:
             words = batch.column(field)
             size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = words.flatten().dictionary_encode()
             if not len(coded):
                 continue
-            row = np.repeat(np.arange(len(no)), size)
+            row = np.repeat(np.arange(len(off)), size)
             pos = np.arange(len(coded)) - np.repeat(np.cumsum(size) - size, size)
-            key = coded.indices.to_numpy().astype(np.int64) * len(no) + row
+            key = coded.indices.to_numpy().astype(np.int64) * len(off) + row
             order = np.argsort(key, kind="stable")
             key = key[order]
             each, ends = _groups(key)  # a word in a chunk
-            of_word, bounds = _groups(key[each] // len(no))
+            of_word, bounds = _groups(key[each] // len(off))
             own = row[order][each]
-            code = (key[each] // len(no))[of_word]
+            code = (key[each] // len(off))[of_word]
             # ends of places within their word's row
             within = ends[1:] - np.repeat(ends[bounds[:-1]], np.diff(bounds))
             terms = coded.dictionary.to_pylist()
@@ -87,7 +97,7 @@ def _posted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known[t] = stem(t)
             columns = [
                 pa.array([field] * len(code), pa.string()), pa.array([known[terms[c]] for c in code], pa.string()), coded.dictionary.take(pa.array(code)),
-                _lists(bounds, no[own], pa.int64()), _lists(bounds, size[own], pa.int32()), _lists(bounds, within, pa.int32()), _lists(ends[bounds], pos[order], pa.int32()),
+                pa.array([base] * len(code), pa.int64()), _lists(bounds, off[own], pa.int32()), _lists(bounds, size[own], pa.int32()), _lists(bounds, within, pa.int32()), _lists(ends[bounds], pos[order], pa.int32()),
             ]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _POSTED.split(", ")])
         if len(known) > 1_000_000:
@@ -102,13 +112,13 @@ def _trigram_keys(low: str) -> np.ndarray:
 
 def _trigrammed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed trigrams of batches (no, text in lower case)."""
-    for batch in batches:
+    for batch, base, off in _parts(batches):
         found = [_trigram_keys(x or "") for x in batch.column(1).to_pylist()]
         key = np.concatenate([np.zeros(0, np.int64), *found])
-        no = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+        own = np.repeat(off, [len(x) for x in found])
         order = np.argsort(key, kind="stable")
         starts, bounds = _groups(key[order])
-        yield pa.RecordBatch.from_arrays([pa.array(key[order][starts]), _lists(bounds, no[order], pa.int64())], ["trigram", "no"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[order][starts]), pa.array([base] * len(starts), pa.int64()), _lists(bounds, own[order], pa.int32())], ["trigram", "base", "off"])
 
 
 @dataclass
@@ -188,9 +198,9 @@ class Index:
 
 def unpacked(packed: DataFrame, *more: str) -> DataFrame:
     """Packed postings with a row a chunk: tf, len and the places of the word, with the columns ``more``."""
-    each = packed.select("field", "segment", "stem", "term", *more, "ends", "places", F.posexplode(F.arrays_zip("no", "len")).alias("i", "x"))
+    each = packed.select("field", "segment", "stem", "term", *more, "base", "ends", "places", F.posexplode(F.arrays_zip("off", "len")).alias("i", "x"))
     each = each.withColumn("start", F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0)).withColumn("tf", F.get("ends", F.col("i")) - F.col("start"))
-    return each.select("field", "segment", "stem", "term", *more, F.col("x.no").alias("no"), F.col("x.len").alias("len"), "tf", F.slice("places", F.col("start") + 1, F.col("tf")).alias("places"))
+    return each.select("field", "segment", "stem", "term", *more, (F.col("base") + F.col("x.off")).alias("no"), F.col("x.len").alias("len"), "tf", F.slice("places", F.col("start") + 1, F.col("tf")).alias("places"))
 
 
 def index_of(chunks: DataFrame, path: str) -> Index:
@@ -313,7 +323,7 @@ def literal_indexed(index: Index, needle: str, k: int = 5) -> DataFrame:
         return literal(index.chunks(), needle, k)
     folders = [r[0] for r in index.spark.createDataFrame([(x,) for x in parts], "x long").select(_folder(F.col("x"))).distinct().collect()]
     packed = index._table("trigrams").where(F.col("folder").isin(*folders) & F.col("trigram").isin(*parts))
-    hits = stored(packed.select("segment", F.explode("no").alias("no")).groupBy("segment", "no").agg(F.count("*").alias("n")).where(F.col("n") == len(parts)).drop("n"))
+    hits = stored(packed.select("segment", "base", F.explode("off").alias("off")).select("segment", (F.col("base") + F.col("off")).alias("no")).groupBy("segment", "no").agg(F.count("*").alias("n")).where(F.col("n") == len(parts)).drop("n"))
     if hits.count() > BROADCAST_ROWS:
         return literal(index.chunks(), needle, k)
     return literal(index._live("chunks").join(F.broadcast(hits), ["segment", "no"], "left_semi"), needle, k)
